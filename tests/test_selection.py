@@ -108,7 +108,7 @@ def test_orderings_keep_membership(spark):
     assert names("relevance") == ["f1", "r1", "f2", "r2", "r3"]
     assert names("sandwich") == ["r1", "r2", "f1", "f2", "r3"]
     with pytest.raises(ValueError):
-        ordering.ordered(taken, "random")
+        ordering.ordered(taken, "unheard of")
 
 
 def test_scan_and_grid_agree(spark):

@@ -34,7 +34,14 @@ def sandwich(taken: DataFrame) -> DataFrame:
     return _placed(taken.withColumn("_part", part), "_part", "take").drop("_part")
 
 
-ORDERINGS = {"raw_first": raw_first, "fact_first": fact_first, "relevance": relevance, "sandwich": sandwich}
+def shuffled(taken: DataFrame, seed: int = 0) -> DataFrame:
+    """A reproducible random order, the control arm of ordering comparisons."""
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("id").cast("string")))
+    return _placed(taken, draw, "take")
+
+
+ORDERINGS = {"raw_first": raw_first, "fact_first": fact_first, "relevance": relevance, "sandwich": sandwich,
+             "random": shuffled}
 
 
 def ordered(taken: DataFrame, name: str) -> DataFrame:
