@@ -31,7 +31,7 @@ MEMORY = ("id string, user_id string, seq bigint, kind string, content string, c
           "vec array<float>")
 
 
-def run_case(spark, seed, budget, radius, return_limit, n_hits, page_rows, words, strategy="scan"):
+def run_case(spark, seed, budget, radius, return_limit, hit_factor, page_rows, words, strategy="scan"):
     rng = random.Random(seed)
     stores = {f"u{n}": make_store(rng, f"u{n}", rng.randint(0, 12), words) for n in range(4)}
     questions = [{"query_id": f"q{n}", "user_id": f"u{n % 5}", "top_k": rng.choice([0, 1, 3, 7, 200]),
@@ -43,7 +43,7 @@ def run_case(spark, seed, budget, radius, return_limit, n_hits, page_rows, words
         asked = queries.join(ids, "query_id", "left_semi")
         return top_hits(memories, asked, k, strategy=strategy, slice_rows=5, query_block=2)
 
-    got = select_memories(rank, memories, queries, radius, budget, return_limit, n_hits, page_rows)
+    got = select_memories(rank, memories, queries, radius, budget, return_limit, hit_factor, page_rows)
     found = {}
     for row in got.orderBy("query_id", "take").collect():
         found.setdefault(row.query_id, []).append((row.id, round(row.score, 6)))
@@ -58,16 +58,16 @@ FEW_WORDS = ["ok", "OK", "yes", "no\t", "thanks"]
 MANY_WORDS = [f"word{n}" for n in range(60)]
 
 
-@pytest.mark.parametrize("seed,budget,radius,limit,n_hits,page,words,strategy", [
-    (1, 10**6, 1, 10, 20, 100, MANY_WORDS, "scan"),
-    (2, 10**6, 0, 5, 5, 100, FEW_WORDS, "scan"),      # copies: more hits are ranked
-    (3, 40, 2, 10, 20, 100, MANY_WORDS, "scan"),      # the budget binds
-    (4, 15, 1, 6, 3, 4, FEW_WORDS, "grid"),           # both, on tiny pages and cells
-    (5, 0, 1, 6, 6, 4, MANY_WORDS, "scan"),           # no budget: one item
-    (6, 60, 3, 100, 8, 7, MANY_WORDS, "grid"),
+@pytest.mark.parametrize("seed,budget,radius,limit,factor,page,words,strategy", [
+    (1, 10**6, 1, 10, 2, 100, MANY_WORDS, "scan"),
+    (2, 10**6, 0, 5, 1, 100, FEW_WORDS, "scan"),      # copies: more hits are ranked
+    (3, 40, 2, 10, 2, 100, MANY_WORDS, "scan"),      # the budget binds
+    (4, 15, 1, 6, 1, 4, FEW_WORDS, "grid"),           # both, on tiny pages and cells
+    (5, 0, 1, 6, 1, 4, MANY_WORDS, "scan"),           # no budget: one item
+    (6, 60, 3, 100, 1, 7, MANY_WORDS, "grid"),
 ])
-def test_selection_equals_greedy(spark, seed, budget, radius, limit, n_hits, page, words, strategy):
-    run_case(spark, seed, budget, radius, limit, n_hits, page, words, strategy)
+def test_selection_equals_greedy(spark, seed, budget, radius, limit, factor, page, words, strategy):
+    run_case(spark, seed, budget, radius, limit, factor, page, words, strategy)
 
 
 def chunk_store(spark):

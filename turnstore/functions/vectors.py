@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from turnstore import settings as S
@@ -60,11 +60,13 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 def embed(text: Column, embedder: Embedder, is_query: bool = False) -> Column:
     """Unit vectors of *text*; a question carries the retrieval instruction."""
 
-    @F.pandas_udf(VECTOR)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(VECTOR)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = embedder()
         for texts in batches:
-            yield pd.Series(list(unit_rows(model(texts.fillna("").tolist()))), index=texts.index)
+            matrix = unit_rows(model([text or "" for text in texts.to_pylist()]))
+            ends = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
 
     return encode(F.concat(F.lit(S.QUERY_PREFIX), text) if is_query else text)
 

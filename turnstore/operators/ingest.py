@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from turnstore import settings as S
 from turnstore.functions import replies as R, text as X
 from turnstore.operators.models import Caller, call_model
 from turnstore.runtime import running_total
@@ -64,44 +63,50 @@ def with_facts(replied: DataFrame) -> DataFrame:
     return read.withColumn("status", F.when(off, "off").otherwise(R.reply_status(reply, F.col("facts"))))
 
 
-def _passed_on(requests: DataFrame) -> list[str]:
-    """Request columns every item keeps; ``base`` only once it was assigned."""
-    return [c for c in ("digest", "user_id", "session_id", "request_id", "base") if c in requests.columns]
+def _turn_items() -> Column:
+    return F.transform("turns", lambda m: F.struct(
+        F.lit("raw").alias("kind"), m["position"].alias("position"), m["role"].alias("role"),
+        m["content"].alias("text"), m["timestamp"].alias("timestamp")))
 
 
-def _items(exploded: DataFrame, kind: str, content: Column, stamp: Column, passed: list[str]) -> DataFrame:
-    """The common shape of a memory before it has a vector."""
-    return exploded.select(
-        X.memory_id(F.col("digest"), F.lit(kind), F.col("position")).alias("id"),
-        *passed[1:], F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("parent_id"),
-        content.alias("content"), stamp.alias("created_at"), "position", "ordinal")
+def _fact_items() -> Column:
+    """Facts carry the timestamp of the first turn with text, whatever it is."""
+    first = F.try_element_at("turns", F.lit(1))["timestamp"]
+    return F.transform("facts", lambda f, i: F.struct(
+        F.lit("fact").alias("kind"), i.alias("position"), F.lit(None).cast("string").alias("role"),
+        f.alias("text"), first.alias("timestamp")))
+
+
+def _memories(requests: DataFrame, items: Column) -> DataFrame:
+    """Explode *items* into rows shaped like a memory without vector.
+
+    ``ordinal`` counts a request's items; ``base`` is passed on once it is assigned.
+    """
+    passed = [c for c in ("user_id", "session_id", "request_id", "base") if c in requests.columns]
+    rows = requests.select("digest", "chunk_prefix", *passed, F.posexplode(items).alias("ordinal", "item"))
+    item = {name: F.col(f"item.{name}") for name in ("kind", "position", "role", "text", "timestamp")}
+    turn = F.concat(X.stamp_prefix(item["timestamp"]), X.speaker(item["role"]), F.lit(": "), item["text"])
+    fact = F.when(item["text"].startswith("["), item["text"]).otherwise(F.concat("chunk_prefix", item["text"]))
+    return rows.select(
+        X.memory_id(F.col("digest"), item["kind"], item["position"]).alias("id"), *passed, "item.kind",
+        F.lit(None).cast("string").alias("parent_id"),
+        F.when(item["kind"] == "raw", turn).otherwise(fact).alias("content"),
+        X.created_at(item["timestamp"]).alias("created_at"), "item.position", "ordinal")
 
 
 def raw_memories(requests: DataFrame) -> DataFrame:
     """One verbatim memory per non-blank message of :func:`prepared` requests."""
-    passed = _passed_on(requests)
-    turns = (requests.select(*passed, F.posexplode("turns").alias("ordinal", "m"))
-             .withColumn("position", F.col("m.position")))
-    content = F.concat(X.stamp_prefix(F.col("m.timestamp")), X.speaker(F.col("m.role")),
-                       F.lit(": "), F.col("m.content"))
-    return _items(turns, "raw", content, X.created_at(F.col("m.timestamp")), passed)
+    return _memories(requests, _turn_items())
 
 
 def fact_memories(requests: DataFrame) -> DataFrame:
     """One memory per extracted fact; dated like the chunk, stamped like its first turn."""
-    passed = _passed_on(requests)
-    facts = requests.select(
-        *passed, "chunk_prefix", F.size("turns").alias("n_turns"),
-        X.created_at(F.try_element_at("turns", F.lit(1))["timestamp"]).alias("first_stamp"),
-        F.posexplode("facts").alias("position", "fact"))
-    facts = facts.withColumn("ordinal", F.col("n_turns") + F.col("position"))
-    content = F.when(F.col("fact").startswith("["), F.col("fact")).otherwise(F.concat("chunk_prefix", "fact"))
-    return _items(facts, "fact", content, F.col("first_stamp"), passed)
+    return _memories(requests, _fact_items())
 
 
 def build_memories(requests: DataFrame) -> DataFrame:
-    """Verbatim and fact memories of :func:`with_facts` requests."""
-    return raw_memories(requests).unionByName(fact_memories(requests))
+    """Verbatim memories, then facts, of :func:`with_facts` requests, in one explode."""
+    return _memories(requests, F.concat(_turn_items(), _fact_items()))
 
 
 def first_arrivals(requests: DataFrame) -> DataFrame:
@@ -145,6 +150,12 @@ def sequenced(requests: DataFrame) -> DataFrame:
     return items.withColumn("seq", (F.col("base") + F.col("ordinal")).cast("bigint")).select(*ITEM_COLUMNS, "seq")
 
 
+def with_keys(memories: DataFrame) -> DataFrame:
+    """Add what a search compares, so that it need not read every text: key and length."""
+    return (memories.withColumn("dedupe_key", X.dedupe_key(F.col("content")))
+            .withColumn("n_chars", F.length("content")))
+
+
 def ingest_report(requests: DataFrame) -> DataFrame:
     """Messages per request and requests per user."""
     return requests.groupBy("user_id").agg(

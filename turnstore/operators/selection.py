@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnstore import settings as S
 from turnstore.functions import text as X
+from turnstore.operators.ingest import with_keys
 from turnstore.runtime import cut_lineage
 
 OFFER_ORDER = ["down", "hit_seq", "slot"]
@@ -46,17 +47,19 @@ def offer_ids(hits: DataFrame, radius: int) -> DataFrame:
     return hits.select(*kept, F.col("seq").alias("hit_seq"), F.posexplode(ids).alias("slot", "id"))
 
 
+def keyed(memories: DataFrame) -> DataFrame:
+    """Memories with key and length; stored tables have them already."""
+    return memories if "dedupe_key" in memories.columns else with_keys(memories)
+
+
 def offers(hits: DataFrame, memories: DataFrame, radius: int) -> DataFrame:
-    """Hits and neighbours with their text, key and length.
+    """Hits and neighbours with their key and length, without their text.
 
     Ids are unique, so this is one equi-join; Spark broadcasts the offered ids
     when they are few and otherwise splits ids that many questions share.
     """
-    stored = memories.select("id", "seq", "kind", "content", "created_at")
-    return (offer_ids(hits, radius).join(stored, "id")
-            .withColumn("down", -F.col("score"))
-            .withColumn("key", X.dedupe_key(F.col("content")))
-            .withColumn("n_chars", F.length("content")))
+    stored = keyed(memories).select("id", "seq", "kind", F.col("dedupe_key").alias("key"), "n_chars")
+    return offer_ids(hits, radius).join(stored, "id").withColumn("down", -F.col("score"))
 
 
 def neighbour_window(hits: DataFrame, memories: DataFrame, radius: int = S.WINDOW_RADIUS) -> DataFrame:
@@ -76,13 +79,13 @@ def _limits(queries: DataFrame, return_limit: int) -> DataFrame:
 
 
 def _first_pass(hits: DataFrame, memories: DataFrame, limits: DataFrame, n_hits: int, radius: int,
-                budget: int, return_limit: int) -> DataFrame:
+                budget: int, most: int) -> DataFrame:
     """Taken offers per question, with ``exact`` telling whether they are final."""
     found = hits.withColumn("found", F.count("*").over(W.partitionBy("query_id")))
     offered = offers(found, memories, radius).join(limits, "query_id").repartition("query_id")
     ordered = W.partitionBy("query_id").orderBy(*OFFER_ORDER)
     capped = (first_per_key(offered).withColumn("take", F.row_number().over(ordered))
-              .where((F.col("take") <= return_limit) & (F.col("take") <= F.col("limit"))))
+              .where((F.col("take") <= most) & (F.col("take") <= F.col("limit"))))
     whole = W.partitionBy("query_id")
     enough = (F.count("*").over(whole) == F.col("limit")) | (F.col("found") < n_hits)
     affordable = F.sum("n_chars").over(whole) <= budget
@@ -164,23 +167,25 @@ def _walk(pending: DataFrame, rank: Ranker, memories: DataFrame, n_hits: int, ra
 
 def select_memories(rank: Ranker, memories: DataFrame, queries: DataFrame, radius: int = S.WINDOW_RADIUS,
                     char_budget: int = S.RETURN_CHAR_BUDGET, return_limit: int = S.RETURN_LIMIT,
-                    n_hits: int | None = None, page_rows: int = PAGE_ROWS) -> DataFrame:
+                    hit_factor: int = 2, page_rows: int = PAGE_ROWS) -> DataFrame:
     """The memories each question gets, in the order they are taken.
 
     *rank(ids, k)* returns the best *k* hits (query_id, id, seq, score) of the
     questions in *ids*; *queries* has query_id and top_k. Result: query_id, take
-    (from 1), id, score, kind, content, created_at.
+    (from 1), id, score, kind, content, created_at. The text is read for the
+    selected memories only.
     """
-    n_hits = n_hits or 2 * return_limit
     limits = _limits(queries, return_limit)
-    columns = ["query_id", "take", "id", "score", "kind", "content", "created_at"]
+    # The first pass ranks hit_factor times the largest answer asked for.
+    most = limits.agg(F.max("limit").alias("most")).first()["most"] or 1
+    n_hits = max(1, hit_factor * most)
+    columns = ["query_id", "take", "id", "score"]
     first = cut_lineage(_first_pass(rank(limits.select("query_id"), n_hits), memories, limits, n_hits,
-                                    radius, char_budget, return_limit)
+                                    radius, char_budget, most)
                         .select(*columns, "limit", "exact"))
     exact = first.where("exact").select(*columns)
     pending = first.where("not exact").select("query_id", "limit").distinct()
-    if pending.isEmpty():
-        return exact
-    walked = _walk(pending, rank, memories, n_hits, radius, char_budget, page_rows)
-    text = memories.select("id", "kind", "content", "created_at")
-    return exact.unionByName(walked.join(text, "id").select(*columns))
+    taken = exact
+    if not pending.isEmpty():
+        taken = exact.unionByName(_walk(pending, rank, memories, n_hits, radius, char_budget, page_rows))
+    return taken.join(memories.select("id", "kind", "content", "created_at"), "id")

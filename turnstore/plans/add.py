@@ -36,8 +36,9 @@ class AddJob:
         good = requests_source.accepted(requests)
         fresh = ingest.unseen(good, ledger)
         read = ingest.extracted(ingest.prepared(fresh), self.extractor, self.max_calls)
-        pinned = cut_lineage(ingest.assign_bases(read, ledger))
-        memories = with_vectors(ingest.sequenced(pinned), self.embedder)
+        pinned = cut_lineage(read.drop("messages", "reply"))
+        items = ingest.sequenced(ingest.assign_bases(pinned, ledger))
+        memories = with_vectors(ingest.with_keys(items), self.embedder)
         tables.write_batch(self.root, batch, memories, ingest.new_ledger(pinned))
         return add_report(requests, pinned)
 

@@ -46,7 +46,7 @@ class SearchJob:
             return top_hits(memories, queries.join(ids, "query_id", "left_semi"), k)
 
         taken = select_memories(rank, memories, queries, knobs.radius, knobs.char_budget,
-                                knobs.return_limit, knobs.first_hits)
+                                knobs.return_limit, knobs.hit_factor)
         return ordering.ordered(taken, knobs.ordering).select(*RESULT)
 
     def run(self, memories: DataFrame, requests: DataFrame) -> DataFrame:

@@ -78,12 +78,12 @@ def order_splitters(df: DataFrame, order: list[str], pieces: int) -> list[tuple]
 
 
 def _block(df: DataFrame, order: list[str], splitters: list[tuple]) -> Column:
+    """How many splitters are not above this row."""
+    def entry(values: tuple) -> Column:
+        return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, values)])
+
     here = F.struct(*[F.col(c) for c in order])
-    block = F.lit(0)
-    for values in splitters:
-        bound = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, values)])
-        block = block + F.when(here >= bound, 1).otherwise(0)
-    return block
+    return F.size(F.filter(F.array(*[entry(v) for v in splitters]), lambda bound: bound <= here))
 
 
 def running_total(df: DataFrame, key: list[str], order: list[str], value: str, out: str,

@@ -36,6 +36,8 @@ MEMORY = T.StructType([
     T.StructField("content", T.StringType()),
     T.StructField("created_at", T.StringType()),
     T.StructField("seq", T.LongType()),
+    T.StructField("dedupe_key", T.StringType()),
+    T.StructField("n_chars", T.IntegerType()),
     T.StructField("vec", VECTOR),
 ])
 

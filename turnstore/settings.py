@@ -51,9 +51,5 @@ class SearchSettings:
     radius: int = WINDOW_RADIUS
     ordering: str = "raw_first"
     second_round: bool = False
-    # Hits ranked per query in the first pass, as a multiple of return_limit.
+    # Hits ranked per query in the first pass, as a multiple of the largest answer.
     hit_factor: int = 2
-
-    @property
-    def first_hits(self) -> int:
-        return max(1, self.return_limit * self.hit_factor)

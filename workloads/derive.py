@@ -38,7 +38,11 @@ def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _stored:
         path = scratch_path(spark, name)
-        build(spark, sf).write.mode("overwrite").parquet(path)
+        # The driver's small files are one split each: spread the rows, as the many
+        # files of a real table are.
+        rows = build(spark, sf)
+        rows = rows.repartition(spark.sparkContext.defaultParallelism, rows.columns[0])
+        rows.write.mode("overwrite").parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 
@@ -94,7 +98,7 @@ def chat_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chat_memories(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, sf, "chat", lambda s, f: with_vectors(chat_items(s, f), EMBEDDER))
+    return stored(spark, sf, "chat", lambda s, f: with_vectors(ingest.with_keys(chat_items(s, f)), EMBEDDER))
 
 
 def chat_questions(spark: SparkSession, sf: str, top_k: int = 20) -> DataFrame:
@@ -119,7 +123,8 @@ def document_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_memories(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, sf, "documents", lambda s, f: with_vectors(document_items(s, f), EMBEDDER))
+    return stored(spark, sf, "documents", lambda s, f: with_vectors(
+        ingest.with_keys(document_items(s, f)), EMBEDDER))
 
 
 def document_questions(spark: SparkSession, sf: str, top_k: int = 20) -> DataFrame:
