@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from turnstore import settings as S
 from turnstore.functions.text import lines, strip
@@ -38,29 +38,27 @@ def _listed_facts(text: Column) -> Column:
     return F.filter(cleaned, lambda x: F.length(x) > S.MIN_FACT_CHARS)
 
 
-def facts_from_reply(reply: Column, max_facts: int = S.MAX_FACTS) -> Column:
-    """Array of facts in a reply without reasoning; empty for a null reply.
+def add_facts(replied: DataFrame, reply: str = "reply", out: str = "facts",
+              max_facts: int = S.MAX_FACTS) -> DataFrame:
+    """Add the array of facts in a model's reply; empty for a null reply.
 
     An object whose ``facts`` is a list is taken at its word, also when the list
     is absent or empty. Everything else is searched for list lines. Items that
-    are not strings are kept as JSON text, JSON nulls are dropped.
+    are not strings are kept as JSON text, JSON nulls are dropped. The steps are
+    columns of their own, so the reply is cleaned and parsed once per row.
     """
-    fields = _json_fields(reply)
-    value = fields["facts"]
-    items = F.from_json(value, "array<string>")
-    from_json = F.filter(F.transform(items, strip), lambda x: x != "")
+    parsed = (replied.withColumn("_text", strip_reasoning(F.col(reply)))
+              .withColumn("_fields", _json_fields(F.col("_text")))
+              .withColumn("_items", F.from_json(F.col("_fields")["facts"], "array<string>")))
     none = F.array().cast("array<string>")
-    facts = (F.when(fields.isNotNull() & ~F.map_contains_key(fields, "facts"), none)
-             .when(value.startswith("[") & items.isNotNull(), from_json)
-             .otherwise(_listed_facts(reply)))
-    return F.slice(F.coalesce(facts, none), 1, max_facts)
-
-
-def reply_status(reply: Column, facts: Column) -> Column:
-    """How an extraction call ended: off, failed, empty or ok."""
-    return (F.when(reply.isNull(), "failed")
-            .when((reply != "") & (F.size(facts) == 0), "empty")
-            .otherwise("ok"))
+    listed = F.filter(F.transform("_items", strip), lambda x: x != "")
+    facts = (F.when(F.col("_fields").isNotNull() & ~F.map_contains_key("_fields", "facts"), none)
+             .when(F.col("_fields")["facts"].startswith("[") & F.col("_items").isNotNull(), listed)
+             .otherwise(_listed_facts(F.col("_text"))))
+    status = (F.when(F.col("_text").isNull(), "failed")
+              .when((F.col("_text") != "") & (F.size(out) == 0), "empty").otherwise("ok"))
+    return (parsed.withColumn(out, F.slice(F.coalesce(facts, none), 1, max_facts))
+            .withColumn("_outcome", status).drop("_text", "_fields", "_items"))
 
 
 def recall_question(reply: Column) -> Column:
@@ -71,8 +69,10 @@ def recall_question(reply: Column) -> Column:
 
 def follow_up_question(reply: Column) -> Column:
     """The question of an INCOMPLETE reflection, else null."""
-    fields = _json_fields(reply)
-    return F.when(fields["status"] == "INCOMPLETE", F.nullif(fields["question"], F.lit("")))
+    # A one-element array binds the parsed fields, so they are read once.
+    asked = F.transform(F.array(_json_fields(reply)), lambda f: F.when(
+        f["status"] == "INCOMPLETE", F.nullif(f["question"], F.lit(""))))
+    return asked[0]
 
 
 def options_text(options: Column) -> Column:

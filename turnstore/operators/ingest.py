@@ -56,11 +56,10 @@ def extracted(requests: DataFrame, caller: Caller | None, max_calls: int | None
 
 
 def with_facts(replied: DataFrame) -> DataFrame:
-    """Read ``facts`` and the final ``status`` from ``reply``."""
-    reply = R.strip_reasoning(F.col("reply"))
-    read = replied.withColumn("facts", R.facts_from_reply(reply))
+    """Read ``facts`` and the final ``status`` (off, failed, empty or ok) from ``reply``."""
+    read = R.add_facts(replied)
     off = F.col("status") == "off"
-    return read.withColumn("status", F.when(off, "off").otherwise(R.reply_status(reply, F.col("facts"))))
+    return read.withColumn("status", F.when(off, "off").otherwise(F.col("_outcome"))).drop("_outcome")
 
 
 def _turn_items() -> Column:
@@ -111,7 +110,7 @@ def build_memories(requests: DataFrame) -> DataFrame:
 
 def first_arrivals(requests: DataFrame) -> DataFrame:
     """One row per (request_id, user_id): the earliest attempt of this batch."""
-    attempts = W.partitionBy("request_id", "user_id").orderBy("arrival", F.to_json("messages"))
+    attempts = W.partitionBy("request_id", "user_id").orderBy("arrival", F.xxhash64("messages"))
     return requests.withColumn("_n", F.row_number().over(attempts)).where("_n = 1").drop("_n")
 
 
@@ -135,13 +134,10 @@ def assign_bases(requests: DataFrame, ledger: DataFrame) -> DataFrame:
     batch's own from a running total that splits hot users.
     """
     sized = requests.withColumn("n_items", (F.size("turns") + F.size("facts")).cast("bigint"))
-    ordered = running_total(sized, ["user_id"], ["arrival", "request_id"], "n_items", "_before")
     users = sized.select("user_id").distinct()
     stored = (ledger.join(users, "user_id", "left_semi")
-              .groupBy("user_id").agg(F.sum("n_items").alias("_stored")))
-    return (ordered.join(stored, "user_id", "left")
-            .withColumn("base", F.coalesce("_stored", F.lit(0)) + F.col("_before"))
-            .drop("_stored", "_before"))
+              .groupBy("user_id").agg(F.sum("n_items").alias("start")))
+    return running_total(sized, ["user_id"], ["arrival", "request_id"], "n_items", "base", stored)
 
 
 def sequenced(requests: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from turnstore.operators.selection import select_memories
 from turnstore.runtime import cut_lineage
 from turnstore.settings import SearchSettings
 from turnstore.sources.requests import search_request_problem
+from turnstore.sources.tables import of_askers
 
 RESULT = ["query_id", "pos", "id", "kind", "content", "score", "created_at"]
 
@@ -53,6 +54,7 @@ class SearchJob:
         """Results of all questions: query_id, pos, id, kind, content, score, created_at."""
         valid = requests.where(search_request_problem(requests).isNull()).where("top_k > 0")
         asked = cut_lineage(self.embedded(rounds.with_recall(valid, self.recaller, self.max_calls)))
+        memories = of_askers(memories, asked)
         first = self.one_round(memories, asked)
         if not self.settings.second_round or self.reflector is None:
             return first

@@ -79,6 +79,9 @@ def order_splitters(df: DataFrame, order: list[str], pieces: int) -> list[tuple]
 
 def _block(df: DataFrame, order: list[str], splitters: list[tuple]) -> Column:
     """How many splitters are not above this row."""
+    if not splitters:
+        return F.lit(0)
+
     def entry(values: tuple) -> Column:
         return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, values)])
 
@@ -87,23 +90,23 @@ def _block(df: DataFrame, order: list[str], splitters: list[tuple]) -> Column:
 
 
 def running_total(df: DataFrame, key: list[str], order: list[str], value: str, out: str,
-                  pieces: int = 64) -> DataFrame:
+                  start: DataFrame | None = None, pieces: int = 64) -> DataFrame:
     """Add ``out``: the sum of *value* over earlier rows of the same *key*.
 
-    A plain window would sort a whole key in one task. Here the order is cut into
-    blocks: a window inside each (key, block), plus the block sums before it, of
-    which a key has at most *pieces*.
+    *start* (key, ``start``) holds what a key begins with. A plain window would
+    sort a whole key in one task. Here the order is cut into blocks: a window
+    inside each (key, block), plus the block sums before it, of which a key has at
+    most *pieces*; starts meet these sums, not the rows.
     """
-    splitters = order_splitters(df, order, pieces)
-    before = W.unboundedPreceding
-    if not splitters:
-        whole = W.partitionBy(*key).orderBy(*order).rowsBetween(before, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(whole), F.lit(0)).cast("bigint"))
-    blocked = df.withColumn("_block", _block(df, order, splitters))
+    blocked = df.withColumn("_block", _block(df, order, order_splitters(df, order, pieces)))
     sums = blocked.groupBy(*key, "_block").agg(F.sum(value).alias("_sum"))
-    earlier = W.partitionBy(*key).orderBy("_block").rowsBetween(before, -1)
-    offsets = sums.select(*key, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    inside = W.partitionBy(*key, "_block").orderBy(*order).rowsBetween(before, -1)
+    earlier = W.partitionBy(*key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    bases = F.coalesce(F.sum("_sum").over(earlier), F.lit(0))
+    if start is not None:
+        sums = sums.join(start, key, "left")
+        bases = bases + F.coalesce("start", F.lit(0))
+    offsets = sums.select(*key, "_block", bases.alias("_base"))
+    inside = W.partitionBy(*key, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = blocked.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return (local.join(offsets, [*key, "_block"])
             .withColumn(out, (F.col("_base") + F.col("_local")).cast("bigint"))

@@ -58,6 +58,18 @@ def user_memories(memories: DataFrame, user_id: str, buckets: int = USER_BUCKETS
     return memories.where(wanted).orderBy("seq")
 
 
+def of_askers(memories: DataFrame, queries: DataFrame, buckets: int = USER_BUCKETS) -> DataFrame:
+    """Memories in the buckets of the asking users.
+
+    On a stored table this becomes partition pruning at run time; the bucket list
+    has at most *buckets* rows.
+    """
+    if "user_bucket" not in memories.columns:
+        return memories
+    asked = queries.select(user_bucket(F.col("user_id"), buckets).alias("user_bucket")).distinct()
+    return memories.join(F.broadcast(asked), "user_bucket", "left_semi")
+
+
 def write_batch(root: str, batch: int, memories: DataFrame, ledger: DataFrame,
                 buckets: int = USER_BUCKETS) -> None:
     """Write one batch: memories first, the ledger last."""

@@ -221,6 +221,10 @@ def neighbour_window_pairs(spark, sf):
 QUERIES["neighbour_window"] = QUERIES.pop("neighbour_window_pairs")
 
 
+def _embedded(asked: DataFrame) -> DataFrame:
+    return cut_lineage(asked.withColumn("qvec", embed(F.col("query"), D.EMBEDDER, is_query=True)))
+
+
 def _document_search(spark, sf, top_k=20, **knobs):
     settings = SearchSettings(**knobs)
     job = SearchJob(D.EMBEDDER, settings)
@@ -278,8 +282,7 @@ def dedupe_results(spark, sf):
 
 
 def _document_queries(spark, sf, top_k=20):
-    return D.document_questions(spark, sf, top_k).withColumn(
-        "qvec", embed(F.col("query"), D.EMBEDDER, is_query=True))
+    return _embedded(D.document_questions(spark, sf, top_k))
 
 
 def _document_hits(spark, sf, memories, k):
@@ -339,7 +342,7 @@ def diversity_cap(spark, sf):
 def _parents(spark, sf):
     """Chunks of four messages behind the twenty best memories of each question."""
     memories = D.chat_memories(spark, sf)
-    asked = D.chat_questions(spark, sf).withColumn("qvec", embed(F.col("query"), D.EMBEDDER, is_query=True))
+    asked = _embedded(D.chat_questions(spark, sf))
     transcripts = ingest.chunk_transcripts(D.requests(spark, sf))
     return policies.parent_chunks(top_hits(memories, asked, 20), transcripts)
 
