@@ -2,12 +2,19 @@ import os
 import sys
 
 import pytest
+from pyspark import cloudpickle
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from turnstore.runtime import build_session  # noqa: E402
 
 
+def pytest_collection_modifyitems(items):
+    """Callers written in a test travel to the workers with the job."""
+    for module in {item.module for item in items}:
+        cloudpickle.register_pickle_by_value(module)
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
