@@ -55,17 +55,24 @@ def with_evidence(questions: DataFrame) -> DataFrame:
 def evidence_hits(retrieval: DataFrame, questions: DataFrame, chunk_map: DataFrame) -> DataFrame:
     """Results that stand for an evidence turn: question_id, pos, kind.
 
-    Turn ids repeat between conversations, so evidence is looked up only in the
-    chunks a question retrieved; then verbatim hits must match the position too.
+    Turn ids repeat between conversations. Where both sides name the conversation
+    (``conv``), evidence is located by (conv, turn), which is unique; otherwise it
+    is looked up in the chunks each question retrieved. Verbatim hits must match
+    the position too.
     """
-    gold = with_evidence(questions).select("question_id", F.explode(F.array_distinct("evidence")).alias("dia_id"))
+    by_conv = "conv" in questions.columns and "conv" in chunk_map.columns
+    conv = ["conv"] if by_conv else []
+    gold = with_evidence(questions).select("question_id", *conv, F.explode(F.array_distinct("evidence")).alias("dia_id"))
     ranked = retrieval.select(
         "question_id", "pos", X.id_digest(F.col("id")).alias("digest"),
         X.id_kind(F.col("id")).alias("kind"), X.id_index(F.col("id")).alias("position"))
-    turns = chunk_map.where("dia_id != ''").select("digest", "position", "dia_id")
-    by_chunk = (ranked.select("question_id", "digest").distinct().join(turns, "digest")
-                .join(gold, ["question_id", "dia_id"], "left_semi")
-                .groupBy("question_id", "digest").agg(F.collect_set("position").alias("positions")))
+    turns = chunk_map.where("dia_id != ''").select("digest", "position", "dia_id", *conv)
+    if by_conv:
+        located = gold.join(turns, ["conv", "dia_id"])
+    else:
+        located = (ranked.select("question_id", "digest").distinct().join(turns, "digest")
+                   .join(gold, ["question_id", "dia_id"], "left_semi"))
+    by_chunk = located.groupBy("question_id", "digest").agg(F.collect_set("position").alias("positions"))
     proves = (F.col("kind") == "fact") | F.array_contains("positions", F.col("position"))
     return ranked.join(by_chunk, ["question_id", "digest"]).where(proves).select("question_id", "pos", "kind")
 
@@ -193,11 +200,10 @@ def paired_flips(judged: DataFrame, best: DataFrame) -> DataFrame:
     """Every other prefix against the best one over the questions both judged."""
     valid = judged.where("label is not null").select(
         "prefix", "question_id", (F.col("label") == S.CORRECT).alias("right"))
-    # One row: the best prefix.
-    chosen = best.select(F.col("prefix").alias("best")).limit(1)
-    marked = valid.join(F.broadcast(chosen))
-    base = marked.where("prefix = best").select("question_id", F.col("right").alias("best_right"))
-    pairs = marked.where("prefix != best").join(base, "question_id")
+    chosen = F.broadcast(best.select(F.col("prefix").alias("best")).limit(1))  # one row
+    is_best = valid["prefix"] == chosen["best"]
+    base = valid.join(chosen, is_best).select("question_id", "best", F.col("right").alias("best_right"))
+    pairs = valid.join(chosen, is_best, "left_anti").join(base, "question_id")
     return pairs.groupBy("prefix", "best").agg(
         F.count_if(F.col("right") & ~F.col("best_right")).alias("only_other"),
         F.count_if(~F.col("right") & F.col("best_right")).alias("only_best"),

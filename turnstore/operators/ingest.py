@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnstore.functions import replies as R, text as X
 from turnstore.operators.models import Caller, call_model
-from turnstore.runtime import running_total
+from turnstore.runtime import running_total, small_side
 
 ITEM_COLUMNS = ["id", "user_id", "session_id", "request_id", "kind", "parent_id", "content", "created_at"]
 
@@ -115,9 +115,14 @@ def first_arrivals(requests: DataFrame) -> DataFrame:
 
 
 def unseen(requests: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Requests whose (request_id, user_id) is not in the ledger yet, once each."""
-    return first_arrivals(requests).join(
-        ledger.select("request_id", "user_id"), ["request_id", "user_id"], "left_anti")
+    """Requests whose (request_id, user_id) is not in the ledger yet, once each.
+
+    The ledger is cut down to the batch's keys first: for a batch of ordinary size
+    that is a map-side filter, and the ledger is not shuffled.
+    """
+    key = ["request_id", "user_id"]
+    seen = ledger.select(*key).join(small_side(requests.select(*key)), key, "left_semi")
+    return first_arrivals(requests).join(seen, key, "left_anti")
 
 
 def new_ledger(requests: DataFrame) -> DataFrame:
@@ -135,7 +140,7 @@ def assign_bases(requests: DataFrame, ledger: DataFrame) -> DataFrame:
     """
     sized = requests.withColumn("n_items", (F.size("turns") + F.size("facts")).cast("bigint"))
     users = sized.select("user_id").distinct()
-    stored = (ledger.join(users, "user_id", "left_semi")
+    stored = (ledger.join(small_side(users), "user_id", "left_semi")
               .groupBy("user_id").agg(F.sum("n_items").alias("start")))
     return running_total(sized, ["user_id"], ["arrival", "request_id"], "n_items", "base", stored)
 

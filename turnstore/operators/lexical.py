@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnstore import settings as S
 from turnstore.operators.scoring import Channel, top_hits
+from turnstore.runtime import small_side
 
 TOKEN = r"[\p{L}\p{N}]+"
 # Cells of one dense count matrix: bounds the memory of a scoring step.
@@ -32,15 +33,16 @@ def tokenised(memories: DataFrame, text: str = "content") -> DataFrame:
 def weighted_questions(memories: DataFrame, questions: DataFrame, text: str = "query") -> DataFrame:
     """Question terms with their idf in the user's store, and its mean length.
 
-    *memories* has user_id and tokens. Document frequencies are counted only for
-    terms that some question of the user holds.
+    *memories* has user_id and tokens. Frequencies are counted only for terms that
+    some question of the user holds; the other tokens are dropped where they are
+    read when the question terms are few enough to be sent there.
     """
     asked = questions.select("query_id", "user_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     wanted = asked.select("user_id", "term").distinct()
     lengths = memories.groupBy("user_id").agg(
         F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
     counts = (memories.select("user_id", F.explode(F.array_distinct("tokens")).alias("term"))
-              .groupBy("user_id", "term").agg(F.count("*").alias("df")))
+              .join(small_side(wanted), ["user_id", "term"], "left_semi").groupBy("user_id", "term").agg(F.count("*").alias("df")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = (wanted.join(counts, ["user_id", "term"]).join(lengths, "user_id")
                .select("user_id", "term", F.greatest(idf, F.lit(S.BM25_MIN_IDF)).alias("idf"), "avg_len"))

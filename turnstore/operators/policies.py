@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from turnstore import settings as S
 from turnstore.functions import text as X
-from turnstore.operators.selection import HIT_GROWTH, Ranker
+from turnstore.operators.selection import HIT_GROWTH, Ranker, ranked
 from turnstore.runtime import cut_lineage
 
 
@@ -33,8 +33,7 @@ def diverse_hits(rank: Ranker, queries: DataFrame, k: int, per_chunk: int = S.CH
     size, parts, pending = n_hits or 4 * k, [], queries.select("query_id")
     per_query = W.partitionBy("query_id")
     while True:
-        found = rank(pending, size).withColumn("found", F.count("*").over(per_query))
-        kept = diversity_cap(found, k, per_chunk)
+        kept = diversity_cap(ranked(rank, pending, size), k, per_chunk)
         done = (F.count("*").over(per_query) >= k) | (F.col("found") < size)
         kept = cut_lineage(kept.withColumn("done", done))
         parts.append(kept.where("done").drop("done", "found"))
@@ -103,6 +102,7 @@ def footprint_summary(sizes: DataFrame, accuracy: DataFrame) -> DataFrame:
     """
     mean = sizes.agg(F.avg("items").alias("items"), F.avg("chars").alias("chars"),
                      F.avg("kilotokens").alias("kilotokens"), F.avg("chunks").alias("chunks"))
-    # Both sides are one-row aggregates.
-    return (mean.join(F.broadcast(accuracy.select("accuracy").limit(1)))
+    # Two one-row aggregates, put side by side without a join.
+    both = mean.unionByName(accuracy.agg(F.max("accuracy").alias("accuracy")), allowMissingColumns=True)
+    return (both.agg(*[F.max(c).alias(c) for c in both.columns])
             .withColumn("accuracy_per_kilotoken", F.col("accuracy") / F.col("kilotokens")))

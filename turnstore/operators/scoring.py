@@ -29,9 +29,10 @@ from pyspark.sql import types as T
 from turnstore import settings as S
 
 SCAN_BYTES = 64 * 1024 * 1024   # most question data sent to every task
-BLOCK_ROWS = 65_536             # memory rows scored together
-SLICE_ROWS = 131_072            # expected memory rows of one grid cell
-QUERY_BLOCK = 2_048             # expected questions of one grid cell
+BLOCK_ROWS = 65_536             # memory rows gathered before they are scored
+SLICE_ROWS = 32_768             # expected memory rows of one grid cell
+QUERY_BLOCK = 4_096             # expected questions of one grid cell
+SCORE_CELLS = 16_000_000        # scores held at once by a task
 
 # Scores of one user's memory rows (n) against that user's questions (q): n x q.
 BlockScorer = Callable[[pa.Table, pa.Table], np.ndarray]
@@ -60,39 +61,44 @@ def dot_products(memories: pa.Table, questions: pa.Table) -> np.ndarray:
 DENSE = Channel(dot_products, ("vec",), ("qvec",))
 
 
-def _best(memories: pa.Table, questions: pa.Table, channel: Channel, k: int, decimals: int):
-    """Rows of the best *k* memories for each question of one user, as arrays."""
-    scores = np.round(channel.scorer(memories, questions), decimals) + 0.0
+def _best(memories: pa.Table, questions: pa.Table, channel: Channel, k: int, decimals: int,
+          cells: int) -> Iterator[pa.RecordBatch]:
+    """The best *k* memories for each question of one user, some questions at a time."""
     seq = memories.column("seq").to_numpy()
-    query_rows, memory_rows = [], []
-    for q in range(scores.shape[1]):
-        column = scores[:, q]
-        rows = np.flatnonzero(column > 0) if channel.positive_only else np.arange(len(column))
-        if len(rows) > k:
-            kth = np.partition(column[rows], len(rows) - k)[len(rows) - k]
-            rows = rows[column[rows] >= kth]
-            rows = rows[np.lexsort((seq[rows], -column[rows]))[:k]]
-        query_rows.append(np.full(len(rows), q))
-        memory_rows.append(rows)
-    q_idx, m_idx = np.concatenate(query_rows), np.concatenate(memory_rows)
-    return pa.RecordBatch.from_arrays(
-        [questions.column("query_id").combine_chunks().take(pa.array(q_idx)),
-         memories.column("id").combine_chunks().take(pa.array(m_idx)),
-         memories.column("seq").combine_chunks().take(pa.array(m_idx)),
-         pa.array(scores[m_idx, q_idx], pa.float64())],
-        names=["query_id", "id", "seq", "score"])
-
-
-def _by_user(table: pa.Table) -> Iterator[tuple[object, pa.Table]]:
-    """Split a table into one table per user."""
+    step = max(1, cells // max(1, memories.num_rows))
+    for start in range(0, questions.num_rows, step):
+        part = questions.slice(start, step)
+        scores = np.round(channel.scorer(memories, part), decimals) + 0.0
+        query_rows, memory_rows = [], []
+        for q in range(scores.shape[1]):
+            column = scores[:, q]
+            rows = np.flatnonzero(column > 0) if channel.positive_only else np.arange(len(column))
+            if len(rows) > k:
+                # Everything tied with the k-th score stays until seq decides.
+                kth = np.partition(column[rows], len(rows) - k)[len(rows) - k]
+                rows = rows[column[rows] >= kth]
+                rows = rows[np.lexsort((seq[rows], -column[rows]))[:k]]
+            query_rows.append(np.full(len(rows), q))
+            memory_rows.append(rows)
+        q_idx, m_idx = np.concatenate(query_rows), np.concatenate(memory_rows)
+        yield pa.RecordBatch.from_arrays(
+            [part.column("query_id").combine_chunks().take(pa.array(q_idx)),
+             memories.column("id").combine_chunks().take(pa.array(m_idx)),
+             memories.column("seq").combine_chunks().take(pa.array(m_idx)),
+             pa.array(scores[m_idx, q_idx], pa.float64())],
+            names=["query_id", "id", "seq", "score"])
+
+
+def _by_user(table: pa.Table) -> tuple[pa.Table, dict[object, tuple[int, int]]]:
+    """The table sorted by user, and where each user's rows are (offset, length)."""
     codes = table.column("user_id").combine_chunks().dictionary_encode()
     order = pc.array_sort_indices(codes.indices)
-    sorted_codes = codes.indices.take(order).to_numpy(zero_copy_only=False)
-    starts = np.flatnonzero(np.r_[True, sorted_codes[1:] != sorted_codes[:-1]])
-    ends = np.r_[starts[1:], len(sorted_codes)]
-    for start, end in zip(starts, ends):
-        user = codes.dictionary[int(sorted_codes[start])].as_py()
-        yield user, table.take(order.slice(start, end - start))
+    in_order = codes.indices.take(order).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+    ends = np.r_[starts[1:], len(in_order)]
+    users = codes.dictionary.take(pa.array(in_order[starts])).to_pylist()
+    return table.take(order).combine_chunks(), {
+        user: (int(start), int(end - start)) for user, start, end in zip(users, starts, ends)}
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -139,16 +145,17 @@ def _hit_schema(memories: DataFrame, questions: DataFrame) -> T.StructType:
 
 
 def _scan(memories: DataFrame, questions: pa.Table, schema: T.StructType, channel: Channel, k: int) -> DataFrame:
-    by_user = dict(_by_user(questions)) if questions.num_rows else {}
-    shared = memories.sparkSession.sparkContext.broadcast(by_user)
-    decimals, block_rows = S.SCORE_DECIMALS, BLOCK_ROWS
+    shared = memories.sparkSession.sparkContext.broadcast(
+        _by_user(questions) if questions.num_rows else (questions, {}))
+    decimals, block_rows, cells = S.SCORE_DECIMALS, BLOCK_ROWS, SCORE_CELLS
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
+        asks, asked_at = shared.value
         for block in _blocks(batches, block_rows):
-            for user, rows in _by_user(block):
-                if user in wanted:
-                    yield _best(rows, wanted[user], channel, k, decimals)
+            rows, rows_at = _by_user(block)
+            for user, place in rows_at.items():
+                if user in asked_at:
+                    yield from _best(rows.slice(*place), asks.slice(*asked_at[user]), channel, k, decimals, cells)
 
     return memories.mapInArrow(stage, schema)
 
@@ -170,13 +177,13 @@ def _grid(memories: DataFrame, questions: DataFrame, schema: T.StructType, chann
              .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
              .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
              .drop("slices", "blocks"))
-    decimals = S.SCORE_DECIMALS
+    decimals, cells = S.SCORE_DECIMALS, SCORE_CELLS
 
     def cell(mems: pa.Table, asks: pa.Table) -> pa.Table:
         if not mems.num_rows or not asks.num_rows:
             return pa.table({"query_id": asks.column("query_id").slice(0, 0), "id": mems.column("id").slice(0, 0),
                              "seq": mems.column("seq").slice(0, 0), "score": pa.array([], pa.float64())})
-        return pa.Table.from_batches([_best(mems, asks, channel, k, decimals)])
+        return pa.Table.from_batches(list(_best(mems, asks, channel, k, decimals, cells)))
 
     keys = ["user_id", "slice", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from turnstore import settings as S
 from turnstore.functions import text as X
 from turnstore.operators.ingest import with_keys
-from turnstore.runtime import cut_lineage
+from turnstore.runtime import cut_lineage, small_side
 
 OFFER_ORDER = ["down", "hit_seq", "slot"]
 PAGE_ROWS = 2_000   # offers of one question folded at a time
@@ -55,11 +55,13 @@ def keyed(memories: DataFrame) -> DataFrame:
 def offers(hits: DataFrame, memories: DataFrame, radius: int) -> DataFrame:
     """Hits and neighbours with their key and length, without their text.
 
-    Ids are unique, so this is one equi-join; Spark broadcasts the offered ids
-    when they are few and otherwise splits ids that many questions share.
+    Ids are unique, so this is one equi-join. Few offers are sent to the memories,
+    which then are not shuffled; many are shuffled by id, and ids that a lot of
+    questions share are split.
     """
     stored = keyed(memories).select("id", "seq", "kind", F.col("dedupe_key").alias("key"), "n_chars")
-    return offer_ids(hits, radius).join(stored, "id").withColumn("down", -F.col("score"))
+    offered = small_side(offer_ids(hits, radius))
+    return stored.join(offered, "id").withColumn("down", -F.col("score"))
 
 
 def neighbour_window(hits: DataFrame, memories: DataFrame, radius: int = S.WINDOW_RADIUS) -> DataFrame:
@@ -73,6 +75,12 @@ def first_per_key(offered: DataFrame) -> DataFrame:
     return offered.withColumn("_n", F.row_number().over(by_key)).where("_n = 1").drop("_n")
 
 
+def ranked(rank: Ranker, queries: DataFrame, k: int) -> DataFrame:
+    """The best *k* hits of each question, written once, with their number ``found``."""
+    hits = rank(queries.select("query_id"), k)
+    return cut_lineage(hits.withColumn("found", F.count("*").over(W.partitionBy("query_id"))))
+
+
 def _limits(queries: DataFrame, return_limit: int) -> DataFrame:
     cap = F.least(F.col("top_k"), F.lit(return_limit))
     return queries.where("top_k > 0").select("query_id", cap.alias("limit"))
@@ -81,8 +89,7 @@ def _limits(queries: DataFrame, return_limit: int) -> DataFrame:
 def _first_pass(hits: DataFrame, memories: DataFrame, limits: DataFrame, n_hits: int, radius: int,
                 budget: int, most: int) -> DataFrame:
     """Taken offers per question, with ``exact`` telling whether they are final."""
-    found = hits.withColumn("found", F.count("*").over(W.partitionBy("query_id")))
-    offered = offers(found, memories, radius).join(limits, "query_id").repartition("query_id")
+    offered = offers(hits, memories, radius).join(limits, "query_id").repartition("query_id")
     ordered = W.partitionBy("query_id").orderBy(*OFFER_ORDER)
     capped = (first_per_key(offered).withColumn("take", F.row_number().over(ordered))
               .where((F.col("take") <= most) & (F.col("take") <= F.col("limit"))))
@@ -124,9 +131,8 @@ def _walk(pending: DataFrame, rank: Ranker, memories: DataFrame, n_hits: int, ra
                            no_keys.alias("seen"), no_items.alias("out"))
     finished, size = [], n_hits
     while True:
-        hits = rank(state.select("query_id"), size)
-        found = hits.withColumn("found", F.count("*").over(W.partitionBy("query_id")))
-        offered = offers(found, memories, radius).join(state, "query_id")
+        hits = ranked(rank, state, size)
+        offered = offers(hits, memories, radius).join(state, "query_id")
         fresh = ~F.array_contains("seen", F.col("key")) & (
             (F.col("n_chars") <= F.col("budget")) | (F.size("out") == 0))
         order = F.struct(*OFFER_ORDER)
@@ -138,7 +144,7 @@ def _walk(pending: DataFrame, rank: Ranker, memories: DataFrame, n_hits: int, ra
                 .groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
                     F.col("first.order").alias("order"), "key", "n_chars",
                     F.col("first.id").alias("id"), F.col("first.score").alias("score")))).alias("page")))
-        seen_hits = found.groupBy("query_id").agg(F.max("found").alias("found"))
+        seen_hits = hits.groupBy("query_id").agg(F.max("found").alias("found"))
         no_page = F.array().cast(page.schema["page"].dataType)
         folded = _fold(F.col("budget"), F.col("seen"), F.coalesce("page", no_page), F.col("limit"), F.col("out"))
         full = (F.size("new.out") >= F.col("limit")) | ((F.size("new.out") > 0) & (F.col("new.budget") <= 0))
@@ -180,12 +186,11 @@ def select_memories(rank: Ranker, memories: DataFrame, queries: DataFrame, radiu
     most = limits.agg(F.max("limit").alias("most")).first()["most"] or 1
     n_hits = max(1, hit_factor * most)
     columns = ["query_id", "take", "id", "score"]
-    first = cut_lineage(_first_pass(rank(limits.select("query_id"), n_hits), memories, limits, n_hits,
-                                    radius, char_budget, most)
+    first = cut_lineage(_first_pass(ranked(rank, limits, n_hits), memories, limits, n_hits, radius, char_budget, most)
                         .select(*columns, "limit", "exact"))
     exact = first.where("exact").select(*columns)
     pending = first.where("not exact").select("query_id", "limit").distinct()
     taken = exact
     if not pending.isEmpty():
         taken = exact.unionByName(_walk(pending, rank, memories, n_hits, radius, char_budget, page_rows))
-    return taken.join(memories.select("id", "kind", "content", "created_at"), "id")
+    return memories.select("id", "kind", "content", "created_at").join(small_side(taken), "id")

@@ -49,14 +49,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write *df* to the shared checkpoint folder and read it back.
+    """Write *df* to the shared folder and read it back.
 
-    The files outlive lost executors, unlike cached or local blocks.
+    The files outlive lost executors, unlike cached or local blocks, and their
+    size is known when the next plan is made.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Most rows of a side that is sent to every task. Such sides hold keys, ids and
+# numbers, a few hundred bytes each.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """*df*, marked for broadcast if it was counted to be small.
+
+    The other side of the join then stays where it is. A larger *df* is left to
+    the shuffle join, which splits skewed keys.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def order_splitters(df: DataFrame, order: list[str], pieces: int) -> list[tuple]:

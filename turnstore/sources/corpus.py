@@ -1,8 +1,9 @@
 """Conversation corpora: nested JSON with one dynamic key per session.
 
-The corpus is read as one JSON text per sample (``sample int, body string``), so
-samples spread over tasks and every step below is a narrow, per-row expression:
-a sample is expanded to session, chunk and turn rows without any shuffle.
+The corpus is read as one row per sample (``sample, conversation string, qa
+string``, the latter two JSON texts), so samples spread over tasks and every step
+below is a narrow, per-row expression: a sample is expanded to session, chunk and
+turn rows without any shuffle.
 """
 
 from __future__ import annotations
@@ -19,21 +20,22 @@ SESSION_KEY = r"^session_([0-9]+)$"
 SESSION_DATE_FORMATS = ("h:mm a 'on' d MMMM, yyyy", "h:mm a 'on' d MMM, yyyy")
 
 
+_SAMPLE = "conversation string, qa string"
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of a corpus file that holds one JSON array.
+    """Samples of a file that holds one JSON array, numbered by their place in it.
 
-    A single JSON array is one record to any reader; for large corpora store one
-    sample per line and use :func:`read_corpus_lines`.
+    One array is one split to any reader: it is streamed by one task. Store large
+    corpora one sample per line and use :func:`read_corpus_lines`.
     """
-    whole = spark.read.text(path, wholetext=True)
-    bodies = F.from_json("value", "array<string>")
-    return whole.select(F.posexplode(bodies).alias("sample", "body"))
+    samples = spark.read.schema(_SAMPLE).option("multiLine", True).json(path)
+    return samples.select(F.monotonically_increasing_id().alias("sample"), "conversation", "qa")
 
 
 def read_corpus_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Samples stored one per line as ``{"sample": n, "body": {...}}``."""
-    schema = T.StructType([T.StructField("sample", T.IntegerType()), T.StructField("body", T.StringType())])
-    return spark.read.schema(schema).json(path)
+    """Samples stored one per line, with their number in ``sample``."""
+    return spark.read.schema("sample bigint, " + _SAMPLE).json(path)
 
 
 def session_millis(text: Column) -> Column:
@@ -44,7 +46,7 @@ def session_millis(text: Column) -> Column:
 
 def _sessions(corpus: DataFrame) -> DataFrame:
     """One row per session that holds a list of turns."""
-    conversation = F.from_json(F.get_json_object("body", "$.conversation"), "map<string,string>")
+    conversation = F.from_json("conversation", "map<string,string>")
     keyed = (corpus.select("sample", conversation.alias("conversation"))
              .select("sample", "conversation", F.explode("conversation").alias("key", "value"))
              .where(F.col("key").rlike(SESSION_KEY) & F.col("value").startswith("[")))
@@ -114,7 +116,7 @@ def chunk_map(chunks: DataFrame) -> DataFrame:
 
 def corpus_questions(corpus: DataFrame) -> DataFrame:
     """Questions that can be scored; the id counts the skipped ones too."""
-    pairs = F.from_json(F.get_json_object("body", "$.qa"), T.ArrayType(T.StringType()))
+    pairs = F.from_json("qa", T.ArrayType(T.StringType()))
     numbered = corpus.select(F.col("sample").alias("conv"), F.posexplode(pairs).alias("position", "raw"))
     return eval_questions(numbered.select(
         "conv", "position", F.from_json("raw", CORPUS_QA).alias("qa"),

@@ -154,7 +154,9 @@ def id_isolation(spark, sf):
     other = ingest.prepared(D.requests(spark, sf).withColumn("user_id", F.concat(F.lit("other-"), "user_id")))
     mine, theirs = ingest.raw_memories(asked).select("id"), ingest.raw_memories(other).select("id")
     shared = mine.intersect(theirs).agg(F.count("*").alias("shared"))
-    return mine.unionByName(theirs).agg(F.count("*").alias("stored"), F.countDistinct("id").alias("ids")).join(shared)
+    counted = mine.unionByName(theirs).agg(F.count("*").alias("stored"), F.countDistinct("id").alias("ids"))
+    both = counted.unionByName(shared, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query

@@ -161,6 +161,7 @@ def eval_questions(spark: SparkSession, sf: str) -> DataFrame:
     none = F.array().cast("array<string>")
     return vector_questions(spark, sf).select(
         F.col("query_id").alias("question_id"), F.col("label").alias("category"),
+        F.col("label").alias("conv"),
         F.concat(F.lit("Which one is "), text("vec_id"), F.lit("?")).alias("question"), "vec_id",
         F.when(F.col("vec_id") % 7 == 0, none).otherwise(later).alias("evidence"))
 
@@ -169,7 +170,7 @@ def eval_chunk_map(spark: SparkSession, sf: str) -> DataFrame:
     memories = vector_memories(spark, sf)
     return memories.select(
         X.id_digest(F.col("id")).alias("digest"), (F.col("vec_id") % 20).cast("int").alias("position"),
-        F.concat(F.lit("v"), text("vec_id")).alias("dia_id"))
+        F.concat(F.lit("v"), text("vec_id")).alias("dia_id"), F.substring("user_id", 2, 20).cast("int").alias("conv"))
 
 
 def retrieval(spark: SparkSession, sf: str) -> DataFrame:
@@ -231,9 +232,10 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     joined = lambda name: F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("session", name))), lambda e: e[name]), ",")
     samples = sessions.withColumn("part", part).groupBy("conv_id").agg(joined("part").alias("parts"), joined("qa").alias("qa"))
-    body = F.concat(F.lit('{"conversation":{"speaker_a":"user","speaker_b":"assistant","session_x":"no list",'),
-                    F.col("parts"), F.lit('},"qa":['), F.col("qa"), F.lit("]}"))
-    return samples.select(F.col("conv_id").cast("int").alias("sample"), body.alias("body"))
+    conversation = F.concat(F.lit('{"speaker_a":"user","speaker_b":"assistant","session_x":"no list",'),
+                            F.col("parts"), F.lit("}"))
+    return samples.select(F.col("conv_id").cast("int").alias("sample"), conversation.alias("conversation"),
+                          F.concat(F.lit("["), F.col("qa"), F.lit("]")).alias("qa"))
 
 
 # --- events ------------------------------------------------------------------------
