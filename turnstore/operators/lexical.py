@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnstore import settings as S
 from turnstore.operators.scoring import Channel, top_hits
-from turnstore.runtime import small_side
+from turnstore.runtime import cut_lineage, small_side
 
 TOKEN = r"[\p{L}\p{N}]+"
 # Cells of one dense count matrix: bounds the memory of a scoring step.
@@ -89,7 +89,9 @@ def bm25_hits(memories: DataFrame, questions: DataFrame, k: int = S.RRF_CANDIDAT
               text: str = "content", query: str = "query", **sizes: int) -> DataFrame:
     """The best *k* memories of each question that share a term with it."""
     held = tokenised(memories, text)
-    return top_hits(held, weighted_questions(held, questions, query), k, bm25_channel(), strategy, **sizes)
+    # Written once: the plan of the scoring step depends on its measured size.
+    weighted = cut_lineage(weighted_questions(held, questions, query))
+    return top_hits(held, weighted, k, bm25_channel(), strategy, **sizes)
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int, lexical_weight: float = 1.0,

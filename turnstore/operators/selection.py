@@ -28,7 +28,7 @@ from turnstore.runtime import cut_lineage, small_side
 
 OFFER_ORDER = ["down", "hit_seq", "slot"]
 PAGE_ROWS = 2_000   # offers of one question folded at a time
-HIT_GROWTH = 8      # further hits ranked per pass over unfinished questions
+HIT_GROWTH = 16     # further hits ranked per pass over unfinished questions
 
 Ranker = Callable[[DataFrame, int], DataFrame]
 
@@ -129,7 +129,8 @@ def _walk(pending: DataFrame, rank: Ranker, memories: DataFrame, n_hits: int, ra
     no_items = F.array().cast("array<struct<id:string,score:double>>")
     state = pending.select("query_id", "limit", F.lit(budget).cast("bigint").alias("budget"),
                            no_keys.alias("seen"), no_items.alias("out"))
-    finished, size = [], n_hits
+    # These questions need more than the first pass ranked.
+    finished, size = [], n_hits * HIT_GROWTH
     while True:
         hits = ranked(rank, state, size)
         offered = offers(hits, memories, radius).join(state, "query_id")

@@ -22,6 +22,9 @@ class AddJob:
     embedder: Embedder
     extractor: Caller | None = None
     max_calls: int | None = None
+    # Tasks that embed one batch. A model is slow for its bytes, so a small batch
+    # that Spark would put in one task may be spread by hand.
+    embed_tasks: int | None = None
 
     def run(self, requests: DataFrame, batch: int) -> DataFrame:
         """Write one batch and return the status of every request in it.
@@ -38,6 +41,8 @@ class AddJob:
         read = ingest.extracted(ingest.prepared(fresh), self.extractor, self.max_calls)
         pinned = cut_lineage(read.drop("messages", "reply"))
         items = ingest.sequenced(ingest.assign_bases(pinned, ledger))
+        if self.embed_tasks:
+            items = items.repartition(self.embed_tasks, "id")
         memories = with_vectors(ingest.with_keys(items), self.embedder)
         tables.write_batch(self.root, batch, memories, ingest.new_ledger(pinned))
         return add_report(requests, pinned)

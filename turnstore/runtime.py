@@ -70,7 +70,7 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     The other side of the join then stays where it is. A larger *df* is left to
     the shuffle join, which splits skewed keys.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def order_splitters(df: DataFrame, order: list[str], pieces: int) -> list[tuple]:

@@ -120,7 +120,7 @@ def ingest_exactly_once(spark, sf):
     root = scratch_path(spark, "exactly-once")
     asked = D.requests(spark, sf)
     other = asked.withColumn("user_id", F.concat(F.lit("other-"), "user_id"))
-    job = AddJob(root, D.EMBEDDER)
+    job = AddJob(root, D.EMBEDDER, embed_tasks=spark.sparkContext.defaultParallelism)
     job.run(asked.unionByName(asked), 0)
     job.run(asked.unionByName(other), 1)
     job.run(asked.unionByName(other), 1)
@@ -133,7 +133,7 @@ def stream_ingest(spark, sf):
     root = scratch_path(spark, "stream")
     events = D.table(spark, sf, "events")
     source = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf))
-    job = AddJob(root, D.EMBEDDER)
+    job = AddJob(root, D.EMBEDDER, embed_tasks=spark.sparkContext.defaultParallelism)
     for attempt in (0, 1):
         run = start_ingest(D.event_requests(source), job, scratch_path(spark, "offsets"), attempt * 1000, True)
         run.awaitTermination()
