@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from turnstore.functions.vectors import hashed_embedder
 from turnstore.operators import evaluation, lexical, policies, replicates
-from turnstore.operators.scoring import top_hits
 from turnstore.plans.add import AddJob
 from turnstore.plans.evaluate import EvaluationJob, answer, report
 from turnstore.plans.search import SearchJob
@@ -194,16 +193,14 @@ def test_fusion(spark):
     assert rows[0].score == round(1 / 62 + 2 / 61, 9)
 
 
-def test_diversity_cap_ranks_deeper_when_chunks_crowd(spark):
+def test_diversity_cap_when_chunks_crowd_the_top(spark):
     rows = [(f"{n // 30:016x}-r{n % 30}", "u", n, [1.0 - n / 1000, 0.0]) for n in range(120)]
     memories = spark.createDataFrame(rows, "id string, user_id string, seq bigint, vec array<float>")
     queries = spark.createDataFrame([("q", "u", [1.0, 0.0])], "query_id string, user_id string, qvec array<double>")
 
-    def rank(ids, k):
-        return top_hits(memories, queries.join(ids, "query_id", "left_semi"), k)
-
-    got = [r.seq for r in policies.diverse_hits(rank, queries, 7, n_hits=10).orderBy("p").collect()]
-    assert got == [0, 1, 30, 31, 60, 61, 90]
+    for plan in ({}, {"strategy": "grid", "slice_rows": 9}):
+        got = [r.seq for r in policies.diverse_hits(memories, queries, 7, **plan).orderBy("p").collect()]
+        assert got == [0, 1, 30, 31, 60, 61, 90]
 
 
 def test_parents_within_a_budget(spark):

@@ -31,7 +31,7 @@ MEMORY = ("id string, user_id string, seq bigint, kind string, content string, c
           "vec array<float>")
 
 
-def run_case(spark, seed, budget, radius, return_limit, hit_factor, page_rows, words, strategy="scan"):
+def run_case(spark, seed, budget, radius, return_limit, hit_factor, page_hits, words, strategy="scan"):
     rng = random.Random(seed)
     stores = {f"u{n}": make_store(rng, f"u{n}", rng.randint(0, 12), words) for n in range(4)}
     questions = [{"query_id": f"q{n}", "user_id": f"u{n % 5}", "top_k": rng.choice([0, 1, 3, 7, 200]),
@@ -39,11 +39,8 @@ def run_case(spark, seed, budget, radius, return_limit, hit_factor, page_rows, w
     memories = spark.createDataFrame([i for s in stores.values() for i in s], MEMORY).repartition(3)
     queries = spark.createDataFrame(questions, "query_id string, user_id string, top_k int, qvec array<double>")
 
-    def rank(ids, k):
-        asked = queries.join(ids, "query_id", "left_semi")
-        return top_hits(memories, asked, k, strategy=strategy, slice_rows=5, query_block=2)
-
-    got = select_memories(rank, memories, queries, radius, budget, return_limit, hit_factor, page_rows)
+    got = select_memories(memories, queries, radius, budget, return_limit, hit_factor, page_hits,
+                          strategy=strategy, slice_rows=5, query_block=2)
     found = {}
     for row in got.orderBy("query_id", "take").collect():
         found.setdefault(row.query_id, []).append((row.id, round(row.score, 6)))

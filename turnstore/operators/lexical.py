@@ -82,7 +82,7 @@ def _bm25_scorer(k1: float, b: float, cells: int):
 
 
 def bm25_channel(k1: float = S.BM25_K1, b: float = S.BM25_B) -> Channel:
-    return Channel(_bm25_scorer(k1, b, _CELLS), ("tokens",), ("terms", "idfs", "avg_len"), positive_only=True)
+    return Channel(_bm25_scorer(k1, b, _CELLS), ("tokens",), ("terms", "idfs", "avg_len"), floor=0.0)
 
 
 def bm25_hits(memories: DataFrame, questions: DataFrame, k: int = S.RRF_CANDIDATES, strategy: str = "auto",
@@ -91,7 +91,7 @@ def bm25_hits(memories: DataFrame, questions: DataFrame, k: int = S.RRF_CANDIDAT
     held = tokenised(memories, text)
     # Written once: the plan of the scoring step depends on its measured size.
     weighted = cut_lineage(weighted_questions(held, questions, query))
-    return top_hits(held, weighted, k, bm25_channel(), strategy, **sizes)
+    return top_hits(held, weighted, k, bm25_channel(), strategy=strategy, **sizes)
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int, lexical_weight: float = 1.0,

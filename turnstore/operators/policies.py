@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from turnstore import settings as S
 from turnstore.functions import text as X
-from turnstore.operators.selection import HIT_GROWTH, Ranker, ranked
-from turnstore.runtime import cut_lineage
+from turnstore.operators.scoring import DENSE, candidates
 
 
 def top_k(hits: DataFrame, k: int) -> DataFrame:
@@ -23,28 +24,16 @@ def diversity_cap(hits: DataFrame, k: int, per_chunk: int = S.CHUNK_CAP) -> Data
     return top_k(spread.withColumn("_n", F.row_number().over(chunk)).where(F.col("_n") <= per_chunk).drop("_n"), k)
 
 
-def diverse_hits(rank: Ranker, queries: DataFrame, k: int, per_chunk: int = S.CHUNK_CAP,
-                 n_hits: int | None = None) -> DataFrame:
-    """:func:`diversity_cap` over whole stores: ranks further where chunks crowd the top.
+def diverse_hits(memories: DataFrame, queries: DataFrame, k: int, per_chunk: int = S.CHUNK_CAP, **plan) -> DataFrame:
+    """:func:`diversity_cap` over whole stores.
 
-    A question is final once *k* hits survive the cap or all its memories were
-    ranked; only the others are ranked again, deeper.
+    The cap already holds inside every scored block. That loses nothing: a memory
+    that a block drops has *per_chunk* better ones of its chunk, or *k* better
+    capped ones, and both stay true for the whole store.
     """
-    size, parts, pending = n_hits or 4 * k, [], queries.select("query_id")
-    per_query = W.partitionBy("query_id")
-    while True:
-        kept = diversity_cap(ranked(rank, pending, size), k, per_chunk)
-        done = (F.count("*").over(per_query) >= k) | (F.col("found") < size)
-        kept = cut_lineage(kept.withColumn("done", done))
-        parts.append(kept.where("done").drop("done", "found"))
-        pending = kept.where("not done").select("query_id").distinct()
-        if pending.isEmpty():
-            break
-        size *= HIT_GROWTH
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    capped = replace(DENSE, group="digest", per_group=per_chunk)
+    marked = memories.withColumn("digest", X.id_digest(F.col("id")))
+    return diversity_cap(candidates(marked, queries, k, capped, **plan), k, per_chunk)
 
 
 def single_kind(memories: DataFrame, kind: str) -> DataFrame:

@@ -45,7 +45,9 @@ class Channel:
     scorer: BlockScorer
     memory_columns: tuple[str, ...]
     query_columns: tuple[str, ...]
-    positive_only: bool = False
+    floor: float | None = None      # only scores above it count
+    group: str | None = None        # memory column whose values share ``per_group`` places
+    per_group: int = 0
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -61,19 +63,36 @@ def dot_products(memories: pa.Table, questions: pa.Table) -> np.ndarray:
 DENSE = Channel(dot_products, ("vec",), ("qvec",))
 
 
+def _leading(groups: np.ndarray, limit: int) -> np.ndarray:
+    """Marks the first *limit* entries of every group, in the given order."""
+    by_group = np.argsort(groups, kind="stable")
+    sorted_groups = groups[by_group]
+    starts = np.flatnonzero(np.r_[True, sorted_groups[1:] != sorted_groups[:-1]])
+    lengths = np.diff(np.r_[starts, len(groups)])
+    marks = np.zeros(len(groups), dtype=bool)
+    marks[by_group] = np.arange(len(groups)) - np.repeat(starts, lengths) < limit
+    return marks
+
+
 def _best(memories: pa.Table, questions: pa.Table, channel: Channel, k: int, decimals: int,
           cells: int) -> Iterator[pa.RecordBatch]:
     """The best *k* memories for each question of one user, some questions at a time."""
     seq = memories.column("seq").to_numpy()
     step = max(1, cells // max(1, memories.num_rows))
+    groups = None
+    if channel.group:
+        groups = memories.column(channel.group).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
     for start in range(0, questions.num_rows, step):
         part = questions.slice(start, step)
         scores = np.round(channel.scorer(memories, part), decimals) + 0.0
         query_rows, memory_rows = [], []
         for q in range(scores.shape[1]):
             column = scores[:, q]
-            rows = np.flatnonzero(column > 0) if channel.positive_only else np.arange(len(column))
-            if len(rows) > k:
+            rows = np.arange(len(column)) if channel.floor is None else np.flatnonzero(column > channel.floor)
+            if groups is not None and len(rows):
+                rows = rows[np.lexsort((seq[rows], -column[rows]))]
+                rows = rows[_leading(groups[rows], channel.per_group)][:k]
+            elif len(rows) > k:
                 # Everything tied with the k-th score stays until seq decides.
                 kth = np.partition(column[rows], len(rows) - k)[len(rows) - k]
                 rows = rows[column[rows] >= kth]
@@ -189,29 +208,33 @@ def _grid(memories: DataFrame, questions: DataFrame, schema: T.StructType, chann
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
 
 
-def top_hits(memories: DataFrame, questions: DataFrame, k: int, channel: Channel = DENSE,
-             strategy: str = "auto", scan_bytes: int = SCAN_BYTES, slice_rows: int = SLICE_ROWS,
-             query_block: int = QUERY_BLOCK) -> DataFrame:
-    """The best *k* memories of every question: query_id, id, seq, score, p (from 1).
-
-    *memories* has user_id, id, seq and the channel's columns; *questions* has
-    query_id, user_id and the channel's columns. Questions of unknown users give
-    no row. Ties are broken by ``seq``.
-    """
+def candidates(memories: DataFrame, questions: DataFrame, k: int, channel: Channel = DENSE,
+               strategy: str = "auto", scan_bytes: int = SCAN_BYTES, slice_rows: int = SLICE_ROWS,
+               query_block: int = QUERY_BLOCK) -> DataFrame:
+    """The best *k* memories of every question within each block: query_id, id, seq, score."""
     if strategy not in ("auto", "scan", "grid"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    sides = [f"{c} is not null" for c in channel.memory_columns]
-    rows = memories.select("user_id", "id", "seq", *channel.memory_columns).where(" and ".join(sides))
+    extra = [*channel.memory_columns, *([channel.group] if channel.group else [])]
+    rows = memories.select("user_id", "id", "seq", *extra).where(
+        " and ".join(f"{c} is not null" for c in channel.memory_columns))
     columns = ["query_id", "user_id", *channel.query_columns]
     asks = questions.select(*columns).where(" and ".join(f"{c} is not null" for c in channel.query_columns))
     schema = _hit_schema(rows, asks)
     fetched = None if strategy == "grid" else bounded(asks, columns, scan_bytes)
-    if fetched is None and strategy == "scan":
-        raise ValueError(f"the questions take more than {scan_bytes} bytes: use strategy 'grid' or 'auto'")
     if fetched is not None:
-        scored = _scan(rows, fetched, schema, channel, k)
-    else:
-        scored = _grid(rows, asks, schema, channel, k, slice_rows, query_block)
+        return _scan(rows, fetched, schema, channel, k)
+    if strategy == "scan":
+        raise ValueError(f"the questions take more than {scan_bytes} bytes: use strategy 'grid' or 'auto'")
+    return _grid(rows, asks, schema, channel, k, slice_rows, query_block)
+
+
+def top_hits(memories: DataFrame, questions: DataFrame, k: int, channel: Channel = DENSE, **plan) -> DataFrame:
+    """The best *k* memories of every question: query_id, id, seq, score, p (from 1).
+
+    *memories* has user_id, id, seq and the channel's columns; *questions* has
+    query_id, user_id and the channel's columns. Questions of unknown users give
+    no row. Ties are broken by ``seq``. *plan* is passed to :func:`candidates`.
+    """
     best_first = W.partitionBy("query_id").orderBy(F.desc("score"), "seq")
+    scored = candidates(memories, questions, k, channel, **plan)
     return scored.withColumn("p", F.row_number().over(best_first)).where(F.col("p") <= k)
-

@@ -10,27 +10,26 @@ As a plan: the order of offers is the sort key (score desc, seq, slot), so the
 walk is "first offer per key, then the first L of them" as long as the budget never
 refuses anything. That is two windows over a bounded number of hits per question.
 The few questions where it is not enough (so many copies that the ranked hits hold
-fewer than L keys, or a budget that binds) are finished by :func:`_walk`, which
-keeps a small state per question and looks at bounded pages of offers, collapsed
-by (key, length) before they are gathered.
+fewer than L keys, or a budget that binds) are finished by :func:`_walk`. It keeps a
+small state per question and ranks only hits that still have something to offer to
+that state, so copies and oversized texts cost scoring time but no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnstore import settings as S
 from turnstore.functions import text as X
 from turnstore.operators.ingest import with_keys
+from turnstore.operators.scoring import Channel, dot_products, top_hits
 from turnstore.runtime import cut_lineage, small_side
 
 OFFER_ORDER = ["down", "hit_seq", "slot"]
-PAGE_ROWS = 2_000   # offers of one question folded at a time
-HIT_GROWTH = 16     # further hits ranked per pass over unfinished questions
-
-Ranker = Callable[[DataFrame, int], DataFrame]
+PAGE_HITS = 1_000   # useful hits of one question folded at a time
 
 
 def offer_ids(hits: DataFrame, radius: int) -> DataFrame:
@@ -75,9 +74,8 @@ def first_per_key(offered: DataFrame) -> DataFrame:
     return offered.withColumn("_n", F.row_number().over(by_key)).where("_n = 1").drop("_n")
 
 
-def ranked(rank: Ranker, queries: DataFrame, k: int) -> DataFrame:
-    """The best *k* hits of each question, written once, with their number ``found``."""
-    hits = rank(queries.select("query_id"), k)
+def _counted(hits: DataFrame) -> DataFrame:
+    """Hits, written once, with their number per question as ``found``."""
     return cut_lineage(hits.withColumn("found", F.count("*").over(W.partitionBy("query_id"))))
 
 
@@ -117,81 +115,114 @@ def _fold(budget: Column, seen: Column, page: Column, limit: Column, taken: Colu
     return F.aggregate(page, start, step)
 
 
-def _walk(pending: DataFrame, rank: Ranker, memories: DataFrame, n_hits: int, radius: int, budget: int,
-          page_rows: int) -> DataFrame:
+def useful_scores(memories: pa.Table, questions: pa.Table) -> np.ndarray:
+    """Dot products, minus infinity where a hit has nothing left to offer.
+
+    A hit is useful when it or a neighbour has an unknown key and still fits.
+    """
+    scores = dot_products(memories, questions)
+    near = memories.column("near_keys").combine_chunks()
+    owner = np.repeat(np.arange(len(near)), pc.list_value_length(near).to_numpy(zero_copy_only=False))
+    keys = near.flatten().to_numpy(zero_copy_only=False)
+    sizes = memories.column("near_chars").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    budgets = questions.column("room").to_numpy()
+    seen = questions.column("seen_keys").combine_chunks()
+    for q in range(scores.shape[1]):
+        known = seen[q].values.to_numpy(zero_copy_only=False)
+        offered = (sizes <= budgets[q]) & ~np.isin(keys, known)
+        useful = np.zeros(len(near), dtype=bool)
+        useful[owner[offered]] = True
+        scores[~useful, q] = -np.inf
+    return scores
+
+
+USEFUL = Channel(useful_scores, ("vec", "near_keys", "near_chars"), ("qvec", "room", "seen_keys"), floor=-np.inf)
+
+
+def _with_near(memories: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
+    """Memories of the asking users with key (hashed) and length of all they can offer."""
+    users = small_side(queries.select("user_id").distinct())
+    mine = (keyed(memories).join(users, "user_id", "left_semi")
+            .select("user_id", "id", "seq", "vec", F.xxhash64("dedupe_key").alias("key"), "n_chars"))
+    if radius <= 0:
+        return mine.select("*", F.array("key").alias("near_keys"), F.array("n_chars").alias("near_chars"))
+    probes = offer_ids(mine.select(F.col("id").alias("owner"), "id", "seq"), radius)
+    near = (probes.join(mine.select("id", "key", "n_chars"), "id").groupBy(F.col("owner").alias("id"))
+            .agg(F.collect_list(F.struct("key", "n_chars")).alias("near")))
+    return mine.drop("key", "n_chars").join(near, "id").select(
+        "*", F.col("near.key").alias("near_keys"), F.col("near.n_chars").alias("near_chars")).drop("near")
+
+
+def _walk(pending: DataFrame, memories: DataFrame, queries: DataFrame, radius: int, budget: int,
+          page_hits: int, **plan) -> DataFrame:
     """Exact walk for the questions in *pending* (query_id, limit): query_id, id, score, take.
 
     Budgets only shrink and keys only become known, so an offer that was refused
-    once stays refused: the state is enough to skip it, whatever page it is on.
-    Each pass folds one page per question and drops the finished ones.
+    once stays refused. Each pass ranks the best *page_hits* useful hits of every
+    unfinished question and folds their offers in order. The first useful hit has
+    an acceptable offer, so there are at most L passes; a question with fewer
+    useful hits than a page is finished. Two are the rule.
     """
+    asked = queries.select("query_id", "user_id", "qvec").join(pending.select("query_id"), "query_id", "left_semi")
+    store = cut_lineage(_with_near(memories, asked, radius))
     no_keys = F.array().cast("array<string>")
     no_items = F.array().cast("array<struct<id:string,score:double>>")
     state = pending.select("query_id", "limit", F.lit(budget).cast("bigint").alias("budget"),
                            no_keys.alias("seen"), no_items.alias("out"))
-    # These questions need more than the first pass ranked.
-    finished, size = [], n_hits * HIT_GROWTH
+    # The first item is taken whatever its length.
+    room = F.when(F.size("out") == 0, F.lit(2**31 - 1).cast("bigint")).otherwise(F.col("budget"))
+    order = F.struct(*OFFER_ORDER)
+    finished = []
     while True:
-        hits = ranked(rank, state, size)
+        questions = asked.join(state.select(
+            "query_id", room.alias("room"), F.transform("seen", lambda k: F.xxhash64(k)).alias("seen_keys")), "query_id")
+        hits = _counted(top_hits(store, questions, page_hits, USEFUL, **plan))
         offered = offers(hits, memories, radius).join(state, "query_id")
-        fresh = ~F.array_contains("seen", F.col("key")) & (
-            (F.col("n_chars") <= F.col("budget")) | (F.size("out") == 0))
-        order = F.struct(*OFFER_ORDER)
+        fresh = ~F.array_contains("seen", F.col("key")) & (F.col("n_chars") <= room)
         # Copies share key and length: they shrink to one row before the shuffle.
         distinct = offered.where(fresh).groupBy("query_id", "key", "n_chars").agg(
-            F.min(F.struct(order.alias("order"), "id", "score")).alias("first"))
-        nth = F.row_number().over(W.partitionBy("query_id").orderBy("first.order"))
-        page = (distinct.withColumn("nth", nth).where(F.col("nth") <= page_rows)
-                .groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
-                    F.col("first.order").alias("order"), "key", "n_chars",
-                    F.col("first.id").alias("id"), F.col("first.score").alias("score")))).alias("page")))
-        seen_hits = hits.groupBy("query_id").agg(F.max("found").alias("found"))
+            F.min(F.struct(order.alias("order"), "id", "score")).alias("first"), F.max("found").alias("found"))
+        page = distinct.groupBy("query_id").agg(F.max("found").alias("found"), F.array_sort(F.collect_list(F.struct(
+            F.col("first.order").alias("order"), "key", "n_chars",
+            F.col("first.id").alias("id"), F.col("first.score").alias("score")))).alias("page"))
         no_page = F.array().cast(page.schema["page"].dataType)
         folded = _fold(F.col("budget"), F.col("seen"), F.coalesce("page", no_page), F.col("limit"), F.col("out"))
         full = (F.size("new.out") >= F.col("limit")) | ((F.size("new.out") > 0) & (F.col("new.budget") <= 0))
-        page_full = F.coalesce(F.size("page"), F.lit(0)) >= page_rows
-        all_ranked = F.coalesce("found", F.lit(0)) < size
-        after = (state.join(page, "query_id", "left").join(seen_hits, "query_id", "left")
-                 .withColumn("new", folded)
-                 .select("query_id", "limit", F.col("new.budget").alias("budget"), F.col("new.seen").alias("seen"),
-                         F.col("new.out").alias("out"), (full | (all_ranked & ~page_full)).alias("done"),
-                         page_full.alias("more")))
-        after = cut_lineage(after)
+        after = cut_lineage(
+            state.join(page, "query_id", "left").withColumn("new", folded)
+            .select("query_id", "limit", F.col("new.budget").alias("budget"), F.col("new.seen").alias("seen"),
+                    F.col("new.out").alias("out"),
+                    (full | (F.coalesce("found", F.lit(0)) < page_hits)).alias("done")))
         finished.append(after.where("done").select("query_id", "out"))
         state = after.where("not done").drop("done")
-        left = state.agg(F.count("*").alias("n"), F.count_if(~F.col("more")).alias("starved")).first()
-        if left["n"] == 0:
+        if state.isEmpty():
             break
-        if left["starved"]:
-            size *= HIT_GROWTH
-        state = state.drop("more")
     out = finished[0]
     for part in finished[1:]:
         out = out.unionByName(part)
     return (out.select("query_id", F.posexplode("out").alias("take", "item"))
-            .select("query_id", "item.id", "item.score", (F.col("take") + 1).alias("take")))
+            .select("query_id", (F.col("take") + 1).alias("take"), "item.id", "item.score"))
 
 
-def select_memories(rank: Ranker, memories: DataFrame, queries: DataFrame, radius: int = S.WINDOW_RADIUS,
+def select_memories(memories: DataFrame, queries: DataFrame, radius: int = S.WINDOW_RADIUS,
                     char_budget: int = S.RETURN_CHAR_BUDGET, return_limit: int = S.RETURN_LIMIT,
-                    hit_factor: int = 2, page_rows: int = PAGE_ROWS) -> DataFrame:
+                    hit_factor: int = 2, page_hits: int = PAGE_HITS, **plan) -> DataFrame:
     """The memories each question gets, in the order they are taken.
 
-    *rank(ids, k)* returns the best *k* hits (query_id, id, seq, score) of the
-    questions in *ids*; *queries* has query_id and top_k. Result: query_id, take
-    (from 1), id, score, kind, content, created_at. The text is read for the
-    selected memories only.
+    *queries* has query_id, user_id, qvec and top_k. Result: query_id, take (from
+    1), id, score, kind, content, created_at; the text is read for the selected
+    memories only. *plan* goes to the scoring operator.
     """
     limits = _limits(queries, return_limit)
     # The first pass ranks hit_factor times the largest answer asked for.
     most = limits.agg(F.max("limit").alias("most")).first()["most"] or 1
     n_hits = max(1, hit_factor * most)
     columns = ["query_id", "take", "id", "score"]
-    first = cut_lineage(_first_pass(ranked(rank, limits, n_hits), memories, limits, n_hits, radius, char_budget, most)
+    hits = _counted(top_hits(memories, queries.where("top_k > 0"), n_hits, **plan))
+    first = cut_lineage(_first_pass(hits, memories, limits, n_hits, radius, char_budget, most)
                         .select(*columns, "limit", "exact"))
-    exact = first.where("exact").select(*columns)
+    taken = first.where("exact").select(*columns)
     pending = first.where("not exact").select("query_id", "limit").distinct()
-    taken = exact
     if not pending.isEmpty():
-        taken = exact.unionByName(_walk(pending, rank, memories, n_hits, radius, char_budget, page_rows))
+        taken = taken.unionByName(_walk(pending, memories, queries, radius, char_budget, page_hits, **plan))
     return memories.select("id", "kind", "content", "created_at").join(small_side(taken), "id")

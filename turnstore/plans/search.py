@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from turnstore.functions.vectors import Embedder, blend, embed
 from turnstore.operators import ordering, rounds
 from turnstore.operators.models import Caller, call_model
-from turnstore.operators.scoring import top_hits
 from turnstore.operators.selection import select_memories
 from turnstore.runtime import cut_lineage
 from turnstore.settings import SearchSettings
@@ -42,12 +41,7 @@ class SearchJob:
     def one_round(self, memories: DataFrame, queries: DataFrame) -> DataFrame:
         """Results of questions that already have ``qvec``."""
         knobs = self.settings
-
-        def rank(ids: DataFrame, k: int) -> DataFrame:
-            return top_hits(memories, queries.join(ids, "query_id", "left_semi"), k)
-
-        taken = select_memories(rank, memories, queries, knobs.radius, knobs.char_budget,
-                                knobs.return_limit, knobs.hit_factor)
+        taken = select_memories(memories, queries, knobs.radius, knobs.char_budget, knobs.return_limit, knobs.hit_factor)
         return ordering.ordered(taken, knobs.ordering).select(*RESULT)
 
     def run(self, memories: DataFrame, requests: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from turnstore.functions import replies as R, text as X
 from turnstore.functions.vectors import blend, embed
 from turnstore.operators import (evaluation, health, ingest, lexical, ordering, policies, replicates, rounds)
 from turnstore.operators.scoring import top_hits
-from turnstore.operators.selection import first_per_key, neighbour_window, offers, select_memories
+from turnstore.operators.selection import first_per_key, neighbour_window, offers
 from turnstore.plans.add import AddJob
 from turnstore.plans.search import SearchJob
 from turnstore.runtime import cut_lineage, scratch_path
@@ -333,12 +333,8 @@ def single_kind_search(spark, sf):
 
 @query
 def diversity_cap(spark, sf):
-    memories, asked = D.vector_memories(spark, sf), D.vector_questions(spark, sf)
-
-    def rank(ids, k):
-        return top_hits(memories, asked.join(ids, "query_id", "left_semi"), k)
-
-    return _score6(policies.diverse_hits(rank, asked, 20).select("query_id", "id", "score", "p"))
+    found = policies.diverse_hits(D.vector_memories(spark, sf), D.vector_questions(spark, sf), 20)
+    return _score6(found.select("query_id", "id", "score", "p"))
 
 
 def _parents(spark, sf):
