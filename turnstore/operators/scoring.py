@@ -168,7 +168,7 @@ def _scan(memories: DataFrame, questions: pa.Table, schema: T.StructType, channe
         _by_user(questions) if questions.num_rows else (questions, {}))
     decimals, block_rows, cells = S.SCORE_DECIMALS, BLOCK_ROWS, SCORE_CELLS
 
-    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asks, asked_at = shared.value
         for block in _blocks(batches, block_rows):
             rows, rows_at = _by_user(block)
@@ -176,6 +176,11 @@ def _scan(memories: DataFrame, questions: pa.Table, schema: T.StructType, channe
                 if user in asked_at:
                     yield from _best(rows.slice(*place), asks.slice(*asked_at[user]), channel, k, decimals, cells)
 
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Many users give many short batches: they go back to the JVM together.
+        for table in _blocks(scored(batches), block_rows):
+            yield from table.combine_chunks().to_batches()
+
     return memories.mapInArrow(stage, schema)
 
 
