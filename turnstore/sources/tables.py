@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql import types as T
 
+from turnstore.runtime import small_side
 from turnstore.schemas import LEDGER, MEMORY
 
 USER_BUCKETS = 64
@@ -41,9 +42,8 @@ def read_ledger(spark: SparkSession, root: str) -> DataFrame:
 def read_memories(spark: SparkSession, root: str) -> DataFrame:
     """All committed memories; a batch without ledger rows is still invisible."""
     schema = T.StructType([*_batched(MEMORY).fields, T.StructField("user_bucket", T.IntegerType())])
-    committed = read_ledger(spark, root).select("batch").distinct()
-    # The batch list is one row per finished batch, far smaller than the table,
-    # and turns into a partition filter on the scan.
+    # One number per finished batch: sent to the scan, where it prunes partitions.
+    committed = small_side(read_ledger(spark, root).select("batch").distinct())
     return _read(spark, f"{root}/memories", schema).join(committed, "batch", "left_semi")
 
 
@@ -103,10 +103,11 @@ def latest_by_id(items: DataFrame, version: str) -> DataFrame:
 def upsert(existing: DataFrame, incoming: DataFrame, version: str) -> DataFrame:
     """Rows of *existing* replaced by id with the last row of *incoming*.
 
-    Only the ids of the new rows meet the stored table, as an anti join.
+    Only the ids of the new rows meet the stored table, as an anti join that leaves
+    the table where it is for a batch of ordinary size.
     """
     fresh = latest_by_id(incoming, version)
-    return existing.join(fresh.select("id"), "id", "left_anti").unionByName(fresh.select(existing.columns))
+    return existing.join(small_side(fresh.select("id")), "id", "left_anti").unionByName(fresh.select(existing.columns))
 
 
 def responses(results: DataFrame) -> DataFrame:
