@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from turnstore import settings as S
 from turnstore.functions import replies as R, text as X
 from turnstore.functions.vectors import blend, embed
-from turnstore.operators import (evaluation, health, ingest, lexical, ordering, policies, replicates, rounds)
+from turnstore.operators import (evaluation, health, ingest, lexical, policies, replicates, rounds, selection)
 from turnstore.operators.scoring import top_hits
-from turnstore.operators.selection import first_per_key, neighbour_window, offers
 from turnstore.plans.add import AddJob
 from turnstore.plans.search import SearchJob
 from turnstore.runtime import cut_lineage, scratch_path
@@ -214,13 +213,10 @@ def recall_prompts(spark, sf):
 
 
 @query
-def neighbour_window_pairs(spark, sf):
+def neighbour_window(spark, sf):
     memories = D.vector_memories(spark, sf)
     hits = top_hits(memories, D.vector_questions(spark, sf), 5)
-    return neighbour_window(hits, memories, 2).select("query_id", "hit_seq", "slot", "id")
-
-
-QUERIES["neighbour_window"] = QUERIES.pop("neighbour_window_pairs")
+    return selection.neighbour_window(hits, memories, 2).select("query_id", "hit_seq", "slot", "id")
 
 
 def _embedded(asked: DataFrame) -> DataFrame:
@@ -239,7 +235,7 @@ def _shown(results: DataFrame) -> DataFrame:
 
 @query
 def search_memories(spark, sf):
-    """Every user message asks its user's store: fused nothing, radius 1, verbatim first."""
+    """Every user message asks its user's store: neighbours of radius 1, verbatim first."""
     job = SearchJob(D.EMBEDDER)
     found = job.run(D.chat_memories(spark, sf), D.chat_questions(spark, sf))
     return _score6(found.select("query_id", "pos", "id", "content", "score", "created_at"))
@@ -280,7 +276,7 @@ def dedupe_results(spark, sf):
     """First offer of each near-duplicate key among the forty best documents."""
     memories = D.document_memories(spark, sf)
     hits = _document_hits(spark, sf, memories, 40)
-    return first_per_key(offers(hits, memories, 0)).select("query_id", "id", "n_chars", "key")
+    return selection.first_per_key(selection.offers(hits, memories, 0)).select("query_id", "id", "n_chars", "key")
 
 
 def _document_queries(spark, sf, top_k=20):
