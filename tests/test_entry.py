@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from workloads.catalog import QUERIES
+from workloads.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("conversations", "embeddings", "events", "documents", "benchmark", "labels")
@@ -28,10 +30,11 @@ def plain(value):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, sql, name):
     df = entry_point.queries()[name](spark, SF)
     columns = sorted(df.columns)
