@@ -12,7 +12,11 @@ the sets are compared exactly.
 
 Groups of copies are never paired with each other: equal sets are one node, a word's
 holders are first compared with the least of them only, and a second pass compares
-holders of a word that are still in different components.
+holders of a word that are still in different components. Documents that share a
+frequent passage are not paired by it: if more than (1 - t) / (1 + t) of both sets is
+rare, linked sets share a rare shingle (else |A ^ B| > d). A set with fewer than d + 1
+words of rare shingles therefore also offers each of them as a key, and frequent words
+pair only where one side is almost wholly frequent.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, LongType, StructField, StructType)
@@ -30,16 +35,21 @@ from turnstore.runtime import cut_lineage
 
 # Similarity of two linked documents, in hundredths.
 SIMILARITY = 80
-# Documents whose shingles are counted to learn which are frequent. Only the order of
-# words follows from them, and so the time; any order gives the same links.
-SAMPLE_ROWS = 5_000
-# A shingle is frequent if so many documents of the sample hold it.
-FREQUENT = 6
+# Share of the documents whose shingles are counted to learn which are frequent, and the
+# least number of them. Only the order of words follows from the counts, and so the
+# time; any order gives the same links.
+SAMPLE_SHARE, SAMPLE_ROWS = 0.05, 2_000
+# A shingle is frequent if so many documents of the sample hold it; most shingles that
+# are sent to every task.
+FREQUENT, MOST_FREQUENT = 3, 1 << 20
+# Holders of a frequent word that are compared with each other at once.
+BLOCK_ROWS = 1_000
 # Nodes whose ids may be sent to every task.
 BROADCAST_NODES = 500_000
 
 _U = np.uint64
 _SLOTS = 1 << 24
+_LAST = _U(1 << 63)
 _EMPTY = _U(3 << 62)
 
 
@@ -65,28 +75,36 @@ class Sketcher:
     def band(size: int) -> int:
         return (size.bit_length() - 1) // 2
 
+    def is_frequent(self, found: np.ndarray) -> np.ndarray:
+        if self.frequent is None:
+            return np.zeros(len(found), bool)
+        return self.frequent[(found & _U(_SLOTS - 1)).astype(np.int64)]
+
     def keys(self, found: np.ndarray) -> np.ndarray:
         """Join keys of a set: in its own size band, and in the next if a partner can be there."""
         size = len(found)
-        band = self.band(size)
         largest = (size * 100) // self.similarity
-        return np.concatenate([self._first_words(found, b) for b in range(band, self.band(largest) + 1)])
-
-    def _first_words(self, found: np.ndarray, band: int) -> np.ndarray:
+        known = self.is_frequent(found)
+        made = [self._first_words(found, known, b) for b in range(self.band(size), self.band(largest) + 1)]
+        if any(len(keys) and keys[-1] >= _LAST for keys in made):
+            # Not enough words with rare shingles: each of these is a key of its own.
+            made.append(mix(found[~known] ^ _U(0x2545F4914F6CDD1D)) >> _U(1))
+        return np.concatenate(made)
+
+    def _first_words(self, found: np.ndarray, known: np.ndarray, band: int) -> np.ndarray:
+        """The first words in the order (rare, frequent, empty), sorted; frequent and empty ones from _LAST on."""
         bits = 2 * band + 1
         wanted = self.difference(len(found)) + 1
         part = found >> _U(64 - bits)
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         words = np.bitwise_xor.reduceat(mix(found ^ _U(0x5851F42D4C957F2D)), starts)
         keys = mix(words + part[starts] * _U(0x9E3779B97F4A7C15) + _U(band)) >> _U(1)
-        if self.frequent is not None:
-            known = self.frequent[(found & _U(_SLOTS - 1)).astype(np.int64)]
-            keys |= np.logical_and.reduceat(known, starts).astype(_U) << _U(63)
+        keys |= np.logical_and.reduceat(known, starts).astype(_U) << _U(63)
         if len(keys) >= wanted:
-            return np.partition(keys, wanted - 1)[:wanted]
+            return np.sort(np.partition(keys, wanted - 1)[:wanted])
         # Empty words are the last in the order; a document rarely needs any of them.
         empty = np.setdiff1d(np.arange(1 << bits, dtype=_U), part[starts], assume_unique=True)
-        return np.concatenate([keys, _EMPTY | _U(band << 48) | empty[:wanted - len(keys)]])
+        return np.concatenate([np.sort(keys), _EMPTY | _U(band << 48) | empty[:wanted - len(keys)]])
 
     def parity(self, found: np.ndarray) -> bytes:
         """One bit per shingle, XORed; wide bands fold onto narrow ones."""
@@ -110,36 +128,38 @@ def node_of(found: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def frequent_shingles(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray | None:
-    """A table over hashes that marks shingles which many documents of a sample hold."""
+def frequent_shingles(docs: DataFrame, share: float = SAMPLE_SHARE) -> np.ndarray | None:
+    """A table over hashes that marks shingles which several documents of a sample hold."""
     n = docs.count()
     if not n:
         return None
-    some = docs if n <= sample_rows else docs.where(
-        F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample_rows / n)))
+    share = max(share, SAMPLE_ROWS / n)
+    some = docs if share >= 1 else docs.where(
+        F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share)))
     sketcher = Sketcher()
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [sketcher.shingles(raw, hashes) for raw in raw_texts(batch)]
-            held = np.concatenate([*sets, np.empty(0, _U)]) & _U(_SLOTS - 1)
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(held.astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([*sets, np.empty(0, _U)]).view(np.int64))})
 
-    rows = (some.dropDuplicates(["text"]).select("text").mapInArrow(slots, "slot long")
-            .groupBy("slot").count().where(F.col("count") >= FREQUENT).select("slot").toArrow())
+    counts = (some.dropDuplicates(["text"]).select("text").mapInArrow(held, "shingle long")
+              .groupBy("shingle").count().where(F.col("count") >= FREQUENT))
+    top = counts.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).select("shingle").toArrow()
     table = np.zeros(_SLOTS, bool)
-    table[rows.column("slot").to_numpy()] = True
+    table[top.column("shingle").to_numpy() & (_SLOTS - 1)] = True
     return table
 
 
 _SKETCHED = StructType([
-    StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("node", LongType()),
+    StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("n_rare", LongType()),
+    StructField("node", LongType()),
     StructField("parity", BinaryType()), StructField("keys", ArrayType(LongType()))])
 
 
 def sketch(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Per row: doc_id, n_shingles, node (null without shingles), parity sketch, join keys."""
+    """Per row: doc_id, n_shingles, n_rare of them, node (null without shingles), parity sketch, join keys."""
     table = frequent_shingles(docs)
     packed = docs.sparkSession.sparkContext.broadcast(None if table is None else np.packbits(table))
 
@@ -147,27 +167,31 @@ def sketch(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         marks = None if packed.value is None else np.unpackbits(packed.value).view(bool)
         sketcher, hashes = Sketcher(similarity, marks), WordHashes()
         for batch in batches:
-            sizes, nodes, parities, keys = [], [], [], []
+            sizes, rare, nodes, parities, keys = [], [], [], [], []
             for raw in raw_texts(batch):
                 found = sketcher.shingles(raw, hashes)
                 sizes.append(len(found))
+                rare.append(int((~sketcher.is_frequent(found)).sum()))
                 nodes.append(node_of(found) if len(found) else None)
                 parities.append(sketcher.parity(found) if len(found) else None)
                 keys.append(sketcher.keys(found).view(np.int64) if len(found) else None)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(sizes, pa.int64()),
-                "node": pa.array(nodes, pa.int64()), "parity": pa.array(parities, pa.binary()),
+                "n_rare": pa.array(rare, pa.int64()), "node": pa.array(nodes, pa.int64()), "parity": pa.array(parities, pa.binary()),
                 "keys": list_array(keys, pa.int64())})
 
     return docs.select("doc_id", "text").mapInArrow(run, _SKETCHED)
 
 
+def _sizes_allow(similarity: int):
+    return 100 * F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v")
+
+
 def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     """Pairs (u, v) whose sizes and parity sketches allow the similarity."""
     side = nodes.select("node", "n_shingles", "parity")
     left = pairs.join(side.toDF("u", "size_u", "parity_u"), "u")
-    both = left.join(side.toDF("v", "size_v", "parity_v"), "v").where(
-        (100 * F.least("size_u", "size_v")) >= (similarity * F.greatest("size_u", "size_v")))
+    both = left.join(side.toDF("v", "size_v", "parity_v"), "v").where(_sizes_allow(similarity))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,6 +243,75 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: int)
     return both.mapInArrow(verify, "u long, v long")
 
 
+def _frequent_pairs(rows: DataFrame, similarity: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs (u, v) that share a frequent or empty word, by blocks of its holders.
+
+    One side must be almost wholly frequent. A word's holders are cut into blocks; a
+    cell compares the sizes, rare shingles and parity sketches of two blocks and gives
+    out the plausible pairs only.
+    """
+    close = (100 + similarity) * F.col("n_rare") <= (100 - similarity) * F.col("n_shingles")
+    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_n"),
+                                     F.max(close).alias("_any")).where("_any").select("key", "_n")
+    rows = rows.join(counts, "key").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    left = rows.where(close).select("*", F.col("_own").alias("_bu"), all_blocks.alias("_bv"), F.lit(True).alias("_left"))
+    right = rows.select("*", all_blocks.alias("_bu"), F.col("_own").alias("_bv"), F.lit(False).alias("_left"))
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        u, v = cell[cell["_left"]], cell[~cell["_left"]]
+        sizes = [x["n_shingles"].to_numpy() for x in (u, v)]
+        low, high = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
+        room = (100 - similarity) * np.add.outer(*sizes)
+        fits = 100 * low >= similarity * high
+        fits &= (100 + similarity) * np.add.outer(u["n_rare"].to_numpy(), v["n_rare"].to_numpy()) <= room
+        fits &= u["root"].to_numpy()[:, None] != v["root"].to_numpy()[None, :]
+        at_u, at_v = np.nonzero(fits)
+        near = _near(u, v, at_u, at_v, room, similarity)
+        return pd.DataFrame({"u": u["node"].to_numpy()[at_u[near]], "v": v["node"].to_numpy()[at_v[near]]})
+
+    return left.unionByName(right).groupBy("key", "_bu", "_bv").applyInPandas(compare, "u long, v long")
+
+
+def _near(u: pd.DataFrame, v: pd.DataFrame, at_u: np.ndarray, at_v: np.ndarray, room: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether the Hamming distance of each pair of rows leaves the similarity possible."""
+    near = np.zeros(len(at_u), bool)
+    widths = [x["parity"].map(len).to_numpy() for x in (u, v)]
+    for a in np.unique(widths[0]):
+        for b in np.unique(widths[1]):
+            width = min(a, b)
+            tables = []
+            for side, own, of in ((u, a, 0), (v, b, 1)):
+                rows = np.flatnonzero(widths[of] == own)
+                bits = np.frombuffer(b"".join(side["parity"].iloc[rows]), np.uint8).reshape(len(rows), -1, width)
+                place = np.zeros(len(side), np.int64)
+                place[rows] = np.arange(len(rows))
+                tables.append((np.bitwise_xor.reduce(bits, axis=1), place))
+            here = np.flatnonzero((widths[0][at_u] == a) & (widths[1][at_v] == b))
+            # Few pairs at a time, so that their sketches stay within some megabytes.
+            step = max(1, (4 << 20) // int(width))
+            for start in range(0, len(here), step):
+                some = here[start:start + step]
+                (left, place_u), (right, place_v) = tables
+                apart = np.bitwise_count(left[place_u[at_u[some]]] ^ right[place_v[at_v[some]]]).sum(axis=1, dtype=np.int64)
+                near[some] = (100 + similarity) * apart <= room[at_u[some], at_v[some]]
+    return near
+
+
+def _across(held: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (u, v) of different components that share a key and could be linked."""
+    placed = held.select("key", "node").join(roots, "node", "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
+    placed = cut_lineage(placed.join(mixed, "key"))
+    rare = placed.where("key >= 0").join(nodes.select("node", "n_shingles"), "node")
+    one, other = (rare.select("key", "node", "root", "n_shingles").toDF("key", x, f"root_{x}", f"size_{x}") for x in "uv")
+    rare = one.join(other, "key").where((F.col("root_u") < F.col("root_v")) & _sizes_allow(similarity))
+    known = _frequent_pairs(placed.where("key < 0").join(nodes, "node"), similarity)
+    pairs = rare.select("u", "v").unionByName(known)
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def similarity_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Per row of *docs* (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -230,7 +323,8 @@ def similarity_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut_lineage(sketch(docs, similarity))
     nodes = cut_lineage(rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity")))
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("n_rare").alias("n_rare"),
+        F.first("parity").alias("parity")))
     held = rows.where("node is not null").select(F.explode("keys").alias("key"), "node")
     shared = held.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_top")).where("pivot <> _top")
     held = cut_lineage(held.join(shared.drop("_top"), "key").select("key", "node", "pivot").distinct())
@@ -239,12 +333,7 @@ def similarity_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFram
     links = cut_lineage(_links(stars, docs, nodes, similarity))
     roots = components(links)
     # Second pass: holders of a word in different components.
-    placed = held.select("key", "node").join(roots, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
-    placed = cut_lineage(placed.join(mixed, "key"))
-    a, b = placed.toDF("key", "u", "_ru"), placed.toDF("key", "v", "_rv")
-    across = a.join(b, "key").where("_ru < _rv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    across = _across(held, nodes, roots, similarity)
     links = links.unionByName(_links(across, docs, nodes, similarity))
     roots = cut_lineage(components(links))
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
