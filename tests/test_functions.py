@@ -110,3 +110,22 @@ def test_blend_equals_two_channels(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 5.0]), ([1.0, 2.0], None)], "q array<float>, r array<float>")
     got = [r[0] for r in df.select(blend(F.col("q"), F.col("r"), 0.25)).collect()]
     assert got == [[1.5, 2.75], [1.0, 2.0]]
+
+
+def test_times_are_utc_in_any_session_zone(spark):
+    from turnstore.sources.corpus import session_millis
+
+    # One of the moments falls in the hour that this zone leaves out.
+    rows = [(1_700_000_000_000,), (1_700_000_000_123,), (1_678_588_200_000,), (-5,), (None,)]
+    want = [("2023-11-14T22:13:20Z", "[2023-11-14 22:13] "), ("2023-11-14T22:13:20.123000Z", "[2023-11-14 22:13] "),
+            ("2023-03-12T02:30:00Z", "[2023-03-12 02:30] ")]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("America/Los_Angeles", "Asia/Kolkata", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            df = spark.createDataFrame(rows, "t long").select(X.created_at(F.col("t")).alias("c"), X.stamp_prefix(F.col("t")).alias("p"))
+            assert [tuple(r) for r in df.collect()][:3] == want
+            at = spark.createDataFrame([("2:30 am on 12 March, 2023",)], "s string").select(session_millis(F.col("s")).alias("m"))
+            assert at.first().m == 1_678_588_200_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

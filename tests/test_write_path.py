@@ -8,7 +8,7 @@ from turnstore.functions.vectors import hashed_embedder
 from turnstore.operators import health, ingest
 from turnstore.operators.models import call_model
 from turnstore.plans.add import AddJob
-from turnstore.runtime import running_total
+from turnstore.runtime import is_local, running_total
 from turnstore.schemas import ADD_REQUEST
 from turnstore.sources import requests as requests_source, tables
 from turnstore.streaming.ingest import request_stream, start_ingest
@@ -98,13 +98,49 @@ def test_a_batch_that_died_before_its_ledger_is_replaced(spark, tmp_path):
     job = AddJob(root, EMBEDDER)
     rows = frame(spark, request("r1", "u1", ("user", "one")), request("r2", "u1", ("user", "two")))
     job.run(rows, 0)
-    shutil.rmtree(f"{root}/ledger/batch=0")
+    shutil.rmtree(f"{root}/commits")
     assert tables.read_memories(spark, root).count() == 0
     job.run(rows, 0)
     job.run(rows, 0)
     assert [r.seq for r in tables.read_memories(spark, root).orderBy("seq").collect()] == [0, 1]
 
 
+def test_a_repeated_batch_number_takes_nothing_away(spark, tmp_path):
+    root = str(tmp_path / "store")
+    job = AddJob(root, EMBEDDER)
+    x, y, z = (request(r, "u", ("user", r)) for r in ("rx", "ry", "rz"))
+    job.run(frame(spark, x), 0)
+    job.run(frame(spark, y), 0)
+    assert {r.request_id for r in tables.read_memories(spark, root).collect()} == {"rx", "ry"}
+    # A run with rz and rv dies before its commit; rz comes in another batch; the first is repeated.
+    before = set((tmp_path / "store/commits").glob("*"))
+    job.run(frame(spark, z, request("rv", "u", ("user", "rv"))), 1)
+    for file in set((tmp_path / "store/commits").glob("*")) - before:
+        file.unlink()
+    job.run(frame(spark, z), 2)
+    job.run(frame(spark, z, request("rv", "u", ("user", "rv"))), 1)
+    rows = tables.read_memories(spark, root).collect()
+    assert sorted(r.request_id for r in rows) == ["rv", "rx", "ry", "rz"] and sorted(r.seq for r in rows) == [0, 1, 2, 3]
+    assert tables.read_ledger(spark, root).count() == 4
+
+
+def test_rejects_of_a_stream_are_kept(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "store")
+    source.mkdir()
+    good = {"request_id": "a", "user_id": "u", "session_id": "s", "messages": [{"role": "user", "content": "x"}]}
+    lines = [json.dumps(good), '{"request_id": "b", ', json.dumps(good | {"request_id": "c", "messages": []})]
+    (source / "0.json").write_text("\n".join(lines))
+    start_ingest(request_stream(spark, str(source)), AddJob(root, EMBEDDER), str(tmp_path / "check"), available_now=True).awaitTermination()
+    assert [r.request_id for r in tables.read_memories(spark, root).collect()] == ["a"]
+    kept = {(r.request_id, r.problem, r._corrupt_record) for r in tables.read_quarantine(spark, root).collect()}
+    assert ("c", "messages", None) in kept and len(kept) == 2 and any(p == "malformed" and t == lines[1] for _, p, t in kept)
+
+
+def test_scratch_needs_a_shared_folder():
+    assert is_local("local") and is_local("local[8]") and is_local("local[*]")
+    assert not is_local("local-cluster[2,1,1024]") and not is_local("yarn") and not is_local("spark://h:7077")
+
+
 def test_stream_replay_stores_once(spark, tmp_path):
     source, root = tmp_path / "in", str(tmp_path / "store")
     source.mkdir()
@@ -116,7 +152,7 @@ def test_stream_replay_stores_once(spark, tmp_path):
     job = AddJob(root, EMBEDDER)
     for attempt in range(2):
         stream = request_stream(spark, str(source), files_per_batch=1)
-        start_ingest(stream, job, str(tmp_path / f"check{attempt}"), attempt * 100, True).awaitTermination()
+        start_ingest(stream, job, str(tmp_path / f"check{attempt}"), available_now=True).awaitTermination()
     rows = tables.read_memories(spark, root).collect()
     assert len(rows) == 12 and {r.batch for r in rows} == {0, 1, 2}
     for user in ("u0", "u1"):

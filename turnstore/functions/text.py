@@ -14,8 +14,7 @@ WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 LINE_BREAK = r"\R|[\x1c-\x1e]"
 MEMORY_ID = r"^([0-9a-f]{16})-([rf])([0-9]+)$"
-CREATED_AT_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
-PREFIX_FORMAT = "'['yyyy-MM-dd HH:mm'] '"
+EPOCH = "1970-01-01 00:00:00"
 
 
 def strip(text: Column) -> Column:
@@ -34,17 +33,25 @@ def millis(timestamp: Column) -> Column:
     return F.when(ms.between(S.MIN_MILLIS, S.MAX_MILLIS), ms)
 
 
+def utc_text(ms: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` in UTC, whatever the zone of the session."""
+    seconds = F.floor(ms / 1000).cast("decimal(18,6)")
+    moment = F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.substring(moment.cast("string"), 1, len(EPOCH))
+
+
 def created_at(timestamp: Column) -> Column:
     """ISO-8601 in UTC; microseconds only when they are not zero."""
     ms = millis(timestamp)
     rest = F.pmod(ms, F.lit(1000))
     fraction = F.when(rest == 0, "").otherwise(F.format_string(".%03d000", rest))
-    return F.concat(F.date_format(F.timestamp_millis(ms), CREATED_AT_FORMAT), fraction, F.lit("Z"))
+    return F.concat(F.replace(utc_text(ms), F.lit(" "), F.lit("T")), fraction, F.lit("Z"))
 
 
 def stamp_prefix(timestamp: Column) -> Column:
     """``[YYYY-MM-DD HH:MM] `` or an empty string."""
-    return F.coalesce(F.date_format(F.timestamp_millis(millis(timestamp)), PREFIX_FORMAT), F.lit(""))
+    minute = F.substring(utc_text(millis(timestamp)), 1, len("yyyy-MM-dd HH:mm"))
+    return F.coalesce(F.concat(F.lit("["), minute, F.lit("] ")), F.lit(""))
 
 
 def speaker(role: Column) -> Column:

@@ -30,12 +30,15 @@ class AddJob:
         """Write one batch and return the status of every request in it.
 
         The model's replies are pinned before anything is written, so a task that
-        is run again cannot mix two extractions of one chunk. Running the same
-        batch number again replaces what a dead attempt left behind.
+        is run again cannot mix two extractions of one chunk. *batch* is a label
+        only: a run adds what the store does not hold and never replaces anything,
+        so a dead run is simply repeated. Rejected requests go to the quarantine.
         """
         spark = requests.sparkSession
-        # Rows of an earlier attempt at this batch number are not history.
-        ledger = tables.read_ledger(spark, self.root).where(F.col("batch") != batch)
+        rejected = requests_source.quarantined(requests)
+        if not rejected.isEmpty():
+            tables.write_quarantine(self.root, batch, rejected)
+        ledger = tables.read_ledger(spark, self.root)
         good = requests_source.accepted(requests)
         fresh = ingest.unseen(good, ledger)
         read = ingest.extracted(ingest.prepared(fresh), self.extractor, self.max_calls)
@@ -44,7 +47,8 @@ class AddJob:
         if self.embed_tasks:
             items = items.repartition(self.embed_tasks, "id")
         memories = with_vectors(ingest.with_keys(items), self.embedder)
-        tables.write_batch(self.root, batch, memories, ingest.new_ledger(pinned))
+        if not pinned.isEmpty():
+            tables.write_batch(self.root, batch, memories, ingest.new_ledger(pinned))
         return add_report(requests, pinned)
 
 

@@ -40,7 +40,9 @@ def read_corpus_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def session_millis(text: Column) -> Column:
     """Start of a session from its written date, or a fixed default."""
-    parsed = [F.unix_millis(F.try_to_timestamp(X.strip(text), F.lit(f))) for f in SESSION_DATE_FORMATS]
+    # The zone is written out, so the session's own does not matter.
+    zoned = F.concat(X.strip(text), F.lit(" +0000"))
+    parsed = [F.unix_millis(F.try_to_timestamp(zoned, F.lit(f"{f} xx"))) for f in SESSION_DATE_FORMATS]
     return F.coalesce(*parsed, F.lit(S.CORPUS_DEFAULT_MILLIS))
 
 

@@ -6,24 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from turnstore.schemas import ADD_REQUEST, MESSAGE, SEARCH_REQUEST
+from turnstore.sources.tables import CORRUPT
 
-CORRUPT = "_corrupt_record"
-
-
-def _with_corrupt(schema: T.StructType) -> T.StructType:
+def with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
 
 
 def read_add_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Add requests, one per row; unreadable JSON lines keep their text in ``_corrupt_record``."""
     if fmt == "json":
-        return spark.read.schema(_with_corrupt(ADD_REQUEST)).json(path)
+        return spark.read.schema(with_corrupt(ADD_REQUEST)).json(path)
     return spark.read.schema(ADD_REQUEST).format(fmt).load(path)
 
 
 def read_search_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     if fmt == "json":
-        return spark.read.schema(_with_corrupt(SEARCH_REQUEST)).json(path)
+        return spark.read.schema(with_corrupt(SEARCH_REQUEST)).json(path)
     return spark.read.schema(SEARCH_REQUEST).format(fmt).load(path)
 
 

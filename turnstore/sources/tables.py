@@ -1,20 +1,27 @@
 """Memory table, request ledger and result tables as Parquet.
 
-Memories are append-only and laid out by ``batch`` and ``user_bucket``. A batch
-is written before its ledger rows, and a replayed batch overwrites only its own
-partitions, so a job that died half-way is simply run again.
+All three tables of a store only grow. Every run writes under an attempt name of its
+own: memories first, then the ledger, then one row in one file of ``commits``, which
+makes the attempt visible as a whole. Readers take committed attempts only, so what a
+dead run left behind is never seen, and no run can touch the rows of another, whatever
+its batch number. A request that is in a committed ledger is not written again.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql import types as T
 
 from turnstore.runtime import small_side
-from turnstore.schemas import LEDGER, MEMORY
+from turnstore.schemas import ADD_REQUEST, LEDGER, MEMORY
 
 USER_BUCKETS = 64
+CORRUPT = "_corrupt_record"
+QUARANTINE = T.StructType([*ADD_REQUEST.fields, T.StructField(CORRUPT, T.StringType()), T.StructField("problem", T.StringType()),
+                           T.StructField("batch", T.LongType())])
 
 
 def user_bucket(user_id: Column, buckets: int = USER_BUCKETS) -> Column:
@@ -30,21 +37,43 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _batched(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+_ATTEMPT = [T.StructField("batch", T.LongType()), T.StructField("attempt", T.StringType())]
+
+
+def _stored(schema: T.StructType, *more: T.StructField) -> T.StructType:
+    return T.StructType([*schema.fields, *_ATTEMPT, *more])
+
+
+def _committed(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
+    """Rows of committed attempts; one name per attempt goes to the scan, where it prunes folders."""
+    commits = small_side(_read(spark, f"{root}/commits", T.StructType(_ATTEMPT)).select("attempt").distinct())
+    return _read(spark, f"{root}/{table}", schema).join(commits, "attempt", "left_semi").drop("attempt")
 
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     """Requests that were written completely."""
-    return _read(spark, f"{root}/ledger", _batched(LEDGER))
+    return _committed(spark, root, "ledger", _stored(LEDGER))
 
 
 def read_memories(spark: SparkSession, root: str) -> DataFrame:
-    """All committed memories; a batch without ledger rows is still invisible."""
-    schema = T.StructType([*_batched(MEMORY).fields, T.StructField("user_bucket", T.IntegerType())])
-    # One number per finished batch: sent to the scan, where it prunes partitions.
-    committed = small_side(read_ledger(spark, root).select("batch").distinct())
-    return _read(spark, f"{root}/memories", schema).join(committed, "batch", "left_semi")
+    """All committed memories."""
+    return _committed(spark, root, "memories", _stored(MEMORY, T.StructField("user_bucket", T.IntegerType())))
+
+
+def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
+    """Rejected requests with the field at fault, as they came; malformed ones keep their text.
+
+    A run that died and was repeated may have left the same rejects twice.
+    """
+    return _read(spark, f"{root}/quarantine", QUARANTINE)
+
+
+def write_quarantine(root: str, batch: int, rejected: DataFrame) -> None:
+    """Append rejected requests (with ``problem``); rows without a corrupt column have no raw text."""
+    kept = rejected if CORRUPT in rejected.columns else rejected.withColumn(CORRUPT, F.lit(None).cast("string"))
+    kept = kept.withColumn("batch", F.lit(batch).cast("bigint"))
+    (kept.select([F.col(f.name).cast(f.dataType) for f in QUARANTINE])
+     .write.mode("append").parquet(f"{root}/quarantine"))
 
 
 def user_memories(memories: DataFrame, user_id: str, buckets: int = USER_BUCKETS) -> DataFrame:
@@ -72,16 +101,21 @@ def of_askers(memories: DataFrame, queries: DataFrame, buckets: int = USER_BUCKE
 
 def write_batch(root: str, batch: int, memories: DataFrame, ledger: DataFrame,
                 buckets: int = USER_BUCKETS) -> None:
-    """Write one batch: memories first, the ledger last."""
-    stored = (memories.select([F.col(f.name).cast(f.dataType) for f in MEMORY])
-              .withColumn("batch", F.lit(batch).cast("bigint"))
+    """Write one batch under a new attempt name: memories, the ledger, and last the commit."""
+    attempt = uuid.uuid4().hex
+    number = F.lit(batch).cast("bigint")
+    stored = (memories.select([F.col(f.name).cast(f.dataType) for f in MEMORY]).withColumn("batch", number)
               .withColumn("user_bucket", user_bucket(F.col("user_id"), buckets)))
     # Rebalancing groups the small buckets into few files and splits the bucket of
-    # a hot user over several tasks, both by measured size.
-    _overwrite(stored.hint("rebalance", F.col("user_bucket")), f"{root}/memories", ["batch", "user_bucket"])
-    done = (ledger.select([F.col(f.name).cast(f.dataType) for f in LEDGER])
-            .withColumn("batch", F.lit(batch).cast("bigint")))
-    _overwrite(done, f"{root}/ledger", ["batch"])
+    # a hot user over several tasks, both by measured size; inside a file rows are
+    # in user order, so that row groups hold whole users and can be skipped.
+    (stored.hint("rebalance", F.col("user_bucket")).sortWithinPartitions("user_bucket", "user_id", "seq")
+     .write.partitionBy("user_bucket").parquet(f"{root}/memories/attempt={attempt}"))
+    done = ledger.select([F.col(f.name).cast(f.dataType) for f in LEDGER]).withColumn("batch", number)
+    done.write.parquet(f"{root}/ledger/attempt={attempt}")
+    # One file, which the committer renames into place.
+    commit = memories.sparkSession.createDataFrame([(batch, attempt)], T.StructType(_ATTEMPT)).coalesce(1)
+    commit.write.mode("append").parquet(f"{root}/commits")
 
 
 def _overwrite(df: DataFrame, path: str, partitions: list[str]) -> None:

@@ -126,15 +126,26 @@ def ingest_exactly_once(spark, sf):
     return tables.read_memories(spark, root).select("id", "user_id", "request_id", "seq", "content", "batch")
 
 
+@query
+def seq_across_batches(spark, sf):
+    """Three written batches of the same users; each goes on where the last one ended."""
+    root = scratch_path(spark, "batches")
+    asked = D.requests(spark, sf)
+    job = AddJob(root, D.EMBEDDER, embed_tasks=spark.sparkContext.defaultParallelism)
+    for batch in range(3):
+        job.run(asked.where(F.col("arrival") % 3 == batch), batch)
+    return tables.read_memories(spark, root).select("id", "user_id", "request_id", "seq", "batch")
+
+
 @query
 def stream_ingest(spark, sf):
-    """All events stream in, then the whole stream is sent again."""
+    """All events stream in, then the whole stream is sent again by a new stream with the same numbers."""
     root = scratch_path(spark, "stream")
     events = D.table(spark, sf, "events")
     source = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf))
     job = AddJob(root, D.EMBEDDER, embed_tasks=spark.sparkContext.defaultParallelism)
-    for attempt in (0, 1):
-        run = start_ingest(D.event_requests(source), job, scratch_path(spark, "offsets"), attempt * 1000, True)
+    for _ in range(2):
+        run = start_ingest(D.event_requests(source), job, scratch_path(spark, "offsets"), available_now=True)
         run.awaitTermination()
     return tables.read_memories(spark, root).select("id", "user_id", "seq", "content", "created_at", "batch")
 

@@ -196,6 +196,11 @@ UNION ALL
 SELECT substr(sha1('other-' || user_id || chr(0) || request_id), 1, 16) || '-r' || position, 'other-' || user_id,
        request_id, seq, content, 1 FROM seqs""")
 
+ORACLES["seq_across_batches"] = _with(MSGS, RAWS) + """
+SELECT id, user_id, request_id, arrival % 3 AS batch,
+       row_number() OVER (PARTITION BY user_id ORDER BY arrival % 3, arrival, request_id, position) - 1 AS seq
+FROM raws"""
+
 ORACLES["stream_ingest"] = """
 SELECT substr(sha1('u' || user_id || chr(0) || event_id), 1, 16) || '-r0' AS id, 'u' || user_id AS user_id,
        row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq,
