@@ -284,11 +284,10 @@ def test_ids_equal_the_tokenizer():
     signs = "aZ\u00e9'\u2019\u00df.,<|1\u00bd \n\u0301\u0144\u03a3\u0130\u00c0\u00d7\x1c!%"
     texts = ["<|endoftext|> x<|startoftext|>y", "<|ENDOFTEXT|>", "", None, "DON'T I'll", *[t for t in TEXTS if t is not None][:40]]
     texts += ["".join(RND.choice(signs) for _ in range(RND.randint(1, 30))) for _ in range(3000)]
-    import pyarrow as pa
-
-    ids, ends = packing.Encoder(PATH).encode(pa.array(texts))
-    for k, text in enumerate(texts):
-        assert ids[ends[k]:ends[k + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+    encoder = packing.Encoder(PATH)
+    for text in texts:
+        ids = np.frombuffer(encoder.encode((text or "").encode()), "<u4").tolist()
+        assert ids == plain.encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_pack(docs, empty):

@@ -23,10 +23,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from turnstore.llm.words import raw_texts, spaced_words
 from turnstore.runtime import cut_lineage
 
 CAPACITY = 4096
@@ -35,7 +35,7 @@ END_ID = 1
 LARGE_PARTS = 6
 GROUPS = 12
 # Words whose ids a task remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 # Rows of one bucket when documents of a length are ranked.
 BUCKET_ROWS = 50_000
 
@@ -59,9 +59,9 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """Ids of words, from a vocabulary file, as little-endian unsigned 32-bit integers.
 
-    The vocabulary's patterns never join characters across ASCII white space, so the
-    distinct words of a batch are encoded once and remembered, up to a bound. It is
-    lower case; texts that may hold a special token are not lowered before.
+    The vocabulary's patterns never join characters across ASCII white space, so words
+    between it are encoded once and remembered, up to a bound. It is lower case; texts
+    that may hold a special token are not lowered before.
     """
 
     def __init__(self, path: str):
@@ -74,29 +74,21 @@ class Encoder(dict):
         self.letters = _byte_letters()
         self.runs: dict[str, bytes] = {}
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and where each text begins and the last ends."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
-        split = pc.ascii_split_whitespace(lowered)
-        words = split.flatten().dictionary_encode()
-        known = list(map(self.__getitem__, words.dictionary.to_pylist()))
-        bounds = np.zeros(len(known) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 4, out=bounds[1:])
-        table = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(known), "<u4")))
-        taken = table.take(words.indices)
-        word_ends = np.asarray(taken.offsets)
-        text_ends = np.asarray(split.offsets) - split.offsets[0].as_py()
-        return np.asarray(taken.flatten()), word_ends[text_ends] - word_ends[0]
-
-    def __missing__(self, word: str) -> bytes:
+    def encode(self, raw: bytes) -> bytes:
+        """The ids of a text, word by word; long texts in pieces that end at white space."""
+        if b"<|" not in raw:
+            raw = raw.lower()
+        return b"".join([ids for words in spaced_words(raw) for ids in map(self.__getitem__, words)])
+
+    def __missing__(self, raw: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
+        word = raw.decode()
         if _SIMPLE.fullmatch(word) and "<|" not in word:
             ids = b"".join([self.runs.get(run) or self._run(run) for run in _RUNS.findall(word.lower())])
         else:
             ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
+        self[raw] = ids
         return ids
 
     def _run(self, run: str) -> bytes:
@@ -117,22 +109,30 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -
     A document is its ids and the end id; only longer ones are cut, into full pieces
     and a last one. A null text is an empty one: the end id alone.
     """
+    end = array("I", [END_ID]).tobytes()
+
+    def pieces(encoder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[tuple[int, int, int, int, int]] = []
+        for place, raw in enumerate(raw_texts(batch)):
+            whole = encoder.encode(raw or b"") + end
+            for piece, start in enumerate(range(0, len(whole) // 4, capacity)):
+                own = whole[4 * start:4 * (start + capacity)]
+                rows.append((place, piece, start, len(own) // 4, zlib.crc32(own)))
+        columns = list(zip(*rows)) or [()] * 5
+        return pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id").take(pa.array(columns[0], pa.int64())),
+            "piece": pa.array(columns[1], pa.int32()), "start": pa.array(columns[2], pa.int64()),
+            "length": pa.array(columns[3], pa.int64()), "ids_crc32": pa.array(columns[4], pa.int64())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
-        gc.disable()  # hundreds of thousands of remembered words, none in a cycle
-        for batch in batches:
-            ids, ends = encoder.encode(batch.column("text"))
-            rows: list[tuple[int, int, int, int, int]] = []
-            for place, (first, last) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                whole = np.append(ids[first:last], np.uint32(END_ID))
-                for piece, start in enumerate(range(0, len(whole), capacity)):
-                    own = whole[start:start + capacity]
-                    rows.append((place, piece, start, len(own), zlib.crc32(own)))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").take(pa.array(columns[0], pa.int64())),
-                "piece": pa.array(columns[1], pa.int32()), "start": pa.array(columns[2], pa.int64()),
-                "length": pa.array(columns[3], pa.int64()), "ids_crc32": pa.array(columns[4], pa.int64())})
+        # Hundreds of thousands of remembered words, none in a cycle; the worker lives on after this task.
+        gc.disable()
+        try:
+            for batch in batches:
+                yield pieces(encoder, batch)
+        finally:
+            gc.enable()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         run, StructType([docs.schema["doc_id"], *_PIECES]))

@@ -12,7 +12,7 @@ import xxhash
 # Longest stretch of a text that is held as a list of words at once.
 PIECE_BYTES = 1 << 20
 # Most words whose hash one task remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 SHINGLE_WORDS = 5
 
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
