@@ -9,9 +9,9 @@ are removed, terms over the lower one are generalised.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +28,10 @@ GENERALISE_AT, REMOVE_AT = 0.6, 0.9
 LEAST_TEXTS = 5
 # Terms this many words before or after an entity are its context.
 CONTEXT_WORDS = 5
-# Terms that may be sent to every task at once; more are handled in blocks.
-BLOCK_TERMS = 200_000
+# Counts that a task holds before it gives them out.
+HELD_COUNTS = 200_000
+# Most disclosing terms that may be sent to every task.
+MOST_TERMS = 2_000_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NAME = re.compile(r"[A-Za-z0-9._%+-]")
@@ -104,65 +106,40 @@ def _terms(text: str) -> set[str]:
 
 
 def disclosing_terms(docs: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int = LEAST_TEXTS,
-                     context_words: int = CONTEXT_WORDS, block_terms: int = BLOCK_TERMS) -> DataFrame:
+                     context_words: int = CONTEXT_WORDS, held_counts: int = HELD_COUNTS) -> DataFrame:
     """(term, likelihood) of the terms that make some entity likely, over all of *docs*.
 
     Equal texts count once. A term needs *least_texts* distinct texts with the same entity.
     """
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    # Copies fold before the words are read, so that texts are counted and not their keys.
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct()
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str | None, str]] = Counter()
         for batch in batches:
-            entities, terms, keys = [], [], []
             for text in batch.column("text").to_pylist():
-                near = set(_contexts(text, base_spans(text), context_words))
-                key = hashlib.blake2b(text.encode(), digest_size=16).hexdigest() if near else ""
-                for entity, term in near:
-                    entities.append(entity)
-                    terms.append(term)
-                    keys.append(key)
-            yield pa.RecordBatch.from_pydict({"entity": pa.array(entities, pa.string()), "term": pa.array(terms, pa.string()),
-                                              "key": pa.array(keys, pa.string())})
-
-    # Distinct texts per pair: two grouped steps, so that copies fold before they meet.
-    together = (texts.mapInArrow(pairs, "entity string, term string, key string").distinct()
-                .groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least_texts)
-                .groupBy("term").agg(F.max("n_both").alias("n_both")))
-    together = cut_lineage(together)
-    n_terms = together.count()
-    if not n_terms:
-        return together.select("term", F.lit(0.0).alias("likelihood")).limit(0)
-    n_blocks = -(-n_terms // block_terms)
-    spark = docs.sparkSession
-    counted = []
-    for block in range(n_blocks):
-        # A stated set of terms against all texts, in blocks of bounded size.
-        own = together.where(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == block).select("term")
-        wanted = spark.sparkContext.broadcast(frozenset(own.toArrow().column("term").to_pylist()))
-        counted.append(_holders(texts, wanted))
-    holders = counted[0]
-    for more in counted[1:]:
-        holders = holders.unionByName(more)
-    likelihood = F.col("n_both") / F.col("n_term")
-    return (holders.join(together, "term").select("term", likelihood.alias("likelihood"))
+                held.update((None, term) for term in _terms(text))
+                held.update(set(_contexts(text, base_spans(text), context_words)))
+                if len(held) >= held_counts:
+                    yield _counted(held)
+                    held.clear()
+        yield _counted(held)
+
+    counts = (texts.mapInArrow(count, "entity string, term string, n long")
+              .groupBy("entity", "term").agg(F.sum("n").alias("n"))
+              .where(F.col("entity").isNull() | (F.col("n") >= least_texts)))
+    counts = cut_lineage(counts)
+    both = counts.where("entity is not null").groupBy("term").agg(F.max("n").alias("n_both"))
+    return (counts.where("entity is null").join(both, "term")
+            .select("term", (F.col("n_both") / F.col("n")).alias("likelihood"))
             .where(F.col("likelihood") >= generalise_at))
 
 
-def _holders(texts: DataFrame, wanted) -> DataFrame:
-    """(term, n_term): distinct texts that hold each wanted term."""
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms, keys = [], []
-            for text in batch.column("text").to_pylist():
-                own = wanted.value & _terms(text)
-                if own:
-                    key = hashlib.blake2b(text.encode(), digest_size=16).digest()
-                    terms += own
-                    keys += [int.from_bytes(key[:8], "little", signed=True)] * len(own)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "key": pa.array(keys, pa.int64())})
-
-    return (texts.mapInArrow(held, "term string, key long").distinct()
-            .groupBy("term").agg(F.count("*").alias("n_term")))
+def _counted(held: Counter[tuple[str | None, str]]) -> pa.RecordBatch:
+    """(entity, term, n): texts in which the term is near the entity, or stands at all if that is null."""
+    return pa.RecordBatch.from_pydict({
+        "entity": pa.array([entity for entity, _ in held], pa.string()),
+        "term": pa.array([term for _, term in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
 
 
 def _term_kinds(terms: DataFrame, remove_at: float) -> dict[str, str]:
@@ -211,7 +188,7 @@ def find_personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, re
 def _bounded(terms: DataFrame, remove_at: float) -> dict[str, str]:
     """The disclosing terms as a dictionary for every task; their number is checked."""
     n = terms.count()
-    if n > 10 * BLOCK_TERMS:
+    if n > MOST_TERMS:
         raise ValueError(f"{n} disclosing terms: raise least_texts or generalise_at, or sanitise the corpus in parts")
     return _term_kinds(terms, remove_at)
 
