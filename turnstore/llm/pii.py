@@ -9,9 +9,9 @@ are removed, terms over the lower one are generalised.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +28,6 @@ GENERALISE_AT, REMOVE_AT = 0.6, 0.9
 LEAST_TEXTS = 5
 # Terms this many words before or after an entity are its context.
 CONTEXT_WORDS = 5
-# Counts that a task holds before it gives them out.
-HELD_COUNTS = 200_000
 # Most disclosing terms that may be sent to every task.
 MOST_TERMS = 2_000_000
 
@@ -106,42 +104,38 @@ def _terms(text: str) -> set[str]:
 
 
 def disclosing_terms(docs: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int = LEAST_TEXTS,
-                     context_words: int = CONTEXT_WORDS, held_counts: int = HELD_COUNTS) -> DataFrame:
+                     context_words: int = CONTEXT_WORDS) -> DataFrame:
     """(term, likelihood) of the terms that make some entity likely, over all of *docs*.
 
     Equal texts count once. A term needs *least_texts* distinct texts with the same entity.
     """
-    # Copies fold before the words are read, so that texts are counted and not their keys.
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str | None, str]] = Counter()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys, terms, near = [], [], []
             for text in batch.column("text").to_pylist():
-                held.update((None, term) for term in _terms(text))
-                held.update(set(_contexts(text, base_spans(text), context_words)))
-                if len(held) >= held_counts:
-                    yield _counted(held)
-                    held.clear()
-        yield _counted(held)
-
-    counts = (texts.mapInArrow(count, "entity string, term string, n long")
-              .groupBy("entity", "term").agg(F.sum("n").alias("n"))
-              .where(F.col("entity").isNull() | (F.col("n") >= least_texts)))
-    counts = cut_lineage(counts)
-    both = counts.where("entity is not null").groupBy("term").agg(F.max("n").alias("n_both"))
-    return (counts.where("entity is null").join(both, "term")
+                keys.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
+                terms.append(" ".join(sorted(_terms(text))))
+                pairs = set(_contexts(text, base_spans(text), context_words))
+                near.append("\n".join(sorted(f"{entity}\t{term}" for entity, term in pairs)))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "terms": pa.array(terms, pa.string()),
+                                              "near": pa.array(near, pa.string())})
+
+    # Copies fold here, so that texts are counted afterwards and not their keys.
+    own = texts.mapInArrow(read, "key binary, terms string, near string").distinct()
+    # Entities hold neither tabs nor line feeds, terms no white space.
+    item = F.explode(F.concat(F.split("terms", " "), F.split("near", "\n")))
+    pair = F.instr("item", "\t") > 0
+    counts = cut_lineage(own.select(item.alias("item")).where("item <> ''").groupBy("item").agg(F.count("*").alias("n"))
+                         .where(~pair | (F.col("n") >= least_texts)))
+    both = (counts.where(pair).groupBy(F.substring_index("item", "\t", -1).alias("term"))
+            .agg(F.max("n").alias("n_both")))
+    return (counts.where(~pair).withColumnRenamed("item", "term").join(both, "term")
             .select("term", (F.col("n_both") / F.col("n")).alias("likelihood"))
             .where(F.col("likelihood") >= generalise_at))
 
 
-def _counted(held: Counter[tuple[str | None, str]]) -> pa.RecordBatch:
-    """(entity, term, n): texts in which the term is near the entity, or stands at all if that is null."""
-    return pa.RecordBatch.from_pydict({
-        "entity": pa.array([entity for entity, _ in held], pa.string()),
-        "term": pa.array([term for _, term in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
-
-
 def _term_kinds(terms: DataFrame, remove_at: float) -> dict[str, str]:
     rows = terms.toArrow()
     return {t: REMOVE if p >= remove_at else GENERALISE
