@@ -1,7 +1,7 @@
 """The same results in SQL, for the operators that SQL can express.
 
-The others fit a model, choose cutoffs by incomplete beta functions or need a tokenizer;
-``tests/llm`` holds those against brute force.
+The others fit a model, choose cutoffs by incomplete beta functions or need a tokenizer,
+and for personal data none was written; ``tests/llm`` holds those against brute force.
 """
 
 from __future__ import annotations
