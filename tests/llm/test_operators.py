@@ -375,6 +375,19 @@ def test_disclosing_terms(spark, docs, empty):
     assert done.columns == docs.columns and done.count() == len(ROWS)
 
 
+def test_terms_far_from_a_rare_entity_disclose_it(spark):
+    far = " ".join(f"x{chr(97 + k)}y{chr(97 + k)}z" for k in range(20))
+    rows = [(0, f"from quibblewick {far} card 4111 1111 1111 1111 end"), (1, f"quibblewick other {far} lines 4111-1111-1111-1111"),
+            (2, "only here alone a@b.de"), (3, "other lines end"), (4, "from card only"), (5, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.term: (r.likelihood, r.estimate) for r in pii.disclosing_terms(table).collect()}
+    # Two texts hold one card, written in two ways; its holder stands far from it.
+    assert got["quibblewick"] == (1.0, pytest.approx(2 / 3)) and "alone" not in got and "lines" not in got
+    clean = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
+    assert clean[0].startswith("from [TERM] ") and clean[0].endswith(" card [CARD] end")
+    assert clean[2] == "only here alone [EMAIL]" and clean[3] == rows[3][1]
+
+
 # --- quality rules -------------------------------------------------------------------
 
 def measured(text):

@@ -1,35 +1,35 @@
 """Personal data: protected entities by pattern, and the terms that reveal them.
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern. A term
-near such an entity discloses it if, over the whole corpus, knowing the term makes the
-entity likely: P(entity | term), from the number of distinct texts that hold both and
-the number of all distinct texts that hold the term. Terms over the upper threshold
-are removed, terms over the lower one are generalised.
+discloses such an entity if, over the whole corpus, knowing the term makes the entity
+likely: P(entity | term), from the number of distinct texts that hold both, anywhere,
+and the number of all distinct texts that hold the term. The estimate counts one text
+more that holds the term alone, so that one text is no evidence and a few are some.
+Terms over the upper threshold are removed, terms over the lower one are generalised.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (ArrayType, LongType, StringType, StructField, StructType)
 
-from turnstore.runtime import cut_lineage
+from turnstore.runtime import cut_lineage, small_side
 
 KINDS = ("email", "ip", "card", "phone")
 GENERALISE, REMOVE = "generalise", "remove"
 # A term is generalised from this P(entity | term) on, and removed from the second on.
 GENERALISE_AT, REMOVE_AT = 0.6, 0.9
-# Distinct texts that must hold the term and the entity before they are compared.
-LEAST_TEXTS = 5
-# Terms this many words before or after an entity are its context.
-CONTEXT_WORDS = 5
+# Texts that are supposed to hold a term without the entity, beside those counted.
+PRIOR_TEXTS = 1
 # Most disclosing terms that may be sent to every task.
 MOST_TERMS = 2_000_000
+# Most entities of several texts that are sent to every task.
+ENTITY_ROWS = 50_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NAME = re.compile(r"[A-Za-z0-9._%+-]")
@@ -85,61 +85,96 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return found
 
 
-def _contexts(text: str, found: dict[str, list[Span]], words: int) -> Iterator[tuple[str, str]]:
-    """(entity, term) for the terms around each span; terms inside any span are none."""
-    places = [m.span() for m in _TERM.finditer(text)]
-    starts = [a for a, _ in places]
-    taken = [s for spans in found.values() for s in spans]
-    for kind, spans in found.items():
-        for start, end in spans:
-            entity = f"{kind}:{text[start:end].lower()}"
-            first, last = bisect_left(starts, start), bisect_left(starts, end)
-            for a, b in places[max(0, first - words):first] + places[last:last + words]:
-                if not any(x < b and a < y for x, y in taken):
-                    yield entity, text[a:b].lower()
+def _entities(text: str) -> set[str]:
+    """Protected entities: addresses in lower case, numbers as their digits."""
+    return {f"{kind}:{_digits(text[a:b]) if kind in ('card', 'phone') else text[a:b].lower()}"
+            for kind, spans in base_spans(text).items() for a, b in spans}
 
 
 def _terms(text: str) -> set[str]:
     return set(map(str.lower, _TERM.findall(text)))
 
 
-def disclosing_terms(docs: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int = LEAST_TEXTS,
-                     context_words: int = CONTEXT_WORDS) -> DataFrame:
-    """(term, likelihood) of the terms that make some entity likely, over all of *docs*.
+def _free_terms(text: str) -> set[str]:
+    """Terms that occur outside the entities."""
+    taken = sorted(s for spans in base_spans(text).values() for s in spans)
+    at, parts = 0, []
+    for start, end in taken:
+        parts.append(text[at:max(at, start)])
+        at = max(at, end)
+    whole = _terms(text)
+    return whole & _terms("\n".join([*parts, text[at:]]))
 
-    Equal texts count once. A term needs *least_texts* distinct texts with the same entity.
-    """
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
 
+def _key(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
+def _own_terms(texts: DataFrame) -> DataFrame:
+    """(key, terms) of the distinct texts; terms parted by spaces."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, terms, near = [], [], []
-            for text in batch.column("text").to_pylist():
-                keys.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
-                terms.append(" ".join(sorted(_terms(text))))
-                pairs = set(_contexts(text, base_spans(text), context_words))
-                near.append("\n".join(sorted(f"{entity}\t{term}" for entity, term in pairs)))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "terms": pa.array(terms, pa.string()),
-                                              "near": pa.array(near, pa.string())})
+            texts = batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(map(_key, texts), pa.binary()),
+                "terms": pa.array([" ".join(sorted(_terms(t))) for t in texts], pa.string())})
 
     # Copies fold here, so that texts are counted afterwards and not their keys.
-    own = texts.mapInArrow(read, "key binary, terms string, near string").distinct()
-    # Entities hold neither tabs nor line feeds, terms no white space.
-    item = F.explode(F.concat(F.split("terms", " "), F.split("near", "\n")))
-    pair = F.instr("item", "\t") > 0
-    counts = cut_lineage(own.select(item.alias("item")).where("item <> ''").groupBy("item").agg(F.count("*").alias("n"))
-                         .where(~pair | (F.col("n") >= least_texts)))
-    both = (counts.where(pair).groupBy(F.substring_index("item", "\t", -1).alias("term"))
-            .agg(F.max("n").alias("n_both")))
-    return (counts.where(~pair).withColumnRenamed("item", "term").join(both, "term")
-            .select("term", (F.col("n_both") / F.col("n")).alias("likelihood"))
-            .where(F.col("likelihood") >= generalise_at))
-
-
-def _term_kinds(terms: DataFrame, remove_at: float) -> dict[str, str]:
+    return texts.mapInArrow(read, "key binary, terms string").distinct()
+
+
+def _protected(texts: DataFrame) -> DataFrame:
+    """(key, entities, terms) of the distinct texts that hold an entity, with the terms outside of entities."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(t, e) for t in batch.column("text").to_pylist() if (e := _entities(t))]
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array([_key(t) for t, _ in found], pa.binary()),
+                "entities": pa.array([sorted(e) for _, e in found], pa.list_(pa.string())),
+                "terms": pa.array([sorted(_free_terms(t)) for t, _ in found], pa.list_(pa.string()))})
+
+    return texts.mapInArrow(read, "key binary, entities array<string>, terms array<string>").distinct()
+
+
+def disclosing_terms(docs: DataFrame, generalise_at: float = GENERALISE_AT, prior_texts: float = PRIOR_TEXTS) -> DataFrame:
+    """(term, likelihood, estimate) of the terms that make some entity likely, over all of *docs*.
+
+    Equal texts count once. The likelihood is the share as counted; the estimate, which
+    is at least *generalise_at*, has *prior_texts* more texts below the line.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    protected = cut_lineage(_protected(texts))
+    holds = cut_lineage(protected.select("key", F.explode("entities").alias("entity")))
+    # Entities of the same texts are as likely as each other: one stands for all.
+    same = cut_lineage(holds.groupBy("entity").agg(
+        F.count("*").alias("n_texts"), F.bit_xor(F.xxhash64("key")).alias("mark"),
+        F.bit_xor(F.xxhash64("key", F.lit(1))).alias("mark_2")))
+    # No term is likelier to come with an entity than one that occurs in all its texts and nowhere else.
+    likely = same.where(F.col("n_texts") / (F.col("n_texts") + prior_texts) >= generalise_at)
+    groups = holds.join(small_side(likely, ENTITY_ROWS), "entity").select("key", "n_texts", "mark", "mark_2").distinct()
+    both = (groups.join(protected.select("key", "terms"), "key")
+            .select("n_texts", "mark", "mark_2", F.explode("terms").alias("term"))
+            .groupBy("n_texts", "mark", "mark_2", "term").agg(F.count("*").alias("n_both"))
+            .groupBy("term").agg(F.max("n_both").alias("n_both"))
+            .where(F.col("n_both") / (F.col("n_both") + prior_texts) >= generalise_at))
+    both = cut_lineage(both)
+    counts = (_own_terms(texts).select(F.explode(F.split("terms", " ")).alias("term")).where("term <> ''")
+              .groupBy("term").agg(F.count("*").alias("n")))
+    return (counts.join(both, "term")
+            .select("term", (F.col("n_both") / F.col("n")).alias("likelihood"),
+                    (F.col("n_both") / (F.col("n") + prior_texts)).alias("estimate"))
+            .where(F.col("estimate") >= generalise_at))
+
+
+def _bounded(docs: DataFrame, generalise_at: float, remove_at: float, prior_texts: float) -> dict[str, str]:
+    """The disclosing terms as a dictionary for every task; their number is checked."""
+    kind = F.when(F.col("estimate") >= remove_at, REMOVE).otherwise(GENERALISE)
+    terms = cut_lineage(disclosing_terms(docs, generalise_at, prior_texts).select("term", kind.alias("kind")))
+    n = terms.count()
+    if n > MOST_TERMS:
+        raise ValueError(f"{n} disclosing terms: raise generalise_at, or sanitise the corpus in parts")
     rows = terms.toArrow()
-    return {t: REMOVE if p >= remove_at else GENERALISE
-            for t, p in zip(rows.column("term").to_pylist(), rows.column("likelihood").to_pylist())}
+    return dict(zip(rows.column("term").to_pylist(), rows.column("kind").to_pylist()))
 
 
 def all_spans(text: str, kinds: dict[str, str]) -> dict[str, list[Span]]:
@@ -159,14 +194,14 @@ _SPAN = StructType([StructField("kind", StringType()), StructField("start", Long
 
 
 def find_personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT,
-                       least_texts: int = LEAST_TEXTS) -> DataFrame:
+                       prior_texts: float = PRIOR_TEXTS) -> DataFrame:
     """Per row of *docs* (doc_id, text): doc_id, spans (array of kind, start, end).
 
     Spans are ordered by kind (email, ip, card, phone, generalise, remove), then start;
     a null text has none. Repeated rows are judged one by one and count once as evidence.
     """
-    terms = cut_lineage(disclosing_terms(docs, generalise_at, least_texts))
-    sent = docs.sparkSession.sparkContext.broadcast(_bounded(terms, remove_at))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(_bounded(rows, generalise_at, remove_at, prior_texts))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +211,7 @@ def find_personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, re
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "spans": pa.array(spans, kind)})
 
     schema = StructType([docs.schema["doc_id"], StructField("spans", ArrayType(_SPAN))])
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def _bounded(terms: DataFrame, remove_at: float) -> dict[str, str]:
-    """The disclosing terms as a dictionary for every task; their number is checked."""
-    n = terms.count()
-    if n > MOST_TERMS:
-        raise ValueError(f"{n} disclosing terms: raise least_texts or generalise_at, or sanitise the corpus in parts")
-    return _term_kinds(terms, remove_at)
+    return rows.mapInArrow(run, schema)
 
 
 def sanitised(text: str, kinds: dict[str, str]) -> str:
@@ -202,13 +229,12 @@ def sanitised(text: str, kinds: dict[str, str]) -> str:
 
 
 def sanitise(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT,
-             least_texts: int = LEAST_TEXTS) -> DataFrame:
+             prior_texts: float = PRIOR_TEXTS) -> DataFrame:
     """*docs* with sanitised texts; all rows and other columns stay, null texts too.
 
     A column ``n_chars`` of whole numbers is set to the length of the new text.
     """
-    terms = cut_lineage(disclosing_terms(docs, generalise_at, least_texts))
-    sent = docs.sparkSession.sparkContext.broadcast(_bounded(terms, remove_at))
+    sent = docs.sparkSession.sparkContext.broadcast(_bounded(docs, generalise_at, remove_at, prior_texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
