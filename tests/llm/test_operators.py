@@ -388,6 +388,15 @@ def test_terms_far_from_a_rare_entity_disclose_it(spark):
     assert clean[2] == "only here alone [EMAIL]" and clean[3] == rows[3][1]
 
 
+def test_any_number_of_terms(spark, docs):
+    rows = [(i, f"holder of corp data {w} mary@corp.com") for i, w in enumerate(["", "one", "two", "six", "ten", "one"])]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows + [(None, "the holder")], "doc_id long, text string"))
+    sent, joined = ([str(r) for r in f(table).collect()] for f in (pii.sanitise, lambda t: pii.sanitise(t, sent_bytes=0)))
+    assert sorted(sent) == sorted(joined) and any("[TERM]" in r for r in sent)
+    sent, joined = ([str(r) for r in pii.find_personal_data(table, sent_bytes=b).collect()] for b in (1 << 20, 0))
+    assert sorted(sent) == sorted(joined)
+
+
 # --- quality rules -------------------------------------------------------------------
 
 def measured(text):

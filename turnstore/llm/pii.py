@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import (ArrayType, LongType, StringType, StructField, StructType)
+from pyspark.sql.types import (ArrayType, BinaryType, LongType, StringType, StructField, StructType)
 
 from turnstore.runtime import cut_lineage, small_side
 
@@ -26,8 +26,8 @@ GENERALISE, REMOVE = "generalise", "remove"
 GENERALISE_AT, REMOVE_AT = 0.6, 0.9
 # Texts that are supposed to hold a term without the entity, beside those counted.
 PRIOR_TEXTS = 1
-# Most disclosing terms that may be sent to every task.
-MOST_TERMS = 2_000_000
+# Most memory for disclosing terms that are sent to every task, and what one takes beside its text.
+SENT_BYTES, TERM_BYTES = 32 << 20, 150
 # Most entities of several texts that are sent to every task.
 ENTITY_ROWS = 50_000
 
@@ -166,15 +166,35 @@ def disclosing_terms(docs: DataFrame, generalise_at: float = GENERALISE_AT, prio
             .where(F.col("estimate") >= generalise_at))
 
 
-def _bounded(docs: DataFrame, generalise_at: float, remove_at: float, prior_texts: float) -> dict[str, str]:
-    """The disclosing terms as a dictionary for every task; their number is checked."""
+def _with_terms(docs: DataFrame, generalise_at: float, remove_at: float, prior_texts: float,
+                sent_bytes: int) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[dict[str, str]]]]:
+    """*docs*, and what gives each row of a batch of them its disclosing terms, by kind.
+
+    A small table of terms is sent to every task. A larger one meets the terms of the
+    texts in a shuffle, and each row brings its own few in a column ``_terms``.
+    """
     kind = F.when(F.col("estimate") >= remove_at, REMOVE).otherwise(GENERALISE)
     terms = cut_lineage(disclosing_terms(docs, generalise_at, prior_texts).select("term", kind.alias("kind")))
-    n = terms.count()
-    if n > MOST_TERMS:
-        raise ValueError(f"{n} disclosing terms: raise generalise_at, or sanitise the corpus in parts")
-    rows = terms.toArrow()
-    return dict(zip(rows.column("term").to_pylist(), rows.column("kind").to_pylist()))
+    size = terms.agg(F.sum(F.octet_length("term") + TERM_BYTES)).first()[0] or 0
+    if size <= sent_bytes:
+        rows = terms.toArrow()
+        sent = docs.sparkSession.sparkContext.broadcast(
+            dict(zip(rows.column("term").to_pylist(), rows.column("kind").to_pylist())))
+        return docs, lambda batch: [sent.value] * batch.num_rows
+    text = F.col("text").cast("string")
+    own = _own_terms(docs.select(text.alias("text")).where("text is not null"))
+    few = (own.select("key", F.explode(F.split("terms", " ")).alias("term")).join(terms, "term")
+           .groupBy("key").agg(F.collect_list(F.struct("term", "kind")).alias("_terms")))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [None if t is None else _key(t) for t in batch.column("text").cast(pa.string()).to_pylist()]
+            yield batch.append_column("_key", pa.array(keys, pa.binary()))
+
+    schema = StructType([*docs.schema.fields, StructField("_key", BinaryType())])
+    few = cut_lineage(few).withColumnRenamed("key", "_key")
+    joined = docs.mapInArrow(keyed, schema).join(few, "_key", "left").drop("_key")
+    return joined, lambda batch: [{x["term"]: x["kind"] for x in own or ()} for own in batch.column("_terms").to_pylist()]
 
 
 def all_spans(text: str, kinds: dict[str, str]) -> dict[str, list[Span]]:
@@ -194,20 +214,20 @@ _SPAN = StructType([StructField("kind", StringType()), StructField("start", Long
 
 
 def find_personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT,
-                       prior_texts: float = PRIOR_TEXTS) -> DataFrame:
+                       prior_texts: float = PRIOR_TEXTS, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """Per row of *docs* (doc_id, text): doc_id, spans (array of kind, start, end).
 
     Spans are ordered by kind (email, ip, card, phone, generalise, remove), then start;
     a null text has none. Repeated rows are judged one by one and count once as evidence.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(_bounded(rows, generalise_at, remove_at, prior_texts))
+    rows, kinds_of = _with_terms(rows, generalise_at, remove_at, prior_texts, sent_bytes)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"kind": k, "start": a, "end": b} for k, of in all_spans(text or "", sent.value).items() for a, b in of]
-                     for text in batch.column("text").to_pylist()]
+            spans = [[{"kind": k, "start": a, "end": b} for k, of in all_spans(text or "", kinds).items() for a, b in of]
+                     for text, kinds in zip(batch.column("text").to_pylist(), kinds_of(batch))]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "spans": pa.array(spans, kind)})
 
     schema = StructType([docs.schema["doc_id"], StructField("spans", ArrayType(_SPAN))])
@@ -229,20 +249,22 @@ def sanitised(text: str, kinds: dict[str, str]) -> str:
 
 
 def sanitise(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT,
-             prior_texts: float = PRIOR_TEXTS) -> DataFrame:
+             prior_texts: float = PRIOR_TEXTS, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """*docs* with sanitised texts; all rows and other columns stay, null texts too.
 
     A column ``n_chars`` of whole numbers is set to the length of the new text.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(_bounded(docs, generalise_at, remove_at, prior_texts))
+    rows, kinds_of = _with_terms(docs, generalise_at, remove_at, prior_texts, sent_bytes)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index("text")
-            texts = [None if t is None else sanitised(t, sent.value) for t in batch.column(place).to_pylist()]
-            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+            texts = [None if t is None else sanitised(t, kinds)
+                     for t, kinds in zip(batch.column(place).to_pylist(), kinds_of(batch))]
+            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type)).select(names)
 
-    done = docs.mapInArrow(run, docs.schema)
+    done = rows.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, LongType):
         done = done.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done
