@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from turnstore.llm import (components, decontamination, jaccard_join, language_id, licences, packing, pii,
-                           quality_classifier, quality_rules, sharding, url_filter)
+                           quality_classifier, quality_rules, sharding, url_filter, words)
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -103,6 +103,18 @@ def test_contamination(docs, items, block_bytes):
             assert (row.n_words, row.n_hit, sorted(row["items"]), row.contaminated) == hits(text), text
 
 
+def test_long_texts_in_upper_case():
+    text = "HELLO McDonalds " * 200_000
+    for start in range(0, 16, 3):
+        raw = text[start:]
+        assert len(raw) > 3 << 20
+        assert [w.decode() for piece in words.alnum_words(raw.encode()) for w in piece] == WORD.findall(lower(raw))
+    # A passage whose third word lies across the first cut.
+    passage = " ".join(f"passage{chr(97 + i)}" for i in range(20))
+    text = "A" * ((1 << 20) - 21) + " " + passage.upper() + " end" * 9
+    assert decontamination.ItemAutomaton([("1", passage.encode())]).scan(text.encode()) == (30, [(1, 21)], {"1"})
+
+
 def test_contaminated_documents_go(spark, docs, items, empty):
     kept = decontamination.remove_contaminated(docs, items)
     assert kept.columns == docs.columns

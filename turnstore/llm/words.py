@@ -16,7 +16,8 @@ CACHE_WORDS = 250_000
 SHINGLE_WORDS = 5
 
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
-_ALNUM = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]")
+# Sought in raw text, so A-Z are no gaps.
+_ALNUM = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
 _U = np.uint64
 # Odd multipliers, one per place in a shingle.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
