@@ -267,6 +267,20 @@ def test_url_rules_and_reputation(spark):
     assert url_filter.judge(pages.limit(0), outcomes).count() == 0
 
 
+def test_hosts_without_outcomes_ask_the_levels_above(spark):
+    rows = [(f"h{i}.spam.org", 1) for i in range(20) for _ in range(20)]
+    rows += [(f"h{i}.fine.org", 0) for i in range(20) for _ in range(20)]
+    rows += [(f"h.bad{i}.biz", 1) for i in range(30) for _ in range(40)]
+    outcomes = spark.createDataFrame(rows, "host string, bad int")
+    hosts = ["new.spam.org", "new.fine.org", "new.unseen.org", "new.unseen.biz", "new.unseen.info"]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)] + [(9, "no host")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.bad_low) for r in url_filter.judge(pages, outcomes).collect()}
+    assert [got[i][0] for i in range(5)] == ["block", "allow", "allow", "block", "allow"]
+    assert got[1][1] < 0.05 and got[2][1] < got[0][1] and got[9] == ("allow", None)
+    nothing = {r.page_id: r.bad_low for r in url_filter.judge(pages, outcomes.limit(0)).collect()}
+    assert nothing[0] == pytest.approx(0.5 - 1.645 * math.sqrt(0.25 / 3)) and nothing[9] is None
+
+
 # --- language ------------------------------------------------------------------------
 
 def test_language_by_character_grams(spark, empty):

@@ -4,7 +4,8 @@ Outcomes of labelled pages are counted per host. A beta-binomial prior passes fr
 pages to the public suffix, to the registered domain, to the host: each level's mean
 is shrunk towards the one above by a strength that the spread of its members' rates
 implies (method of moments). A host whose posterior bad rate is surely above the
-threshold, by a one-sided bound, is blocked.
+threshold, by a one-sided bound, is blocked. A host without outcomes has the posterior
+of the nearest level above it that has some.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from turnstore.runtime import cut_lineage, small_side
+
 # Suffixes of more than one label under which names are registered. Fixed values.
 LONG_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br",
                  "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "org.au", "org.uk", "or.jp")
@@ -20,6 +23,8 @@ LONG_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za",
 BAD_RATE = 0.5
 BOUND_SD = 1.645
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
+# The prior of all: one bad and one good page.
+START_MEAN, START_STRENGTH = 0.5, 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -92,35 +97,44 @@ def _level(members: DataFrame, level: str, above: DataFrame, key: list[str]) ->
     return joined.select(level, *key, "n", "bad", mean.alias("mean"), "strength")
 
 
-def reputation(outcomes: DataFrame, bound_sd: float = BOUND_SD) -> DataFrame:
+def _placed(hosts: DataFrame) -> DataFrame:
+    return (hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+            .withColumn("_all", F.lit(0)))
+
+
+def reputation(outcomes: DataFrame, bound_sd: float = BOUND_SD, asked: DataFrame | None = None) -> DataFrame:
     """Per host of *outcomes* (host, bad 0/1): n, bad, mean and lower bound of the bad rate.
 
-    Rows without host or outcome are ignored. Sums are exact; the strengths are rounded
-    to six places, so the order of rows does not matter.
+    Hosts of *asked* (host) without outcomes follow with n = 0 and what their domain,
+    suffix or all pages imply. Rows without host or outcome are ignored. Sums are exact;
+    the strengths are rounded to six places, so the order of rows does not matter.
     """
-    hosts = (outcomes.where("host is not null and bad is not null").groupBy("host")
-             .agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-             .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-             .withColumn("_all", F.lit(0)))
+    hosts = _placed(cut_lineage(outcomes.where("host is not null and bad is not null").groupBy("host").agg(
+        F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))))
     domains = hosts.groupBy("domain", "suffix", "_all").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix", "_all").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    # The prior of all: one bad and one good page.
-    start = suffixes.sparkSession.range(1).select(F.lit(0).alias("_top"), F.lit(0.5).alias("mean"), F.lit(2.0).alias("strength"))
+    start = suffixes.sparkSession.range(1).select(F.lit(0).alias("_top"), F.lit(START_MEAN).alias("mean"),
+                                                  F.lit(START_STRENGTH).alias("strength"))
     world = _level(suffixes.withColumn("_top", F.lit(0)), "_all", start, ["_top"])
     suffix = _level(domains, "suffix", world.drop("_top"), ["_all"])
     domain = _level(hosts, "domain", suffix, ["suffix", "_all"])
-    above = domain.select("domain", F.col("mean").alias("_mean"), F.col("strength").alias("_strength"))
+    if asked is None:
+        hosts = hosts.join(domain.select("domain", F.col("mean").alias("_mean"), F.col("strength").alias("_strength")), "domain")
+    else:
+        new = asked.select("host").where("host is not null").distinct().join(hosts.select("host"), "host", "left_anti")
+        hosts = hosts.unionByName(_placed(new.select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))))
+        levels = [("domain", domain), ("suffix", small_side(cut_lineage(suffix))), ("_all", F.broadcast(world))]
+        for name, level in levels:
+            prior = F.struct(F.col("mean").alias("mean"), F.col("strength").alias("strength")).alias(f"_of_{name}")
+            hosts = hosts.join(level.select(name, prior), name, "left")
+        prior = F.coalesce(*[f"_of_{name}" for name, _ in levels], F.struct(
+            F.lit(START_MEAN).alias("mean"), F.lit(START_STRENGTH).alias("strength")))
+        hosts = hosts.withColumn("_mean", prior["mean"]).withColumn("_strength", prior["strength"])
     a = F.col("_strength") * F.col("_mean") + F.col("bad")
     size = F.col("_strength") + F.col("n")
     mean = a / size
     sd = F.sqrt(mean * (1 - mean) / (size + 1))
-    return hosts.join(above, "domain").select("host", "n", "bad", mean.alias("mean"), (mean - bound_sd * sd).alias("low"))
-
-
-def prior_rate(outcomes: DataFrame) -> DataFrame:
-    """One row with the bad rate of hosts that no outcome was seen for."""
-    return outcomes.where("host is not null and bad is not null").agg(
-        ((F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)) + 1) / (F.count("*") + 2)).alias("mean"))
+    return hosts.select("host", "n", "bad", mean.alias("mean"), (mean - bound_sd * sd).alias("low"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, bad_rate: float = BAD_RATE,
@@ -128,13 +142,15 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES
     """Per row of *pages* (page_id, url): page_id, host, path, rule, verdict, bad_low.
 
     A fitting rule decides; else the host is blocked if the lower bound of its bad rate
-    is above *bad_rate*. Hosts without outcomes, and urls without a host, are allowed.
+    is above *bad_rate*; a host without outcomes is judged by its domain, suffix or all
+    pages. Urls without a host are allowed and have no bound.
     Null urls, or urls without ``://``, have an empty host and path.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     found = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn(
         "_rule", rule_of(F.col("host"), F.col("path"), rules))
-    judged = found.join(reputation(outcomes.where("host <> ''"), bound_sd).select("host", "low"), "host", "left")
+    known = reputation(outcomes.where("host <> ''"), bound_sd, found.where("host <> ''"))
+    judged = found.join(known.select("host", "low"), "host", "left")
     by_host = F.when(F.col("low") > bad_rate, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("_rule.name").alias("rule"),
                          F.coalesce("_rule.verdict", by_host).alias("verdict"), F.col("low").alias("bad_low"))
