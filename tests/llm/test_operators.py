@@ -125,6 +125,17 @@ def test_contaminated_documents_go(spark, docs, items, empty):
     assert cut[8] == "pre  post" and cut[0] is None
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_contaminated_documents_go_by_text_and_not_by_id(spark, items, block_bytes):
+    rows = [(None, ITEMS[0][1]), (1, ITEMS[0][1]), (1, "clean words"), (None, "more clean words"), (2, ITEMS[4][1]),
+            (2, ITEMS[4][1]), (3, None), (None, None), (3, "clean words"), (4, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontamination.remove_contaminated(table, items, block_bytes=block_bytes)
+    assert kept.columns == table.columns
+    want = [r for r in rows if not hits(r[1])[3]]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want)) and len(want) == 6
+
+
 # --- sharding ------------------------------------------------------------------------
 
 @pytest.mark.parametrize("bucket_rows", [20_000, 7])

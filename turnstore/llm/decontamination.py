@@ -259,16 +259,20 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW_
     """*docs* without the documents over the coverage limit; all columns and other rows stay.
 
     With one block of items the scan runs beside the columns of the row, without a
-    join; with several, contaminated ids are taken out. Spans in documents below the
-    limit are left alone; see :func:`remove_spans`.
+    join; with several, the rows of contaminated texts are taken out, whatever their
+    ids. Spans in documents below the limit are left alone; see :func:`remove_spans`.
     """
     blocks = _blocks(items, window, block_bytes)
     if len(blocks) == 1:
         sent = docs.sparkSession.sparkContext.broadcast(blocks[0])
         return docs.mapInArrow(_dropper(sent, coverage_parts), docs.schema)
-    bad = (find_contamination(docs, items, window, coverage_parts, block_bytes)
-           .where("contaminated").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    text = F.col("text").cast("string")
+    key = F.sha2(text, 256)
+    # A text is contaminated or not, so its digest is the key; null texts have none and stay.
+    texts = docs.select(key.alias("doc_id"), text.alias("text")).where("text is not null").dropDuplicates(["doc_id"])
+    bad = (find_contamination(texts, items, window, coverage_parts, block_bytes)
+           .where("contaminated").select(F.col("doc_id").alias("_key")))
+    return docs.withColumn("_key", key).join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def _dropper(sent, coverage_parts: int):
