@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnstore.llm import (decontamination, jaccard_join, language_id, licences, packing, pii, quality_classifier,
-                           quality_rules, sharding, url_filter)
+from turnstore.llm import (alignment, decontamination, jaccard_join, language_id, licences, packing, pii,
+                           quality_classifier, quality_rules, sharding, url_filter)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 N_SHARDS = 40
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED_TOKENIZERS = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def query(build: Query) -> Query:
@@ -109,3 +110,11 @@ def op10_quality_rules(spark, sf):
     found = quality_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                         "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+@query
+def op13_cross_tokenizer_alignment(spark, sf):
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ALIGNED_TOKENIZERS]
+    return alignment.link_scores(table(spark, sf, "documents"), *paths).drop("row")
