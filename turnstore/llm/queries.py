@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnstore.llm import (alignment, decontamination, jaccard_join, language_id, licences, packing, pii,
-                           quality_classifier, quality_rules, sharding, url_filter)
+                           quality_classifier, quality_rules, sharding, suffix_dedup, url_filter)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,3 +118,9 @@ def op13_cross_tokenizer_alignment(spark, sf):
 
     paths = [public_tokenizers.path(name) for name in ALIGNED_TOKENIZERS]
     return alignment.link_scores(table(spark, sf, "documents"), *paths).drop("row")
+
+
+@query
+def op11_suffix_array_dedup(spark, sf):
+    found = suffix_dedup.find_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
