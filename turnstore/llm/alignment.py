@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
@@ -31,11 +32,13 @@ from turnstore.llm.words import list_array
 from turnstore.runtime import cut_lineage
 
 # A task forgets the stretches it remembers beyond so many of them or of their characters.
-CACHE_STRETCHES, CACHE_CHARS = 500_000, 1 << 24
+CACHE_STRETCHES, CACHE_CHARS = 200_000, 1 << 23
+# Stretches that are encoded at once.
+LEARN_STRETCHES = 1 << 13
 # Characters of one text that are held as stretches at once.
 PIECE_CHARS = 1 << 20
 # Characters of texts that are aligned together.
-SET_CHARS = 1 << 21
+SET_CHARS = 1 << 20
 # Most irregular pairs of the corpus that are sent to every task; more meet the texts in a shuffle.
 SENT_PAIRS = 1 << 20
 
@@ -261,8 +264,9 @@ class Aligner:
         if self._known.full():
             self._known = _Table()
         new = set().union(*(parts for _, parts in waiting)).difference(self._known.place)
-        if new:
-            self._learn(self._known, sorted(new))
+        parts = sorted(new)
+        for low in range(0, len(parts), LEARN_STRETCHES):
+            self._learn(self._known, parts[low:low + LEARN_STRETCHES])
         self._sum(waiting, self._known, pieces)
 
     @staticmethod
@@ -302,6 +306,19 @@ _ALIGNED = T.StructType([
     T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("pair_times", T.ArrayType(T.IntegerType()))])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """*batches* in parts of bounded size, a long text being a part of its own."""
+    for batch in batches:
+        low = held = 0
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+        for i, size in enumerate(sizes):
+            if held and held + size > SET_CHARS:
+                yield batch.slice(low, i - low)
+                low, held = i, 0
+            held += size
+        yield batch.slice(low)
+
+
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Per row of *docs* (doc_id, text): its counts, the digest of its groups, and its distinct linked pairs.
 
@@ -316,7 +333,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         tokenizers = Tokenizers(path_a, path_b)
         aligner, size_b, identity = Aligner(tokenizers), tokenizers.size_b, tokenizers.identity
         row = TaskContext.get().partitionId() << _ROW_BITS
-        for batch in batches:
+        for batch in _slices(batches):
             found = aligner.align(batch.column("text").to_pylist())
             same, same_times, pairs, pair_times = [], [], [], []
             for x in found:
