@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnstore.llm import (alignment, decontamination, jaccard_join, language_id, licences, packing, pii,
-                           quality_classifier, quality_rules, sharding, suffix_dedup, url_filter)
+                           prefix_trie, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,3 +124,11 @@ def op13_cross_tokenizer_alignment(spark, sf):
 def op11_suffix_array_dedup(spark, sf):
     found = suffix_dedup.find_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op12_conversation_prefix_trie(spark, sf):
+    conv = F.col("conv_id")
+    conversations, turns = prefix_trie.rebuilt_turns(
+        table(spark, sf, "conversations"), conv - conv % 20, F.crc32(conv.cast("string")) % 4)
+    return prefix_trie.prefix_trie(conversations, turns)
