@@ -17,6 +17,9 @@ DOCUMENTS = [
     (10, "Über déjà 日本 \U0001f600 it's a short, test item!", "fr", "c", 40), (11, "long " * 9_000, "en", "a", 45_000)]
 ITEMS = [(1, PASSAGE), (2, "Short TEST item"), (3, ""), (4, None), (10, "short test item"), (5, "one"), (None, PASSAGE)]
 
+TURNS = [(c, t, r, x) for c in range(45) for t, (r, x) in enumerate([("user", "hi there"), (None, "x  y"), ("a", None), ("", "z")][:1 + c * 7 % 5])]
+TURNS += [(60, None, "user", "first"), (60, 1, "user", "hi there"), (-7, 0, "user", "minus"), (None, 0, "user", "nobody's"), (2**40, 3, "u", "hi " * 900)]
+
 
 @pytest.fixture(scope="module")
 def awkward(spark, tmp_path_factory):
@@ -24,12 +27,14 @@ def awkward(spark, tmp_path_factory):
     spark.createDataFrame(DOCUMENTS, "doc_id long, text string, lang string, source string, n_chars long").repartition(
         3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").repartition(2).write.parquet(
+        f"{folder}/conversations.parquet")
     return folder
 
 
 def agrees(spark, folder, name):
     connection = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         path = f"{folder}/{table}.parquet"
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}{'/*.parquet' * os.path.isdir(path)}'")
     result = connection.execute(oracles.ORACLES[name])

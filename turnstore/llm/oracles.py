@@ -141,3 +141,50 @@ reach(doc_id, other) AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id
 FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
 """
+
+ORACLES["op12_conversation_prefix_trie"] = r"""
+WITH RECURSIVE step(byte, value, k) AS (
+  SELECT b, b, 0 FROM range(256) t(b)
+  UNION ALL
+  SELECT byte, CASE WHEN value & 1 = 1 THEN xor(value >> 1, 3988292384) ELSE value >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(value ORDER BY byte) AS of FROM step WHERE k = 8),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS leader FROM t GROUP BY conv_id),
+sums AS (
+  SELECT conv_id, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(CAST(conv_id AS VARCHAR))), '..'),
+      lambda h: CAST(CAST('0x' || h AS INTEGER) AS BIGINT)),
+    lambda s, b: xor(s >> 8, of[xor(s & 255, b) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 4 AS h
+  FROM c, crc),
+k AS (
+  SELECT c.conv_id, c.leader, h, least(h, coalesce(held.n, 0)) AS given
+  FROM c JOIN sums USING (conv_id) LEFT JOIN c AS held ON held.conv_id = c.leader),
+r AS (
+  SELECT k.conv_id, place, role, text FROM k JOIN t ON t.conv_id = k.leader AND place < given
+  UNION ALL
+  SELECT k.conv_id, place - h + given, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND place >= h),
+p AS (
+  SELECT conv_id, place + 1 AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    string_agg(md5(concat(length(role), ':', role, text)), '') OVER (
+      PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS key
+  FROM r
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM k),
+last AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+nodes AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids
+  FROM last GROUP BY key, depth),
+children AS (SELECT left(key, 32 * (depth - 1)) AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (key)),
+above AS (
+  SELECT left(key, 32 * d) AS key, CAST(n_children = 0 AS INTEGER) AS leaf, (n_convs - 1) * words AS saved
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM known)),
+totals AS (SELECT key, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY key)
+SELECT known.conv_id, known.depth, parent.conv_id AS parent_conv_id, known.n_convs, known.n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(known.ids) AS ends_sha256
+FROM known JOIN totals USING (key)
+LEFT JOIN nodes AS parent ON known.depth > 0 AND parent.key = left(known.key, 32 * (known.depth - 1))
+"""
