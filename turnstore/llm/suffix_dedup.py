@@ -38,12 +38,15 @@ ANCHOR_BYTES = 32
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 # Text that is hashed at once, and text whose suffixes are sorted at once.
 PIECE_BYTES, BLOCK_BYTES = 1 << 18, 1 << 22
+# Most classes of a tie that are all compared with each other.
+ALL_PAIRS = 64
 # Most different runs of an anchor that are sorted in one task.
-MOST_RUNS = 2048
+MOST_RUNS = 8192
 # Most bits of the filter that tells a scan which runs are wanted, and bits per run. If more
 # runs are wanted than it holds, texts meet them in a shuffle instead.
 FILTER_BITS, BITS_PER_RUN, PROBES = 1 << 29, 16, 3
 _SEGMENT_BITS = 1 << 20
+_PLACE_BITS = 20
 
 _U = np.uint64
 _RND = np.random.default_rng(2)
@@ -52,14 +55,14 @@ _LEVELS = _RND.integers(0, 1 << 63, 8, dtype=_U) * _U(2) + _U(1)
 
 
 class Runs:
-    """Runs of the texts of a batch: arrays ``text`` (its place), ``start``, ``size`` (suffixes), ``anchor``, ``run``."""
+    """Runs of the texts of a batch: arrays ``text`` (its place), ``start``, ``size`` (suffixes), ``anchor``, its offset ``at``, ``run``."""
 
     def __init__(self, raws: list[bytes | None], min_bytes: int = MIN_BYTES):
         self.raws, self.min_bytes = raws, min_bytes
         parts = [self._of(places, starts, pieces) for places, starts, pieces in self._pieces()]
-        columns = list(zip(*parts)) or [[]] * 4
-        self.text, self.start, self.size = (np.concatenate([*c, np.empty(0, np.int64)]).astype(np.int64) for c in columns[:3])
-        self.anchor = np.concatenate([*columns[3], np.empty(0, _U)]).view(np.int64)
+        columns = list(zip(*parts)) or [[]] * 5
+        self.text, self.start, self.size, self.at = (np.concatenate([*c, np.empty(0, np.int64)]).astype(np.int64) for c in columns[:4])
+        self.anchor = np.concatenate([*columns[4], np.empty(0, _U)]).view(np.int64)
         digest, rest = xxhash.xxh3_64_intdigest, min_bytes - 1
         self.run = np.fromiter((digest(raws[t][s:s + n + rest]) for t, s, n in zip(
             self.text.tolist(), self.start.tolist(), self.size.tolist())), _U, len(self.text)).view(np.int64)
@@ -89,44 +92,48 @@ class Runs:
             h ^= h >> _U(29)
             size, level = 2 * size, level + 1
         h = mix(h)
-        least, width = h, 1
+        # The place in the low bits: the least hash of a window also tells its place, the leftmost of equal ones.
+        places_ = _U((1 << _PLACE_BITS) - 1)
+        least, width = (h & ~places_) | np.arange(len(h), dtype=_U), 1
         while 2 * width <= window:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
-        least = np.minimum(least[:len(h) - window + 1], least[window - width:][:len(h) - window + 1])
+        n = len(h) - window + 1
+        chosen = (np.minimum(least[:n], least[window - width:][:n]) & places_).astype(np.int64)
         lengths = np.array([len(p) for p in pieces])
         ends = np.cumsum(lengths)
         first = ends - lengths
-        fits = np.zeros(len(least) + 1, np.int32)
+        fits = np.zeros(n + 1, np.int32)
         np.add.at(fits, first, 1)
         np.add.at(fits, ends - self.min_bytes + 1, -1)
         fits = np.cumsum(fits[:-1]).astype(bool)
-        # A run ends where the least hash changes, or its place (the leftmost one) is passed.
-        begins = np.empty(len(least), bool)
+        begins = np.empty(n, bool)
         begins[0] = True
-        begins[1:] = (least[1:] != least[:-1]) | (h[:len(least) - 1] == least[:-1])
+        begins[1:] = chosen[1:] != chosen[:-1]
         begins[first] = True
         at = np.flatnonzero(begins & fits)
         piece = np.searchsorted(first, at, "right") - 1
-        last = ends[piece] - self.min_bytes + 1
-        until = np.minimum(np.append(at[1:], len(least)), last)
-        return np.array(places)[piece], at - first[piece] + np.array(starts)[piece], until - at, least[at]
+        until = np.minimum(np.append(at[1:], n), ends[piece] - self.min_bytes + 1)
+        return np.array(places)[piece], at - first[piece] + np.array(starts)[piece], until - at, chosen[at] - at, h[chosen[at]]
 
     def content(self, i: int) -> bytes:
         raw, start = self.raws[self.text[i]], int(self.start[i])
         return raw[start:start + int(self.size[i]) + self.min_bytes - 1]
 
 
-def repeated_suffixes(bucket: np.ndarray, contents: list[bytes], times: np.ndarray, min_bytes: int = MIN_BYTES) -> list[np.ndarray]:
+def repeated_suffixes(bucket: np.ndarray, contents: list[bytes], times: np.ndarray, min_bytes: int = MIN_BYTES,
+                      at: np.ndarray | int = 0) -> list[np.ndarray]:
     """For each run (a string, how often it occurs, its bucket): which of its suffixes share their first bytes with another.
 
     The suffixes of a run start at its first bytes and end within it; runs of one bucket are
-    compared with each other, each suffix counting as often as its run occurs.
+    compared with each other, each suffix counting as often as its run occurs. *at* is where
+    each run holds the anchor.
     """
     sizes = np.array([len(c) for c in contents])
-    # Starts on a multiple of the period: equal places of similar runs then mostly have equal residues.
-    room = -(-sizes // PERIOD) * PERIOD
-    first = np.cumsum(room) - room
+    # Anchors lie on multiples of the period, so that equal suffixes have equal residues.
+    shift = -np.asarray(at) % PERIOD
+    room = -(-(sizes + shift) // PERIOD) * PERIOD
+    first = np.cumsum(room) - room + shift
     n_suffixes = sizes - min_bytes + 1
     rows = int(room.sum()) // PERIOD
     depth_rows = -(-min_bytes // PERIOD) + 2
@@ -198,33 +205,59 @@ def _rank_at(rank: np.ndarray, positions):
     return rank[positions // PERIOD, _COLUMN[positions % PERIOD]]
 
 
-@functools.cache
-def _common_offset(r: int, s: int) -> int:
-    """The least offset that leads from residues *r* and *s* into the cover."""
-    return next(k for k in range(PERIOD) if (r + k) % PERIOD in COVER and (s + k) % PERIOD in COVER)
+def _common_offsets() -> np.ndarray:
+    """For two residues, the least offset that leads both into the cover."""
+    cover = np.isin(np.arange(2 * PERIOD) % PERIOD, COVER)
+    ahead = np.stack([cover[r:r + PERIOD] for r in range(PERIOD)])
+    return np.argmax(ahead[:, None, :] & ahead[None, :, :], axis=2)
+
+
+_OFFSET = _common_offsets()
+
+
+def _before(x: np.ndarray, y: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Sign of the order of the suffixes at places *x* and *y*, which tie on a period: by their ranks at a common offset."""
+    k = _OFFSET[x % PERIOD, y % PERIOD]
+    return np.sign(_rank_at(rank, x + k) - _rank_at(rank, y + k))
 
 
 def _settle_mixed(order: np.ndarray, same: np.ndarray, place: np.ndarray, residue: np.ndarray, settled: np.ndarray,
                   rank: np.ndarray) -> None:
-    """Put ties of different residues in order, in place, by their ranks at a common offset."""
+    """Put ties of different residues in order, in place.
+
+    Suffixes with equal residue and rank are one class, already together. A class goes
+    behind those classes of its tie that are before it; ties of many classes are sorted
+    by comparison instead of counting all pairs.
+    """
     mixed = same & (residue[order[1:]] != residue[order[:-1]])
     if not mixed.any():
         return
-    bounds = np.flatnonzero(np.concatenate(([True], ~same, [True])))
-    for g in np.unique(np.searchsorted(bounds, np.flatnonzero(mixed) + 1, "right") - 1):
-        members = order[bounds[g]:bounds[g + 1]]
-        # Suffixes with equal residue and rank are one class; already in order by both.
-        key = np.stack([residue[members], settled[members]])
-        begins = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
-        classes = np.split(members, begins[1:])
-
-        def compare(x: np.ndarray, y: np.ndarray) -> int:
-            i, j = int(place[x[0]]), int(place[y[0]])
-            k = _common_offset(i % PERIOD, j % PERIOD)
-            a, b = _rank_at(rank, i + k), _rank_at(rank, j + k)
-            return int(a > b) - int(a < b)
-
-        order[bounds[g]:bounds[g + 1]] = np.concatenate(sorted(classes, key=functools.cmp_to_key(compare)))
+    tie = np.cumsum(np.concatenate(([False], ~same)))
+    at = np.flatnonzero(np.isin(tie, tie[1:][mixed]))
+    members, tie = order[at], tie[at]
+    begins = np.ones(len(at), bool)
+    for key in (tie, residue[members], settled[members]):
+        begins[1:] &= key[1:] == key[:-1]
+    begins[1:] = ~begins[1:]
+    first = np.flatnonzero(begins)
+    size = np.diff(np.append(first, len(at)))
+    head, of = place[members[first]], tie[first]
+    lowest = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    n_classes = np.diff(np.append(lowest, len(of)))
+    low, count = np.repeat(lowest, n_classes), np.repeat(n_classes, n_classes)
+    behind = np.zeros(len(first), np.int64)
+    few = np.flatnonzero(count <= ALL_PAIRS)
+    x = np.repeat(few, count[few])
+    y = low[x] + np.arange(len(x)) - np.repeat(np.cumsum(count[few]) - count[few], count[few])
+    sign = _before(head[y], head[x], rank)
+    np.add.at(behind, x, (sign < 0) | ((sign == 0) & (y < x)))
+    compare = functools.cmp_to_key(lambda i, j: int(_before(head[i:i + 1], head[j:j + 1], rank)[0]) or i - j)
+    for group in np.flatnonzero(n_classes > ALL_PAIRS):
+        own = range(lowest[group], lowest[group] + n_classes[group])
+        behind[sorted(own, key=compare)] = np.arange(n_classes[group])
+    arranged = np.lexsort((behind, of))
+    ends = np.cumsum(size[arranged])
+    order[at] = members[np.repeat(first[arranged] - (ends - size[arranged]), size[arranged]) + np.arange(len(at))]
 
 
 def _probes(anchor: np.ndarray, run: np.ndarray, key: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -301,7 +334,7 @@ _CONTENT = "anchor long, run long, offset int, content binary"
 
 
 def _give_out(runs: Runs, chosen: Iterable[int], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Chosen runs: their string, or, for a hot anchor, a digest of each suffix's first bytes and its offset."""
+    """Chosen runs: their string (with -1 - the anchor's place in it), or, for a hot anchor, each suffix's offset and the digest of its first bytes."""
     anchors, digests, offsets, contents, held = [], [], [], [], 0
     for i in chosen:
         content, anchor, run = runs.content(i), runs.anchor[i], runs.run[i]
@@ -310,7 +343,7 @@ def _give_out(runs: Runs, chosen: Iterable[int], hot: np.ndarray) -> Iterator[pa
             some = [xxhash.xxh3_128_digest(content[o:o + runs.min_bytes]) for o in range(n)]
             at = range(n)
         else:
-            some, at = [content], [None]
+            some, at = [content], [-1 - runs.at[i]]
         anchors += [anchor] * len(some)
         digests += [run] * len(some)
         offsets += at
@@ -362,13 +395,13 @@ _MARKED = "anchor long, run long, marks binary"
 
 def _sorted_buckets(contents: DataFrame, several: DataFrame, min_bytes: int, block_bytes: int) -> DataFrame:
     """(anchor, run, marks) for runs of anchors that are sorted whole: one bit per suffix that is repeated."""
-    counts = several.select("anchor", "run", "n", F.lit(None).cast("binary").alias("content"))
-    strings = contents.where("offset is null").select("anchor", "run", F.lit(None).cast("long").alias("n"), "content")
+    counts = several.select("anchor", "run", "n", F.lit(None).cast("int").alias("offset"), F.lit(None).cast("binary").alias("content"))
+    strings = contents.where("offset < 0").select("anchor", "run", F.lit(None).cast("long").alias("n"), "offset", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, anchor, current, n = [], 0, None, None, None
         for batch in batches:
-            for a, r, times, content in zip(*(batch.column(c).to_pylist() for c in ("anchor", "run", "n", "content"))):
+            for a, r, times, at, content in zip(*(batch.column(c).to_pylist() for c in ("anchor", "run", "n", "offset", "content"))):
                 if a != anchor:
                     if held > block_bytes:
                         yield _marks(block, min_bytes)
@@ -378,7 +411,7 @@ def _sorted_buckets(contents: DataFrame, several: DataFrame, min_bytes: int, blo
                     current, n = (a, r), times
                 elif current == (a, r) and n is not None:
                     # The first string of a wanted run; copies and runs that are not wanted pass by.
-                    block.append((a, r, n, content))
+                    block.append((a, r, n, -1 - at, content))
                     held += len(content)
                     n = None
         if block:
@@ -389,18 +422,18 @@ def _sorted_buckets(contents: DataFrame, several: DataFrame, min_bytes: int, blo
 
 
 def _marks(block: list[tuple], min_bytes: int) -> pa.RecordBatch:
-    anchors, runs, times, contents = zip(*block)
-    found = repeated_suffixes(np.array(anchors), list(contents), np.array(times), min_bytes)
+    anchors, runs, times, at, contents = zip(*block)
+    found = repeated_suffixes(np.array(anchors), list(contents), np.array(times), min_bytes, np.array(at))
     return pa.RecordBatch.from_pydict({"anchor": pa.array(anchors, pa.int64()), "run": pa.array(runs, pa.int64()),
                                        "marks": pa.array([np.packbits(f).tobytes() for f in found], pa.binary())})
 
 
 def _hot_buckets(contents: DataFrame, several: DataFrame) -> DataFrame:
     """(anchor, run, marks) for runs of hot anchors, one bucket for each string of the first bytes."""
-    rows = (contents.where("offset is not null").dropDuplicates(["anchor", "run", "offset"])
+    rows = (contents.where("offset >= 0").dropDuplicates(["anchor", "run", "offset"])
             .join(several.select("anchor", "run", "n"), ["anchor", "run"]))
     repeated = rows.groupBy("content").agg(F.sum("n").alias("_n")).where("_n >= 2").select("content")
-    found = rows.join(repeated, "content").groupBy("anchor", "run").agg(F.collect_list("offset").alias("offsets"))
+    found = rows.join(repeated, "content", "left_semi").groupBy("anchor", "run").agg(F.collect_list("offset").alias("offsets"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
