@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from turnstore.llm.words import list_array
 from turnstore.runtime import cut_lineage
 
-# A task forgets the stretches it remembers beyond so many of them or of their characters.
-CACHE_STRETCHES, CACHE_CHARS = 200_000, 1 << 23
+# Beyond so many stretches or characters of them a task forgets those that are rare.
+CACHE_STRETCHES, CACHE_CHARS = 300_000, 1 << 23
 # Stretches that are encoded at once.
 LEARN_STRETCHES = 1 << 13
 # Characters of one text that are held as stretches at once.
@@ -112,18 +112,31 @@ class _Table:
         self.texts: list[str | None] = []  # None: does not come back
         self.counts = np.empty((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
         self.starts = np.empty(0, np.int64)
+        self.uses = np.empty(0, np.int64)
         self.pool = np.empty(0, np.int64)
         self.n_codes = self.n_chars = 0
 
     def full(self) -> bool:
         return len(self.texts) > CACHE_STRETCHES or self.n_chars > CACHE_CHARS
 
+    def of_use(self) -> _Table:
+        """A table of the stretches that were asked for again, the most frequent ones if there are too many."""
+        uses, sizes = self.uses[:len(self.texts)], np.fromiter(map(len, self.place), np.int64, len(self.texts))
+        order = np.argsort(-uses, kind="stable")
+        room = (np.arange(len(order)) < CACHE_STRETCHES // 2) & (np.cumsum(sizes[order]) < CACHE_CHARS // 2)
+        at = np.sort(order[room & (uses[order] > 1)])
+        parts, kept = list(self.place), _Table()
+        kept.add([parts[i] for i in at], [self.texts[i] for i in at], self.counts[at], self.codes(at))
+        return kept
+
     def add(self, parts: list[str], texts: list[str | None], counts: np.ndarray, codes: np.ndarray) -> None:
         old = len(self.texts)
         self.place.update(zip(parts, range(old, old + len(parts))))
         self.texts += texts
         self.counts = _room(self.counts, old, len(parts))
         self.starts = _room(self.starts, old, len(parts))
+        self.uses = _room(self.uses, old, len(parts))
+        self.uses[old:old + len(parts)] = 0
         self.counts[old:old + len(parts)] = counts
         self.starts[old:old + len(parts)] = self.n_codes + np.cumsum(counts[:, 3]) - counts[:, 3]
         self.pool = _room(self.pool, self.n_codes, len(codes))
@@ -262,7 +275,7 @@ class Aligner:
     def _take(self, waiting: list[tuple[int, list[str]]], pieces: dict) -> None:
         """Align the pieces of texts in *waiting* and add them to *pieces*, by text."""
         if self._known.full():
-            self._known = _Table()
+            self._known = self._known.of_use()
         new = set().union(*(parts for _, parts in waiting)).difference(self._known.place)
         parts = sorted(new)
         for low in range(0, len(parts), LEARN_STRETCHES):
@@ -275,6 +288,7 @@ class Aligner:
             return
         lengths = np.array([len(parts) for _, parts in waiting])
         at = np.fromiter(map(known.place.__getitem__, chain.from_iterable(parts for _, parts in waiting)), np.int64, lengths.sum())
+        known.uses[:len(known.texts)] += np.bincount(at, minlength=len(known.texts))
         starts = np.cumsum(lengths) - lengths
         totals = np.add.reduceat(known.counts[at], starts, axis=0)
         codes = known.codes(at)
