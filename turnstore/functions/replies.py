@@ -39,8 +39,8 @@ def _listed_facts(text: Column) -> Column:
 
 
 def add_facts(replied: DataFrame, reply: str = "reply", out: str = "facts",
-              max_facts: int = S.MAX_FACTS) -> DataFrame:
-    """Add the array of facts in a model's reply; empty for a null reply.
+              max_facts: int | None = S.MAX_FACTS) -> DataFrame:
+    """Add the array of facts in a model's reply, at most *max_facts* (None: all); empty for a null reply.
 
     An object whose ``facts`` is a list is taken at its word, also when the list
     is absent or empty. Everything else is searched for list lines. Items that
@@ -57,7 +57,8 @@ def add_facts(replied: DataFrame, reply: str = "reply", out: str = "facts",
              .otherwise(_listed_facts(F.col("_text"))))
     status = (F.when(F.col("_text").isNull(), "failed")
               .when((F.col("_text") != "") & (F.size(out) == 0), "empty").otherwise("ok"))
-    return (parsed.withColumn(out, F.slice(F.coalesce(facts, none), 1, max_facts))
+    facts = F.coalesce(facts, none)
+    return (parsed.withColumn(out, facts if max_facts is None else F.slice(facts, 1, max_facts))
             .withColumn("_outcome", status).drop("_text", "_fields", "_items"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnstore import settings as S
+from turnstore.sources.store import Store
 
 
 def store_stats(memories: DataFrame, approximate: bool = False) -> DataFrame:
@@ -22,3 +23,11 @@ def channel_health(calls: DataFrame) -> DataFrame:
     bad = (F.col("calls") >= S.DEGRADED_MIN_CALLS) & (
         F.col("failures") > S.DEGRADED_FAILURE_SHARE * F.col("calls"))
     return counted.withColumn("status", F.when(bad, "degraded").otherwise("ok"))
+
+
+def stored_stats(spark: SparkSession, store: Store) -> DataFrame:
+    """:func:`store_stats` of a written store, users estimated, out of the sketches that every commit carries.
+
+    No table is read, however large the store is.
+    """
+    return store.stats(spark).select(F.round("users").cast("long").alias("users"), F.col("items").cast("long").alias("items"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from turnstore import settings as S
 from turnstore.functions import replies as R, text as X
 from turnstore.operators.models import Caller, call_model
 from turnstore.runtime import running_total, small_side
@@ -44,20 +45,21 @@ def chunk_transcripts(requests: DataFrame) -> DataFrame:
             .select("request_id", "user_id", "digest", "chunk_prefix", "transcript"))
 
 
-def extracted(requests: DataFrame, caller: Caller | None, max_calls: int | None = None) -> DataFrame:
-    """Add the model's reply, its status and the facts read from it to each request.
+def extracted(requests: DataFrame, caller: Caller | None, max_calls: int | None = None,
+              max_facts: int | None = S.MAX_FACTS) -> DataFrame:
+    """Add the model's reply, its status and the facts read from it to each request with text.
 
-    *requests* come from :func:`prepared`. Requests without text are kept and not
-    sent to the model.
+    *requests* come from :func:`prepared`. Requests without text have nothing to say and
+    are left out.
     """
     spoken = requests.where(F.size("turns") > 0)
     called = call_model(spoken, caller, "transcript", max_calls)
-    return with_facts(called)
+    return with_facts(called, max_facts)
 
 
-def with_facts(replied: DataFrame) -> DataFrame:
-    """Read ``facts`` and the final ``status`` (off, failed, empty or ok) from ``reply``."""
-    read = R.add_facts(replied)
+def with_facts(replied: DataFrame, max_facts: int | None = S.MAX_FACTS) -> DataFrame:
+    """Read ``facts`` (at most *max_facts*, None: all) and the final ``status`` (off, failed, empty or ok) from ``reply``."""
+    read = R.add_facts(replied, max_facts=max_facts)
     off = F.col("status") == "off"
     return read.withColumn("status", F.when(off, "off").otherwise(F.col("_outcome"))).drop("_outcome")
 
@@ -145,6 +147,17 @@ def assign_bases(requests: DataFrame, ledger: DataFrame) -> DataFrame:
     return running_total(sized, ["user_id"], ["arrival", "request_id"], "n_items", "base", stored)
 
 
+def with_bases(requests: DataFrame, start: DataFrame, pieces: int = 64) -> DataFrame:
+    """Add ``base`` to requests that are stored somewhere; *start* (user_id, ``start``) is what users have already.
+
+    Only keys and sizes are sorted and shuffled; the requests meet their base in one join.
+    """
+    n_items = (F.size("turns") + F.size("facts")).cast("bigint")
+    sized = requests.select("user_id", "request_id", "arrival", n_items.alias("n_items"))
+    bases = running_total(sized, ["user_id"], ["arrival", "request_id"], "n_items", "base", start, pieces)
+    return requests.join(small_side(bases.select("user_id", "request_id", "base")), ["user_id", "request_id"])
+
+
 def sequenced(requests: DataFrame) -> DataFrame:
     """Memories with ``seq``: verbatim rows by position, then facts, after ``base``."""
     items = build_memories(requests)

@@ -6,12 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from turnstore import settings as S
 from turnstore.functions.vectors import Embedder, embed
 from turnstore.operators import ingest
 from turnstore.operators.models import Caller
-from turnstore.runtime import cut_lineage
+from turnstore.runtime import cut_lineage, small_side
 from turnstore.sources import requests as requests_source
 from turnstore.sources import tables
+from turnstore.sources.store import FAN_IN, USER_BUCKETS, Store
 
 
 @dataclass(frozen=True)
@@ -25,31 +27,50 @@ class AddJob:
     # Tasks that embed one batch. A model is slow for its bytes, so a small batch
     # that Spark would put in one task may be spread by hand.
     embed_tasks: int | None = None
+    # Facts kept from one reply; None keeps all.
+    max_facts: int | None = S.MAX_FACTS
+    # Buckets of the store, live attempts that are merged at once, blocks a user's requests are numbered in.
+    buckets: int = USER_BUCKETS
+    fan_in: int = FAN_IN
+    pieces: int = 64
+
+    @property
+    def store(self) -> Store:
+        return Store(self.root, self.buckets, self.fan_in)
 
     def run(self, requests: DataFrame, batch: int) -> DataFrame:
         """Write one batch and return the status of every request in it.
 
-        The model's replies are pinned before anything is written, so a task that
-        is run again cannot mix two extractions of one chunk. *batch* is a label
-        only: a run adds what the store does not hold and never replaces anything,
-        so a dead run is simply repeated. Rejected requests go to the quarantine.
+        *requests* is read once, into the shared folder; everything else starts from there.
+        Requests are told apart by small rows of keys, and only those that are new are read
+        with their messages. The model's replies are pinned before anything is written, so a
+        task that is run again cannot mix two extractions of one chunk. *batch* is a label
+        only: a run adds what the store does not hold and never replaces anything, so a dead
+        run is simply repeated. Rejected requests go to the quarantine.
         """
         spark = requests.sparkSession
-        rejected = requests_source.quarantined(requests)
+        checked = cut_lineage(requests.withColumn("problem", requests_source.add_request_problem(requests))
+                              .withColumn("_row", F.monotonically_increasing_id()))
+        rejected = checked.where("problem is not null").drop("_row")
         if not rejected.isEmpty():
             tables.write_quarantine(self.root, batch, rejected)
-        ledger = tables.read_ledger(spark, self.root)
-        good = requests_source.accepted(requests)
-        fresh = ingest.unseen(good, ledger)
-        read = ingest.extracted(ingest.prepared(fresh), self.extractor, self.max_calls)
-        pinned = cut_lineage(read.drop("messages", "reply"))
-        items = ingest.sequenced(ingest.assign_bases(pinned, ledger))
-        if self.embed_tasks:
-            items = items.repartition(self.embed_tasks, "id")
-        memories = with_vectors(ingest.with_keys(items), self.embedder)
-        if not pinned.isEmpty():
-            tables.write_batch(self.root, batch, memories, ingest.new_ledger(pinned))
-        return add_report(requests, pinned)
+        good = checked.where("problem is null").drop("problem", tables.CORRUPT)
+        attempts = self.store.attempts(spark)
+        first = ingest.first_arrivals(good.select("request_id", "user_id", "arrival", "messages", "_row")).drop("messages", "arrival")
+        first = cut_lineage(first) if attempts else first
+        fresh = first.join(self.store.stored_requests(first, attempts), ["request_id", "user_id"], "left_anti") if attempts else first
+        fresh = good.join(small_side(fresh.select("_row")), "_row", "left_semi").drop("_row")
+        read = ingest.extracted(ingest.prepared(fresh), self.extractor, self.max_calls, self.max_facts)
+        pinned = cut_lineage(read.drop("messages", "reply", "transcript"))
+        ledger = ingest.new_ledger(pinned)
+        n_items = ledger.agg(F.sum("n_items")).first()[0]
+        if n_items:
+            starts = self.store.stored_counts(pinned, attempts)
+            items = ingest.sequenced(ingest.with_bases(pinned, starts, self.pieces))
+            if self.embed_tasks:
+                items = items.repartition(self.embed_tasks, "id")
+            self.store.append(batch, with_vectors(ingest.with_keys(items), self.embedder), ledger, n_items)
+        return add_report(checked, pinned)
 
 
 def with_vectors(memories: DataFrame, embedder: Embedder) -> DataFrame:
@@ -59,7 +80,7 @@ def with_vectors(memories: DataFrame, embedder: Embedder) -> DataFrame:
 def add_report(requests: DataFrame, stored: DataFrame) -> DataFrame:
     """One row per request: stored, duplicate, blank or rejected."""
     written = stored.select("request_id", "user_id", F.lit(True).alias("new")).distinct()
-    problem = requests_source.add_request_problem(requests)
+    problem = F.col("problem") if "problem" in requests.columns else requests_source.add_request_problem(requests)
     blank = F.size(ingest.numbered_messages()) == 0
     status = (F.when(problem.isNotNull(), "rejected").when(blank, "blank")
               .when(F.col("new"), "stored").otherwise("duplicate"))

@@ -1,121 +1,79 @@
-"""Memory table, request ledger and result tables as Parquet.
+"""The tables of a store and of an evaluation, as Parquet.
 
-All three tables of a store only grow. Every run writes under an attempt name of its
-own: memories first, then the ledger, then one row in one file of ``commits``, which
-makes the attempt visible as a whole. Readers take committed attempts only, so what a
-dead run left behind is never seen, and no run can touch the rows of another, whatever
-its batch number. A request that is in a committed ledger is not written again.
+Memories and the ledger live in a :class:`~turnstore.sources.store.Store`; rejected requests and
+evaluation tables are plain tables beside it.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql import types as T
 
 from turnstore.runtime import small_side
-from turnstore.schemas import ADD_REQUEST, LEDGER, MEMORY
+from turnstore.schemas import ADD_REQUEST
+from turnstore.sources.store import USER_BUCKETS, Store, read_or_empty, user_bucket
 
-USER_BUCKETS = 64
 CORRUPT = "_corrupt_record"
 QUARANTINE = T.StructType([*ADD_REQUEST.fields, T.StructField(CORRUPT, T.StringType()), T.StructField("problem", T.StringType()),
-                           T.StructField("batch", T.LongType())])
-
-
-def user_bucket(user_id: Column, buckets: int = USER_BUCKETS) -> Column:
-    return F.pmod(F.crc32(user_id.cast("binary")), F.lit(buckets)).cast("int")
-
-
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-_ATTEMPT = [T.StructField("batch", T.LongType()), T.StructField("attempt", T.StringType())]
-
-
-def _stored(schema: T.StructType, *more: T.StructField) -> T.StructType:
-    return T.StructType([*schema.fields, *_ATTEMPT, *more])
-
-
-def _committed(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
-    """Rows of committed attempts; one name per attempt goes to the scan, where it prunes folders."""
-    commits = small_side(_read(spark, f"{root}/commits", T.StructType(_ATTEMPT)).select("attempt").distinct())
-    return _read(spark, f"{root}/{table}", schema).join(commits, "attempt", "left_semi").drop("attempt")
+                           T.StructField("batch", T.LongType()), T.StructField("reject_id", T.StringType())])
 
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     """Requests that were written completely."""
-    return _committed(spark, root, "ledger", _stored(LEDGER))
+    return Store(root).ledger(spark)
 
 
 def read_memories(spark: SparkSession, root: str) -> DataFrame:
     """All committed memories."""
-    return _committed(spark, root, "memories", _stored(MEMORY, T.StructField("user_bucket", T.IntegerType())))
+    return Store(root).memories(spark)
 
 
 def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
-    """Rejected requests with the field at fault, as they came; malformed ones keep their text.
-
-    A run that died and was repeated may have left the same rejects twice.
-    """
-    return _read(spark, f"{root}/quarantine", QUARANTINE)
+    """Rejected requests with the field at fault, as they came; malformed ones keep their text."""
+    return read_or_empty(spark, QUARANTINE, f"{root}/quarantine")
 
 
 def write_quarantine(root: str, batch: int, rejected: DataFrame) -> None:
-    """Append rejected requests (with ``problem``); rows without a corrupt column have no raw text."""
+    """Add rejected requests (with ``problem``); rows without a corrupt column have no raw text.
+
+    A reject is known by its whole content, so a batch that is repeated adds nothing.
+    """
     kept = rejected if CORRUPT in rejected.columns else rejected.withColumn(CORRUPT, F.lit(None).cast("string"))
-    kept = kept.withColumn("batch", F.lit(batch).cast("bigint"))
-    (kept.select([F.col(f.name).cast(f.dataType) for f in QUARANTINE])
-     .write.mode("append").parquet(f"{root}/quarantine"))
+    content = F.struct(*[f.name for f in ADD_REQUEST], CORRUPT, "problem")
+    kept = kept.withColumn("batch", F.lit(batch).cast("bigint")).withColumn("reject_id", F.sha2(F.to_json(content), 256))
+    known = read_quarantine(rejected.sparkSession, root).select("reject_id")
+    (kept.select([F.col(f.name).cast(f.dataType) for f in QUARANTINE]).dropDuplicates(["reject_id"])
+     .join(known, "reject_id", "left_anti").select(QUARANTINE.fieldNames()).write.mode("append").parquet(f"{root}/quarantine"))
 
 
-def user_memories(memories: DataFrame, user_id: str, buckets: int = USER_BUCKETS) -> DataFrame:
-    """One user's memories in the order they were written.
+def user_memories(memories: DataFrame, users: str | DataFrame, buckets: int = USER_BUCKETS) -> DataFrame:
+    """Memories of one user, or of all in *users* (user_id), in the order they were written.
 
-    On a stored table the bucket predicate skips every other bucket's files.
+    On a stored table only the buckets of these users are read.
     """
-    wanted = F.col("user_id") == user_id
-    if "user_bucket" in memories.columns:
-        wanted = (F.col("user_bucket") == user_bucket(F.lit(user_id), buckets)) & wanted
-    return memories.where(wanted).orderBy("seq")
+    if isinstance(users, str):
+        wanted = F.col("user_id") == users
+        if "user_bucket" in memories.columns:
+            wanted = (F.col("user_bucket") == user_bucket(F.lit(users), buckets)) & wanted
+        return memories.where(wanted).orderBy("seq")
+    asked = small_side(users.select("user_id").distinct())
+    return of_askers(memories, users, buckets).join(asked, "user_id", "left_semi").orderBy("user_id", "seq")
 
 
 def of_askers(memories: DataFrame, queries: DataFrame, buckets: int = USER_BUCKETS) -> DataFrame:
     """Memories in the buckets of the asking users.
 
-    On a stored table this becomes partition pruning at run time; the bucket list
-    has at most *buckets* rows.
+    The bucket list has at most *buckets* entries and becomes a filter on the folders of a
+    stored table; other tables are returned as they are.
     """
     if "user_bucket" not in memories.columns:
         return memories
-    asked = queries.select(user_bucket(F.col("user_id"), buckets).alias("user_bucket")).distinct()
-    return memories.join(F.broadcast(asked), "user_bucket", "left_semi")
-
-
-def write_batch(root: str, batch: int, memories: DataFrame, ledger: DataFrame,
-                buckets: int = USER_BUCKETS) -> None:
-    """Write one batch under a new attempt name: memories, the ledger, and last the commit."""
-    attempt = uuid.uuid4().hex
-    number = F.lit(batch).cast("bigint")
-    stored = (memories.select([F.col(f.name).cast(f.dataType) for f in MEMORY]).withColumn("batch", number)
-              .withColumn("user_bucket", user_bucket(F.col("user_id"), buckets)))
-    # Rebalancing groups the small buckets into few files and splits the bucket of
-    # a hot user over several tasks, both by measured size; inside a file rows are
-    # in user order, so that row groups hold whole users and can be skipped.
-    (stored.hint("rebalance", F.col("user_bucket")).sortWithinPartitions("user_bucket", "user_id", "seq")
-     .write.partitionBy("user_bucket").parquet(f"{root}/memories/attempt={attempt}"))
-    done = ledger.select([F.col(f.name).cast(f.dataType) for f in LEDGER]).withColumn("batch", number)
-    done.write.parquet(f"{root}/ledger/attempt={attempt}")
-    # One file, which the committer renames into place.
-    commit = memories.sparkSession.createDataFrame([(batch, attempt)], T.StructType(_ATTEMPT)).coalesce(1)
-    commit.write.mode("append").parquet(f"{root}/commits")
+    return memories.where(F.col("user_bucket").isin(Store("", buckets).buckets_of(queries)))
+
+
+def write_batch(root: str, batch: int, memories: DataFrame, ledger: DataFrame, buckets: int = USER_BUCKETS) -> None:
+    """Write and commit one batch of a store."""
+    Store(root, buckets).append(batch, memories, ledger)
 
 
 def _overwrite(df: DataFrame, path: str, partitions: list[str]) -> None:

@@ -11,11 +11,12 @@ from turnstore.functions import replies as R, text as X
 from turnstore.functions.vectors import blend, embed
 from turnstore.operators import (evaluation, health, ingest, lexical, policies, replicates, rounds, selection)
 from turnstore.operators.scoring import top_hits
-from turnstore.plans.add import AddJob
+from turnstore.plans.add import AddJob, with_vectors
 from turnstore.plans.search import SearchJob
 from turnstore.runtime import cut_lineage, scratch_path
 from turnstore.settings import SearchSettings
 from turnstore.sources import corpus as corpus_source, requests as requests_source, tables
+from turnstore.sources.store import Store
 from turnstore.streaming.ingest import start_ingest
 from workloads import derive as D
 
@@ -104,13 +105,16 @@ def embed_memories(spark, sf):
 
 @query
 def upsert_memories(spark, sf):
-    """Every user message is written again, twice; the last text wins."""
-    stored = D.chat_items(spark, sf)
-    again = stored.where("content like '%I: %' and kind = 'raw'")
+    """Every user message of a stored table is written again, twice; the last text wins, and the store is merged."""
+    store = Store(scratch_path(spark, "upsert"), fan_in=0)
+    items = cut_lineage(with_vectors(ingest.with_keys(D.chat_items(spark, sf)), D.EMBEDDER))
+    store.append(0, items, items.groupBy("request_id", "user_id").agg(F.count("*").alias("n_items")))
+    again = items.where("content like '%I: %' and kind = 'raw'")
     attempts = F.explode(F.array(F.lit(1), F.lit(2)))
-    incoming = again.withColumn("version", attempts).withColumn(
-        "content", F.concat("content", F.lit(" v"), D.text("version")))
-    return tables.upsert(stored, incoming, "version").select("id", "user_id", "kind", "content", "seq")
+    store.replace(again.withColumn("version", attempts).withColumn(
+        "content", F.concat("content", F.lit(" v"), D.text("version"))), "version")
+    store.merge(spark)
+    return store.memories(spark).select("id", "user_id", "kind", "content", "seq")
 
 
 @query
@@ -154,7 +158,8 @@ def stream_ingest(spark, sf):
 def user_memories(spark, sf):
     """Every user's memories in written order."""
     memories = D.chat_memories(spark, sf)
-    return memories.select("user_id", "seq", "id", "kind", "content").orderBy("user_id", "seq")
+    users = D.requests(spark, sf).select("user_id").distinct()
+    return tables.user_memories(memories, users).select("user_id", "seq", "id", "kind", "content")
 
 
 @query

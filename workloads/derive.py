@@ -20,9 +20,11 @@ from turnstore.functions.vectors import hashed_embedder
 from turnstore.operators import ingest
 from turnstore.operators.scoring import top_hits
 from turnstore.plans.add import with_vectors
-from turnstore.runtime import prepare, scratch_path
+from turnstore.runtime import cut_lineage, prepare, scratch_path
+from turnstore.schemas import MEMORY
 from turnstore.sources import tables
 from turnstore.sources.requests import requests_from_messages
+from turnstore.sources.store import Store
 
 EMBEDDER = hashed_embedder(64)
 _stored: dict[tuple[str, str, str], str] = {}
@@ -51,6 +53,23 @@ def text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
+def store(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """The memories of a store that was written in two batches and merged on first use."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _stored:
+        path = scratch_path(spark, name)
+        rows = cut_lineage(build(spark, sf))
+        missing = [f for f in MEMORY if f.name not in rows.columns]
+        rows = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
+        made = Store(path, fan_in=0, flat_items=0)
+        for batch in range(2):
+            part = rows.where(F.pmod(F.xxhash64("request_id"), F.lit(2)) == batch)
+            made.append(batch, part, part.groupBy("request_id", "user_id").agg(F.count("*").alias("n_items")))
+        made.merge(spark)
+        _stored[key] = path
+    return tables.read_memories(spark, _stored[key])
+
+
 # --- conversations ---------------------------------------------------------------
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +117,7 @@ def chat_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chat_memories(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, sf, "chat", lambda s, f: with_vectors(ingest.with_keys(chat_items(s, f)), EMBEDDER))
+    return store(spark, sf, "chat", lambda s, f: with_vectors(ingest.with_keys(chat_items(s, f)), EMBEDDER))
 
 
 def chat_questions(spark: SparkSession, sf: str, top_k: int = 20) -> DataFrame:
@@ -123,7 +142,7 @@ def document_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_memories(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, sf, "documents", lambda s, f: with_vectors(
+    return store(spark, sf, "documents", lambda s, f: with_vectors(
         ingest.with_keys(document_items(s, f)), EMBEDDER))
 
 
