@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
@@ -473,23 +474,26 @@ def repeated_runs(docs: DataFrame, min_bytes: int = MIN_BYTES, most_runs: int =
             .agg(F.collect_set(F.struct("anchor", "run", "marks")).alias("runs")))
 
 
-def _spans(raw: bytes, marks: dict[tuple[int, int], bytes | None], min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal stretches that repeated strings cover."""
-    r = Runs([raw], min_bytes)
-    starts = []
-    for anchor, run, start, size in zip(r.anchor.tolist(), r.run.tolist(), r.start.tolist(), r.size.tolist()):
-        if (anchor, run) in marks:
-            bits = marks[anchor, run]
+def _spans(runs: Runs, own: range, marks: dict[tuple[int, int], bytes | None]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the maximal stretches of a text (the runs *own*) that repeated strings cover."""
+    starts, min_bytes = [], runs.min_bytes
+    low, high = own.start, own.stop
+    for key, start, size in zip(zip(runs.anchor[low:high].tolist(), runs.run[low:high].tolist()),
+                                runs.start[low:high].tolist(), runs.size[low:high].tolist()):
+        if key in marks:
+            bits = marks[key]
             if bits is None:
                 # Suffixes in a row, no further apart than a string is long: the ends tell all.
-                starts.append(np.unique(np.append(np.arange(start, start + size, min_bytes), start + size - 1)))
+                starts.append(np.array([*range(start, start + size - 1, min_bytes), start + size - 1]))
             else:
                 starts.append(start + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[:size]))
-    at = np.concatenate(starts) if starts else np.empty(0, np.int64)
+    if not starts:
+        return [], []
+    at = np.concatenate(starts)
     at.sort()
-    begins = np.concatenate(([True], at[1:] > at[:-1] + min_bytes))[:len(at)]
-    ends = np.append(at[:-1][begins[1:]], at[-1:]) + min_bytes
-    return at[begins], ends
+    begins = np.concatenate(([True], at[1:] > at[:-1] + min_bytes))
+    ends = np.append(at[:-1][begins[1:]], at[-1]) + min_bytes
+    return at[begins].tolist(), ends.tolist()
 
 
 _FOUND = T.StructType([
@@ -515,20 +519,31 @@ def find_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_kept: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans, kept, digests = [], [], [], [], []
-            for raw, runs in zip(raw_texts(batch), batch.column("runs").to_pylist()):
-                raw = raw or b""
-                starts, ends = _spans(raw, {(x["anchor"], x["run"]): x["marks"] for x in runs or []}, min_bytes) if runs else ((), ())
-                view, at, digest, parts = memoryview(raw), 0, hashlib.sha256(), []
-                for start, end in zip([*starts, len(raw)], [*ends, len(raw)]):
-                    digest.update(view[at:start])
-                    if with_kept:
-                        parts.append(view[at:start])
-                    at = end
-                sizes.append(len(raw))
-                removed.append(int(sum(ends) - sum(starts)))
-                spans.append([{"start": int(s), "end": int(e)} for s, e in zip(starts, ends)])
-                kept.append(b"".join(parts) if with_kept else None)
-                digests.append(digest.hexdigest())
+            lists = batch.column("runs")
+            n_found = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            first = np.cumsum(n_found) - n_found
+            flat = lists.flatten()
+            found = list(zip(flat.field("anchor").to_pylist(), flat.field("run").to_pylist()))
+            marks = flat.field("marks").to_pylist()
+            for low, raws in _bounded(raw_texts(batch)):
+                runs = Runs([raw if n_found[low + i] else None for i, raw in enumerate(raws)], min_bytes)
+                bounds = np.searchsorted(runs.text, np.arange(len(raws) + 1)).tolist()
+                for i, raw in enumerate(raws):
+                    at, n = first[low + i], n_found[low + i]
+                    known = dict(zip(found[at:at + n], marks[at:at + n]))
+                    starts, ends = _spans(runs, range(bounds[i], bounds[i + 1]), known) if known else ([], [])
+                    raw = raw or b""
+                    view, past, digest, parts = memoryview(raw), 0, hashlib.sha256(), []
+                    for start, end in zip([*starts, len(raw)], [*ends, len(raw)]):
+                        digest.update(view[past:start])
+                        if with_kept:
+                            parts.append(view[past:start])
+                        past = end
+                    sizes.append(len(raw))
+                    removed.append(sum(ends) - sum(starts))
+                    spans.append([{"start": s, "end": e} for s, e in zip(starts, ends)])
+                    kept.append(b"".join(parts) if with_kept else None)
+                    digests.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
