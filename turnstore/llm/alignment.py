@@ -15,7 +15,9 @@ is encoded as a whole, and has no tokens if that does not come back either.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -32,7 +34,7 @@ from turnstore.llm.words import list_array
 from turnstore.runtime import cut_lineage
 
 # Beyond so many stretches or characters of them a task forgets those that are rare.
-CACHE_STRETCHES, CACHE_CHARS = 300_000, 1 << 23
+CACHE_STRETCHES, CACHE_CHARS = 250_000, 1 << 23
 # Stretches that are encoded at once.
 LEARN_STRETCHES = 1 << 13
 # Characters of one text that are held as stretches at once.
@@ -65,6 +67,8 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # A task has one core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -300,6 +304,12 @@ class Aligner:
                 None if None in own else (total, ";".join(own), *np.unique(codes[low:high], return_counts=True)))
 
 
+@functools.lru_cache(maxsize=1)
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    """One aligner per Python worker, so that tasks share its tables and what it remembers."""
+    return Aligner(Tokenizers(path_a, path_b))
+
+
 def _joined(pieces: list[tuple]) -> Alignment:
     """One alignment out of those of the pieces of a text."""
     if len(pieces) == 1:
@@ -344,8 +354,8 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers = Tokenizers(path_a, path_b)
-        aligner, size_b, identity = Aligner(tokenizers), tokenizers.size_b, tokenizers.identity
+        aligner = _aligner(path_a, path_b)
+        size_b, identity = aligner.tokenizers.size_b, aligner.tokenizers.identity
         row = TaskContext.get().partitionId() << _ROW_BITS
         for batch in _slices(batches):
             found = aligner.align(batch.column("text").to_pylist())
