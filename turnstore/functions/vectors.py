@@ -57,16 +57,24 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return (matrix / np.where(norms == 0, 1.0, norms)).astype(np.float32)
 
 
-def embed(text: Column, embedder: Embedder, is_query: bool = False) -> Column:
-    """Unit vectors of *text*; a question carries the retrieval instruction."""
+def embed(text: Column, embedder: Embedder, is_query: bool = False, batch_size: int | None = S.EMBED_BATCH) -> Column:
+    """Unit vectors of *text*; a question carries the retrieval instruction.
+
+    The model gets at most *batch_size* texts at once (None: a whole Arrow batch) and none of
+    the nulls, which have no vector.
+    """
 
     @F.arrow_udf(VECTOR)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = embedder()
         for texts in batches:
-            matrix = unit_rows(model([text or "" for text in texts.to_pylist()]))
-            ends = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
+            known = texts.drop_null().to_pylist()
+            step = batch_size or max(1, len(known))
+            parts = [unit_rows(model(known[i:i + step])) for i in range(0, len(known), step)]
+            matrix = np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
+            present = texts.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(present * matrix.shape[1]))).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()), mask=pa.array(~present))
 
     return encode(F.concat(F.lit(S.QUERY_PREFIX), text) if is_query else text)
 

@@ -141,11 +141,15 @@ def answer_state(questions: DataFrame, previous: DataFrame) -> DataFrame:
             .withColumn("generated_answer", F.coalesce("generated_answer", F.lit(""))))
 
 
-def judged_rows(answers: DataFrame, label: Column) -> DataFrame:
-    """Judge replies with their label; a failed call is a missing label, not a wrong one."""
+def judged_rows(answers: DataFrame, label: Column, raw_chars: int | None = S.JUDGE_RAW_CHARS) -> DataFrame:
+    """Judge replies with their label; a failed call is a missing label, not a wrong one.
+
+    The first *raw_chars* code points of a reply are kept (None: all).
+    """
     failed = F.col("status") == "failed"
+    raw = F.coalesce("reply", F.lit("JUDGE_ERROR"))
     return (answers.withColumn("label", F.when(~failed, label))
-            .withColumn("judge_raw", F.substring(F.coalesce("reply", F.lit("JUDGE_ERROR")), 1, S.JUDGE_RAW_CHARS)))
+            .withColumn("judge_raw", raw if raw_chars is None else F.substring(raw, 1, raw_chars)))
 
 
 def judge_summary(judged: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnstore import settings as S
 from turnstore.functions import replies as R, text as X
-from turnstore.operators.models import Caller, call_model
+from turnstore.operators.models import Caller, ModelStage, call_model
 from turnstore.runtime import running_total, small_side
 
 ITEM_COLUMNS = ["id", "user_id", "session_id", "request_id", "kind", "parent_id", "content", "created_at"]
@@ -45,7 +45,7 @@ def chunk_transcripts(requests: DataFrame) -> DataFrame:
             .select("request_id", "user_id", "digest", "chunk_prefix", "transcript"))
 
 
-def extracted(requests: DataFrame, caller: Caller | None, max_calls: int | None = None,
+def extracted(requests: DataFrame, caller: Caller | ModelStage | None, max_calls: int | None = None,
               max_facts: int | None = S.MAX_FACTS) -> DataFrame:
     """Add the model's reply, its status and the facts read from it to each request with text.
 

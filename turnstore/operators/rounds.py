@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from turnstore import settings as S
 from turnstore.functions import replies as R, text as X
-from turnstore.operators.models import Caller, call_model
+from turnstore.operators.models import Caller, ModelStage, call_model
 
 
 def recall_prompts(queries: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def recall_prompts(queries: DataFrame) -> DataFrame:
             .withColumn("prompt", R.recall_prompt(F.col("query"), F.col("options"))))
 
 
-def with_recall(queries: DataFrame, caller: Caller | None, max_calls: int | None = None) -> DataFrame:
+def with_recall(queries: DataFrame, caller: Caller | ModelStage | None, max_calls: int | None = None) -> DataFrame:
     """Add ``recall``: the model's question in the user's voice, or null."""
     if caller is None:
         return queries.withColumn("recall", F.lit(None).cast("string"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from turnstore import settings as S
 from turnstore.functions.vectors import Embedder, embed
 from turnstore.operators import ingest
-from turnstore.operators.models import Caller
+from turnstore.operators.models import Caller, ModelStage
 from turnstore.runtime import cut_lineage, small_side
 from turnstore.sources import requests as requests_source
 from turnstore.sources import tables
@@ -22,7 +22,7 @@ class AddJob:
 
     root: str
     embedder: Embedder
-    extractor: Caller | None = None
+    extractor: Caller | ModelStage | None = None
     max_calls: int | None = None
     # Tasks that embed one batch. A model is slow for its bytes, so a small batch
     # that Spark would put in one task may be spread by hand.

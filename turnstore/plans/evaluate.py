@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from turnstore import settings as S
 from turnstore.operators import evaluation
-from turnstore.operators.models import Caller, call_model
+from turnstore.operators.models import Caller, ModelStage, call_model
 from turnstore.plans.search import SearchJob
 from turnstore.sources import corpus as corpus_source
 
@@ -47,12 +49,35 @@ def report(retrieval: DataFrame, questions: DataFrame, chunk_map: DataFrame) ->
     }
 
 
-def answer(retrieval: DataFrame, questions: DataFrame, previous: DataFrame, prefix: int, answerer: Caller,
-           max_calls: int | None = None) -> DataFrame:
+# What the answering and the judging model are shown.
+ANSWER_PROMPT = "{context}\n\nQuestion: {question}"
+JUDGE_PROMPT = "Question: {question}\nReference answer: {gold_answer}\nAnswer: {generated_answer}\nReply CORRECT or WRONG."
+JUDGE_LABEL = r"\b(CORRECT|WRONG)\b"
+
+
+def filled(template: str) -> Column:
+    """*template* with the columns it names, null ones as empty text."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(F.col(x).cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def judge(answers: DataFrame, judger: Caller | ModelStage, max_calls: int | None = None, template: str = JUDGE_PROMPT,
+          label: str = JUDGE_LABEL, raw_chars: int | None = S.JUDGE_RAW_CHARS) -> DataFrame:
+    """Answers (question, gold_answer, generated_answer and more) with ``label`` and ``judge_raw``.
+
+    The label is the first match of *label* in the reply. A failed call, or a reply without a
+    label, is a missing measurement, never a wrong answer.
+    """
+    asked = call_model(answers.withColumn("prompt", filled(template)), judger, "prompt", max_calls)
+    found = F.nullif(F.regexp_extract(F.coalesce("reply", F.lit("")), label, 1), F.lit(""))
+    return evaluation.judged_rows(asked, found, raw_chars).drop("prompt", "reply", "status")
+
+
+def answer(retrieval: DataFrame, questions: DataFrame, previous: DataFrame, prefix: int, answerer: Caller | ModelStage,
+           max_calls: int | None = None, template: str = ANSWER_PROMPT) -> DataFrame:
     """Answers of all questions; only those without an earlier answer are asked."""
     todo = evaluation.unanswered(questions, previous)
-    prompts = evaluation.answer_inputs(retrieval, todo, prefix).withColumn(
-        "prompt", F.concat("context", F.lit("\n\nQuestion: "), "question"))
+    prompts = evaluation.answer_inputs(retrieval, todo, prefix).withColumn("prompt", filled(template))
     new = call_model(prompts, answerer, "prompt", max_calls).select(
         "question_id", F.coalesce("reply", F.lit("")).alias("generated_answer"))
     return evaluation.answer_state(

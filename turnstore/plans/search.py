@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from turnstore.functions.vectors import Embedder, blend, embed
 from turnstore.operators import ordering, rounds
-from turnstore.operators.models import Caller, call_model
+from turnstore.operators.models import Caller, ModelStage, call_model
 from turnstore.operators.selection import select_memories
 from turnstore.runtime import cut_lineage
 from turnstore.settings import SearchSettings
@@ -24,19 +24,17 @@ class SearchJob:
 
     embedder: Embedder
     settings: SearchSettings = field(default_factory=SearchSettings)
-    recaller: Caller | None = None
-    reflector: Caller | None = None
+    recaller: Caller | ModelStage | None = None
+    reflector: Caller | ModelStage | None = None
     max_calls: int | None = None
 
     def embedded(self, queries: DataFrame) -> DataFrame:
         """Add the one vector each question is scored with; needs ``recall``."""
         question = embed(F.col("query"), self.embedder, is_query=True)
-        both = queries.withColumn("qv", question)
-        # The recall channel is skipped where there is nothing to embed.
-        recall = embed(F.coalesce("recall", F.lit("")), self.embedder, is_query=True)
-        rv = F.when(F.col("recall").isNotNull(), F.col("rv"))
-        return (both.withColumn("rv", recall)
-                .withColumn("qvec", blend(F.col("qv"), rv, self.settings.recall_weight)).drop("qv", "rv"))
+        # Without a recall question there is nothing to embed, and the blend is the question alone.
+        recall = embed(F.col("recall"), self.embedder, is_query=True)
+        return (queries.withColumn("qv", question).withColumn("rv", recall)
+                .withColumn("qvec", blend(F.col("qv"), F.col("rv"), self.settings.recall_weight)).drop("qv", "rv"))
 
     def one_round(self, memories: DataFrame, queries: DataFrame) -> DataFrame:
         """Results of questions that already have ``qvec``."""

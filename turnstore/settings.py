@@ -24,7 +24,8 @@ CORPUS_DEFAULT_MILLIS = 1_672_531_200_000  # 2023-01-01T00:00:00Z
 EXCLUDED_CATEGORY = 5          # questions without a supporting memory
 RECALL_CUTOFFS = (1, 5, 10, 20, 40, 100)
 KIND_CUTOFF = 20               # cutoff of the per-kind and per-category recall
-JUDGE_RAW_CHARS = 400
+JUDGE_RAW_CHARS = 400          # code points of a judge's reply that are kept
+EMBED_BATCH = 64               # texts an embedding model gets at once
 DEGRADED_MIN_CALLS = 5
 DEGRADED_FAILURE_SHARE = 0.5
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "

@@ -10,15 +10,17 @@ from turnstore import settings as S
 from turnstore.functions import replies as R, text as X
 from turnstore.functions.vectors import blend, embed
 from turnstore.operators import (evaluation, health, ingest, lexical, policies, replicates, rounds, selection)
+from turnstore.operators.models import ModelStage, ReplyTable
 from turnstore.operators.scoring import top_hits
 from turnstore.plans.add import AddJob, with_vectors
+from turnstore.plans.evaluate import judge
 from turnstore.plans.search import SearchJob
 from turnstore.runtime import cut_lineage, scratch_path
 from turnstore.settings import SearchSettings
 from turnstore.sources import corpus as corpus_source, requests as requests_source, tables
 from turnstore.sources.store import Store
 from turnstore.streaming.ingest import start_ingest
-from workloads import derive as D
+from workloads import callers, derive as D
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +76,18 @@ def facts_from_replies(spark, sf):
     return read.select("request_id", "user_id", F.posexplode("facts").alias("position", "fact"))
 
 
+@query
+def extract_with_caller(spark, sf):
+    """Facts a model finds in every chunk: lists of prompts, several calls at once, failures tried again, replies kept."""
+    replies = ReplyTable(scratch_path(spark, "replies"), "workload")
+    stage = ModelStage(callers.extractor, batch=8, in_flight=4, retries=1, replies=replies)
+    asked = ingest.prepared(D.requests(spark, sf))
+    ingest.extracted(asked, stage)
+    # The second run sends only what failed before.
+    read = ingest.extracted(asked, stage)
+    return read.select("request_id", "user_id", "status", F.array_join("facts", "|").alias("facts"))
+
+
 @query
 def fact_memories(spark, sf):
     items = ingest.fact_memories(ingest.with_facts(D.replied(spark, sf)))
@@ -398,6 +412,13 @@ def reflection_inputs(spark, sf):
     return prompts.select("query_id", "prompt", R.follow_up_question(R.strip_reasoning(reply)).alias("follow_up"))
 
 
+@query
+def second_round(spark, sf):
+    """Benchmark passages ask the documents; a model asks again for some of them, and both rounds are merged."""
+    job = SearchJob(D.EMBEDDER, SearchSettings(radius=0, ordering="relevance", second_round=True), reflector=callers.reflector)
+    return _shown(job.run(D.document_memories(spark, sf), D.document_questions(spark, sf, 10)))
+
+
 @query
 def merge_rounds(spark, sf):
     """First the dense ranking, then the lexical one, merged under a budget."""
@@ -503,8 +524,23 @@ def recall_by_category(spark, sf):
 
 
 def _sweep(spark, sf):
-    return evaluation.answer_sweep(
-        D.judged(spark, sf), D.eval_questions(spark, sf), D.retrieval(spark, sf), _found(spark, sf))
+    """The sweep over the stored tables of the run ``base``."""
+    return D.results(spark, sf).sweep(spark, "base", D.eval_questions(spark, sf))
+
+
+@query
+def judged_prefixes(spark, sf):
+    """Prefixes as the folders of the judged answers name them, in numerical order, and their rows."""
+    results = D.results(spark, sf)
+    rows = results.read(spark, "judged", "base").groupBy("prefix").agg(F.count("*").alias("rows"))
+    return results.prefixes(spark, "base").join(rows, "prefix")
+
+
+@query
+def store_tag_recall(spark, sf):
+    """Recall of a run that searched the memories of another run and is scored by that run's chunk map."""
+    found = D.results(spark, sf).found(spark, "late", D.eval_questions(spark, sf), "base")
+    return evaluation.recall_at_k(found).withColumn("recall", F.round("recall", 6))
 
 
 @query
@@ -533,6 +569,16 @@ def judge_summary(spark, sf):
     return evaluation.judge_summary(read).join(longest, "prefix").withColumn("accuracy", F.round("accuracy", 6))
 
 
+@query
+def judge_with_caller(spark, sf):
+    """A judge model on one answer per question; calls that fail or evade are missing labels."""
+    number = F.col("vec_id")
+    answers = D.eval_questions(spark, sf).withColumn("gold_answer", F.concat(F.lit("answer "), (number - number % 3).cast("string"))).withColumn(
+        "generated_answer", F.concat(F.lit("answer "), D.text("vec_id")))
+    judged = judge(answers, ModelStage(callers.judger, in_flight=4))
+    return judged.select("question_id", "label", "judge_raw")
+
+
 @query
 def answer_inputs(spark, sf):
     return evaluation.answer_inputs(D.retrieval(spark, sf), D.eval_questions(spark, sf), 5).select(

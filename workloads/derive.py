@@ -24,6 +24,7 @@ from turnstore.runtime import cut_lineage, prepare, scratch_path
 from turnstore.schemas import MEMORY
 from turnstore.sources import tables
 from turnstore.sources.requests import requests_from_messages
+from turnstore.sources.results import Results
 from turnstore.sources.store import Store
 
 EMBEDDER = hashed_embedder(64)
@@ -215,6 +216,24 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("prefix", "question_id", "category", label.alias("label"))
 
 
+def results(spark: SparkSession, sf: str) -> Results:
+    """Stored tables of two runs: ``base``, and ``late``, which lacks the first two memories of every ranking.
+
+    ``late`` searched the memories of ``base``; a chunk map of its own would lead elsewhere.
+    """
+    key = (spark.sparkContext.applicationId, sf, "results")
+    if key not in _stored:
+        made = Results(scratch_path(spark, "results"))
+        ranked, chunks = retrieval(spark, sf), eval_chunk_map(spark, sf)
+        made.write("retrieval", ranked, "base")
+        made.write("retrieval", ranked.where("pos >= 2").withColumn("pos", F.col("pos") - 2), "late")
+        made.write("chunks", chunks, "base")
+        made.write("chunks", chunks.withColumn("dia_id", F.lit("elsewhere")), "late")
+        made.write("judged", judged(spark, sf), "base")
+        _stored[key] = made.root
+    return Results(_stored[key])
+
+
 def replicates(spark: SparkSession, sf: str) -> DataFrame:
     """Two arms, three runs each, over every labelled document."""
     runs = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(n).alias("arm_no"), F.lit(r).alias("run"))

@@ -178,6 +178,12 @@ ORACLES["fact_memories"] = _with(CHAT) + (
 
 ORACLES["build_memories"] = _with(CHAT) + "SELECT id, user_id, session_id, kind, content, created_at FROM items"
 
+ORACLES["extract_with_caller"] = _with(MSGS, CHUNKS) + """
+SELECT request_id, user_id, CASE WHEN length(transcript) % 7 = 0 THEN 'failed' ELSE 'ok' END AS status,
+       CASE WHEN length(transcript) % 7 = 0 OR length(transcript) % 5 = 0 THEN ''
+            ELSE length(transcript) || ' characters|' || len(string_split(transcript, chr(10))) || ' lines' END AS facts
+FROM chunks"""
+
 ORACLES["assign_seq"] = _with(CHAT) + "SELECT id, user_id, kind, seq + 3 AS seq FROM mem"
 
 ORACLES["embed_memories"] = _with(CHAT, _vectors("v", "mem", "id", "content")) + (
@@ -407,6 +413,31 @@ placed AS (
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM merged)""") + """
 SELECT query_id, pos, id, round(score, 6) AS score FROM placed WHERE pos < 15 AND used < 20000"""
 
+ORACLES["second_round"] = _with(*_DOC_SCORES, """open AS (
+  SELECT query_id FROM asks WHERE length(string_split('Original question: ' || query, chr(10))[1]) % 2 = 1)""",
+    "again AS (SELECT 'r' AS query_id, 'what did I say before' AS query)",
+    _vectors("rvec", "again", "query_id", f"'{_QUERY_PREFIX}' || query"), f"""rdots AS (
+  SELECT m.key AS id, sum(r.w * m.w) AS s FROM rvec r JOIN mvec m USING (dim) GROUP BY ALL),
+both_rounds AS (
+  SELECT query_id, 0 AS turn, id, seq, score FROM scored
+  UNION ALL
+  SELECT a.query_id, 1, x.id, x.seq, round(0.5 * coalesce(d.s, 0) + 0.5 * coalesce(r.s, 0), 9)
+  FROM asks a SEMI JOIN open USING (query_id) JOIN mem x USING (user_id)
+  LEFT JOIN dots d ON d.query_id = a.query_id AND d.id = x.id LEFT JOIN rdots r ON r.id = x.id),
+keyed AS (SELECT b.*, kind, content, {_key('content')} AS key FROM both_rounds b JOIN mem USING (id)),
+firsts AS (
+  SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY query_id, turn, key ORDER BY score DESC, b.seq) = 1),
+taken AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, turn ORDER BY score DESC, seq) AS p FROM firsts QUALIFY p <= 10),
+merged AS (
+  SELECT query_id, key, id, kind, score, content, first_value(turn * 1000 + p) OVER (PARTITION BY query_id, key ORDER BY turn, p) AS seen
+  FROM taken QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, turn, p) = 1),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) - 1 AS pos,
+         coalesce(sum(length(content)) OVER (PARTITION BY query_id ORDER BY score DESC, seen
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM merged)""".replace("b.seq)", "seq)")) + """
+SELECT query_id, pos, id, kind, round(score, 6) AS score FROM placed WHERE pos < 10 AND used < 400000"""
+
 # --- evaluation ------------------------------------------------------------------------------------
 
 EVAL = """ret AS (SELECT query_id AS question_id, p - 1 AS pos, id, kind, digest, position, seq FROM ranked WHERE p <= 100),
@@ -439,6 +470,18 @@ SWEEP = """swept AS (
 _EVAL = _with(VECTORS, RANKED, EVAL)
 _SWEEP = _with(VECTORS, RANKED, EVAL, SWEEP)
 
+ORACLES["judge_with_caller"] = """
+SELECT 'q' || vec_id AS question_id,
+       CASE WHEN vec_id % 11 = 0 OR vec_id % 13 = 0 THEN NULL WHEN vec_id % 3 = 0 THEN 'CORRECT' ELSE 'WRONG' END AS label,
+       CASE WHEN vec_id % 11 = 0 THEN 'JUDGE_ERROR' WHEN vec_id % 13 = 0 THEN 'I cannot tell.'
+            WHEN vec_id % 3 = 0 THEN 'Verdict: CORRECT' ELSE 'Verdict: WRONG' END AS judge_raw
+FROM embeddings"""
+ORACLES["judged_prefixes"] = _EVAL + "SELECT prefix, count(*) AS rows FROM judged GROUP BY prefix"
+ORACLES["store_tag_recall"] = _with(VECTORS, RANKED, EVAL.replace(
+    "p - 1 AS pos", "p - 3 AS pos").replace("WHERE p <= 100)", "WHERE p BETWEEN 3 AND 100)")) + f"""
+SELECT k, count(*) FILTER (first_pos < k) AS hits, count(*) AS n,
+       round(count(*) FILTER (first_pos < k) / count(*), 6) AS recall
+FROM found, (SELECT unnest({list(_CUTOFFS)}) AS k) GROUP BY k"""
 ORACLES["result_provenance"] = _EVAL + "SELECT id, dia_id FROM prov"
 ORACLES["join_guard"] = _EVAL + "SELECT count(DISTINCT digest) AS matching FROM ret"
 ORACLES["recall_at_k"] = _EVAL + f"""
