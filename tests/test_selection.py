@@ -118,3 +118,29 @@ def test_scan_and_grid_agree(spark):
     assert one == two and len(one) == 63
     with pytest.raises(ValueError):
         top_hits(memories, queries, 7, strategy="scan", scan_bytes=10)
+
+
+def test_keys_beyond_the_broadcast_go_through_a_filter(spark):
+    from turnstore.runtime import BLOCK_KEYS, join_few
+    large = spark.range(20_000).selectExpr("concat('m', id) AS id", "repeat('text ', 20) AS content")
+    few = spark.range(900).selectExpr("concat('m', id * 7) AS id", "id AS n").unionByName(spark.range(5).selectExpr("concat('x', id) AS id", "id AS n"))
+    expected = {(f"m{7 * n}", n) for n in range(900)}
+    for limits in ({}, {"rows": 10}, {"rows": 10, "blocks": 1}):
+        assert {(r.id, r.n) for r in join_few(large, few, ["id"], **limits).collect()} == expected
+    # Hardly anything but the keys is shuffled.
+    n_blocks = -(-905 // BLOCK_KEYS)
+    from turnstore import runtime
+    place, bits = runtime.key_hashes(["id"])
+    sent = runtime.filter_blocks(few, ["id"], n_blocks)
+    passed = large.withColumn("block", F.pmod(place, F.lit(n_blocks))).join(sent, "block").where(runtime.may_hold(F.col("words"), bits))
+    assert 900 <= passed.count() < 900 + 0.03 * 20_000
+
+
+def test_packed_users_and_two_levels_rank_alike(spark):
+    from turnstore.operators.scoring import top_hits
+    rows = [(f"u{n % 40 if n % 3 else 0}", f"i{n}", n, [float(n % 7), float(n % 11)]) for n in range(900)]
+    memories = spark.createDataFrame(rows, "user_id string, id string, seq bigint, vec array<float>")
+    asked = spark.createDataFrame([(f"q{n}", f"u{n % 45}", [1.0, float(n % 5)]) for n in range(120)], "query_id string, user_id string, qvec array<float>")
+    expected = sorted(map(tuple, top_hits(memories, asked, 7, strategy="scan").collect()))
+    for plan in ({"salts": 4}, {"strategy": "grid"}, {"strategy": "grid", "slice_rows": 25, "query_block": 2, "salts": 3}):
+        assert sorted(map(tuple, top_hits(memories, asked, 7, **plan).collect())) == expected

@@ -1,15 +1,16 @@
 """Exact top-k of every question over its user's memories.
 
 No (question, memory) pair leaves a task unless it is among the best ``k`` of the
-block it was scored in. A block is a bounded set of one user's rows scored by one
-matrix product; Spark decides which rows meet which questions:
+rows of that user it was scored with, a bounded set that takes one matrix product.
+Which rows meet which questions:
 
 ``scan``  the questions are small (measured, see :func:`bounded`): they are sent to
           every task and the memories are scored where they are read. The memory
           table is never shuffled.
 ``grid``  the questions are large: memories and questions meet in (user, slice,
           block) cells. A user with many memories has many slices, a user with many
-          questions many blocks, so a cell is bounded whatever the skew.
+          questions many blocks, so a cell is bounded whatever the skew; small users
+          share a cell, so that there are not as many cells as users.
 
 Both reduce to ``row_number() <= k`` per question, whose group limit also runs
 before the shuffle.
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 from turnstore import settings as S
+from turnstore.runtime import cut_lineage
 
 SCAN_BYTES = 64 * 1024 * 1024   # most question data sent to every task
 BLOCK_ROWS = 65_536             # memory rows gathered before they are scored
@@ -190,26 +192,39 @@ def _grid(memories: DataFrame, questions: DataFrame, schema: T.StructType, chann
     stored = memories.groupBy("user_id").agg(F.count("*").alias("stored"))
     # One row per asked user. Spark broadcasts it when it is small; otherwise the
     # skew join splits a hot user's memories.
-    users = asked.join(stored, "user_id").select(
-        "user_id", F.ceil(F.col("stored") / slice_rows).cast("int").alias("slices"),
-        F.ceil(F.col("asked") / query_block).cast("int").alias("blocks"))
+    users = cut_lineage(asked.join(stored, "user_id").select(
+        "user_id", "stored", F.ceil(F.col("stored") / slice_rows).cast("int").alias("slices"),
+        F.ceil(F.col("asked") / query_block).cast("int").alias("blocks")))
+    # Users with one slice and one block share cells, about a slice of rows in each.
+    alone = (F.col("slices") > 1) | (F.col("blocks") > 1)
+    packs = users.where(~alone).agg(F.ceil(F.sum("stored") / slice_rows).cast("int")).first()[0] or 1
+    pack = F.pmod(F.xxhash64("user_id"), F.lit(packs)).cast("int")
+    users = users.select("user_id", "slices", "blocks", F.struct(
+        F.when(alone, F.col("user_id")).alias("user"), F.when(~alone, pack).alias("pack")).alias("_cell"))
     left = (memories.join(users, "user_id")
             .withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .drop("slices", "blocks"))
+            .withColumn("cell", F.col("_cell")).drop("slices", "blocks", "_cell"))
     right = (questions.join(users, "user_id")
              .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
              .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-             .drop("slices", "blocks"))
+             .withColumn("cell", F.col("_cell")).drop("slices", "blocks", "_cell"))
     decimals, cells = S.SCORE_DECIMALS, SCORE_CELLS
 
     def cell(mems: pa.Table, asks: pa.Table) -> pa.Table:
-        if not mems.num_rows or not asks.num_rows:
+        found = []
+        if mems.num_rows and asks.num_rows:
+            rows, rows_at = _by_user(mems)
+            asks, asks_at = _by_user(asks)
+            for user, place in rows_at.items():
+                if user in asks_at:
+                    found += _best(rows.slice(*place), asks.slice(*asks_at[user]), channel, k, decimals, cells)
+        if not found:
             return pa.table({"query_id": asks.column("query_id").slice(0, 0), "id": mems.column("id").slice(0, 0),
                              "seq": mems.column("seq").slice(0, 0), "score": pa.array([], pa.float64())})
-        return pa.Table.from_batches(list(_best(mems, asks, channel, k, decimals, cells)))
+        return pa.Table.from_batches(found)
 
-    keys = ["user_id", "slice", "block"]
+    keys = ["cell", "slice", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
 
 
@@ -229,17 +244,25 @@ def candidates(memories: DataFrame, questions: DataFrame, k: int, channel: Chann
     if fetched is not None:
         return _scan(rows, fetched, schema, channel, k)
     if strategy == "scan":
-        raise ValueError(f"the questions take more than {scan_bytes} bytes: use strategy 'grid' or 'auto'")
+        raise ValueError(f"the questions take more than {scan_bytes} bytes: raise scan_bytes, or use strategy 'grid' or 'auto'")
     return _grid(rows, asks, schema, channel, k, slice_rows, query_block)
 
 
-def top_hits(memories: DataFrame, questions: DataFrame, k: int, channel: Channel = DENSE, **plan) -> DataFrame:
+def top_hits(memories: DataFrame, questions: DataFrame, k: int, channel: Channel = DENSE, salts: int = 0, **plan) -> DataFrame:
     """The best *k* memories of every question: query_id, id, seq, score, p (from 1).
 
     *memories* has user_id, id, seq and the channel's columns; *questions* has
     query_id, user_id and the channel's columns. Questions of unknown users give
-    no row. Ties are broken by ``seq``. *plan* is passed to :func:`candidates`.
+    no row. Ties are broken by ``seq``. Every block offers at most *k* rows for a
+    question; where a user's memories lie in very many blocks, *salts* merges them in
+    two levels, so that no task gets more than k x salts rows for one question. *plan*
+    is passed to :func:`candidates`.
     """
-    best_first = W.partitionBy("query_id").orderBy(F.desc("score"), "seq")
     scored = candidates(memories, questions, k, channel, **plan)
+    order = [F.desc("score"), "seq"]
+    if salts > 1:
+        salted = W.partitionBy("query_id", "_salt").orderBy(*order)
+        scored = (scored.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+                  .withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= k).drop("_n", "_salt"))
+    best_first = W.partitionBy("query_id").orderBy(*order)
     return scored.withColumn("p", F.row_number().over(best_first)).where(F.col("p") <= k)

@@ -26,7 +26,7 @@ from turnstore import settings as S
 from turnstore.functions import text as X
 from turnstore.operators.ingest import with_keys
 from turnstore.operators.scoring import Channel, dot_products, top_hits
-from turnstore.runtime import cut_lineage, small_side
+from turnstore.runtime import cut_lineage, join_few, small_side
 
 OFFER_ORDER = ["down", "hit_seq", "slot"]
 PAGE_HITS = 1_000   # useful hits of one question folded at a time
@@ -54,18 +54,16 @@ def keyed(memories: DataFrame) -> DataFrame:
 def offers(hits: DataFrame, memories: DataFrame, radius: int) -> DataFrame:
     """Hits and neighbours with their key and length, without their text.
 
-    Ids are unique, so this is one equi-join. Few offers are sent to the memories,
-    which then are not shuffled; many are shuffled by id, and ids that a lot of
-    questions share are split.
+    Ids are unique, so this is one equi-join. Only memories that are offered leave their
+    place, see :func:`~turnstore.runtime.join_few`. *hits* are read several times.
     """
     stored = keyed(memories).select("id", "seq", "kind", F.col("dedupe_key").alias("key"), "n_chars")
-    offered = small_side(offer_ids(hits, radius))
-    return stored.join(offered, "id").withColumn("down", -F.col("score"))
+    return join_few(stored, offer_ids(hits, radius), ["id"]).withColumn("down", -F.col("score"))
 
 
 def neighbour_window(hits: DataFrame, memories: DataFrame, radius: int = S.WINDOW_RADIUS) -> DataFrame:
     """Every hit followed by the stored turns around it in its chunk."""
-    return offers(hits, memories, radius).select("query_id", "hit_seq", "slot", "id", "seq", "score")
+    return offers(cut_lineage(hits), memories, radius).select("query_id", "hit_seq", "slot", "id", "seq", "score")
 
 
 def first_per_key(offered: DataFrame) -> DataFrame:
@@ -225,4 +223,4 @@ def select_memories(memories: DataFrame, queries: DataFrame, radius: int = S.WIN
     pending = first.where("not exact").select("query_id", "limit").distinct()
     if not pending.isEmpty():
         taken = taken.unionByName(_walk(pending, memories, queries, radius, char_budget, page_hits, **plan))
-    return memories.select("id", "kind", "content", "created_at").join(small_side(taken), "id")
+    return join_few(memories.select("id", "kind", "content", "created_at"), taken, ["id"])

@@ -39,7 +39,8 @@ class SearchJob:
     def one_round(self, memories: DataFrame, queries: DataFrame) -> DataFrame:
         """Results of questions that already have ``qvec``."""
         knobs = self.settings
-        taken = select_memories(memories, queries, knobs.radius, knobs.char_budget, knobs.return_limit, knobs.hit_factor)
+        taken = select_memories(memories, queries, knobs.radius, knobs.char_budget, knobs.return_limit, knobs.hit_factor,
+                                salts=knobs.salts)
         return ordering.ordered(taken, knobs.ordering).select(*RESULT)
 
     def run(self, memories: DataFrame, requests: DataFrame) -> DataFrame:

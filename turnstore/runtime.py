@@ -82,6 +82,62 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+# Bits and keys of one block of a Bloom filter, bits tested per key, and most blocks that are sent
+# to every task (half a KB each).
+BLOCK_BITS, BLOCK_KEYS, PROBES = 4096, 341, 5
+SENT_BLOCKS = 20_000
+
+
+def key_hashes(on: list[str]) -> tuple[Column, Column]:
+    """Two hashes of a key: one for its block, one for its bits."""
+    return F.xxhash64(*on), F.xxhash64(F.lit("bits"), *reversed(on))
+
+
+def _positions(bits: Column) -> list[Column]:
+    """Bits of a key inside its block, twelve bits of the hash for each."""
+    return [F.shiftrightunsigned(bits, 12 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for i in range(PROBES)]
+
+
+def filter_blocks(keys: DataFrame, on: list[str], n_blocks: int, by: list[str] | None = None) -> DataFrame:
+    """Blocks (by, block, words) of a Bloom filter of *keys*; blocks without a key have no row."""
+    by = by or []
+    place, bits = key_hashes(on)
+    at = keys.select(*by, F.pmod(place, F.lit(n_blocks)).alias("block"), F.explode(F.array(*_positions(bits))).alias("at"))
+    words = at.groupBy(*by, "block", F.expr("at div 64").cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    blocks = words.groupBy(*by, "block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("of", i), F.lit(0)))
+    return blocks.select(*by, "block", every.alias("words"))
+
+
+def may_hold(words: Column, bits: Column) -> Column:
+    """Whether a block may hold the key with these *bits*: never false for one it was made of."""
+    held = F.lit(True)
+    for at in _positions(bits):
+        held = held & (F.getbit(F.element_at(words, F.expr("cast(1 as int)") + F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64))) == 1)
+    return held
+
+
+def join_few(large: DataFrame, few: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS,
+             blocks: int = SENT_BLOCKS) -> DataFrame:
+    """*large* joined with *few* of its keys, without shuffling the rest of *large*.
+
+    Up to *rows* keys are sent to every task. For more, a Bloom filter of them is (up to *blocks*
+    blocks), and only rows that pass it are shuffled. Beyond that the whole is a shuffle join.
+    *how* must not keep rows of *large* without a partner.
+    """
+    n = few.count()
+    if n <= rows:
+        return large.join(F.broadcast(few), on, how)
+    n_blocks = -(-n // BLOCK_KEYS)
+    if n_blocks <= blocks:
+        place, bits = key_hashes(on)
+        sent = filter_blocks(few.select(*on).distinct(), on, n_blocks)
+        large = (large.withColumn("_block", F.pmod(place, F.lit(n_blocks))).join(F.broadcast(sent.toDF("_block", "_words")), "_block")
+                 .where(may_hold(F.col("_words"), bits)).drop("_block", "_words"))
+    return large.join(few, on, how)
+
+
 def order_splitters(df: DataFrame, order: list[str], pieces: int) -> list[tuple]:
     """At most ``pieces - 1`` values that cut *df* into similar ranges of *order*.
 

@@ -54,3 +54,5 @@ class SearchSettings:
     second_round: bool = False
     # Hits ranked per query in the first pass, as a multiple of the largest answer.
     hit_factor: int = 2
+    # Two-level merging of hits, for users whose memories lie in very many blocks; 0 for one level.
+    salts: int = 0

@@ -29,18 +29,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
 from pyspark.sql import types as T
 
-from turnstore.runtime import cut_lineage, small_side
+from turnstore.runtime import BLOCK_KEYS, SENT_BLOCKS, cut_lineage, filter_blocks, key_hashes, may_hold, small_side
 from turnstore.schemas import LEDGER, MEMORY
 
 # Buckets of users; all attempts of a store have the same.
 USER_BUCKETS = 64
 # Live attempts of one tier that are merged into one of the next.
 FAN_IN = 16
-# Bits and requests of one block of a filter.
-BLOCK_BITS, BLOCK_KEYS = 4096, 341
-PROBES = 5
-# Most filter blocks that are sent to every task.
-SENT_BLOCKS = 20_000
 # Attempts with at most so many memories are a few files, without a folder per bucket.
 FLAT_ITEMS = 200_000
 
@@ -81,33 +76,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _key_hashes() -> tuple[Column, Column]:
-    """Two hashes of a request: one for its block, one for its bits."""
-    return F.xxhash64("request_id", "user_id"), F.xxhash64(F.lit("bits"), "user_id", "request_id")
-
-
-def _positions(bits: Column) -> list[Column]:
-    """Bits of a key inside its block, twelve bits of the hash for each."""
-    return [F.shiftrightunsigned(bits, 12 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for i in range(PROBES)]
+_REQUEST = ["request_id", "user_id"]
 
 
 def request_filters(ledger: DataFrame) -> DataFrame:
     """Filter blocks (user_bucket, n_blocks, block, words) of ledger rows with ``user_bucket``.
 
     The number of blocks is a power of four that fits the fullest bucket, so that few sizes
-    occur in a store; blocks without a key have no row.
+    occur in a store.
     """
     fullest = ledger.groupBy("user_bucket").count().agg(F.max("count")).first()[0] or 0
     n_blocks = 1
     while n_blocks * BLOCK_KEYS < fullest:
         n_blocks *= 4
-    place, bits = _key_hashes()
-    keys = ledger.select("user_bucket", F.pmod(place, F.lit(n_blocks)).alias("block"), F.explode(F.array(*_positions(bits))).alias("at"))
-    words = keys.groupBy("user_bucket", "block", F.expr("at div 64").cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    blocks = words.groupBy("user_bucket", "block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("of", i), F.lit(0)))
-    return blocks.select(F.lit(n_blocks).cast("long").alias("n_blocks"), "block", every.alias("words"), "user_bucket")
+    return filter_blocks(ledger, _REQUEST, n_blocks, ["user_bucket"]).withColumn("n_blocks", F.lit(n_blocks).cast("long"))
 
 
 @dataclass(frozen=True)
@@ -194,22 +176,19 @@ class Store:
 
     def stored_requests(self, keys: DataFrame, attempts: list[Row]) -> DataFrame:
         """Those of *keys* (request_id, user_id) that are in the ledger of *attempts*."""
-        spark, names = keys.sparkSession, ["request_id", "user_id"]
+        spark, names = keys.sparkSession, _REQUEST
         none = spark.createDataFrame([], T.StructType([f for f in LEDGER.fields if f.name in names]))
         buckets = self.buckets_of(keys)
         if not attempts or not buckets:
             return none
         filters = self.read(spark, "filters", attempts, buckets)
         sizes = [r.n_blocks for r in filters.select("n_blocks").distinct().collect()]
-        place, bits = _key_hashes()
+        place, bits = key_hashes(_REQUEST)
         asked = keys.select(*names, user_bucket(F.col("user_id"), self.buckets).alias("user_bucket"), place.alias("_place"), bits.alias("_bits"),
                             F.explode(F.array(*[F.lit(n).cast("long") for n in sizes])).alias("n_blocks")).withColumn(
             "block", F.expr("pmod(_place, n_blocks)"))
-        at = _positions(F.col("_bits"))
-        held = reduce(lambda x, y: x & y, [
-            F.getbit(F.element_at("words", F.floor(p / 64).cast("int") + 1), F.pmod(p, F.lit(64))) == 1 for p in at])
-        maybe = cut_lineage(asked.join(small_side(filters, SENT_BLOCKS), ["user_bucket", "n_blocks", "block"]).where(held)
-                            .select(*names, "user_bucket", "attempt").distinct())
+        maybe = cut_lineage(asked.join(small_side(filters, SENT_BLOCKS), ["user_bucket", "n_blocks", "block"])
+                            .where(may_hold(F.col("words"), F.col("_bits"))).select(*names, "user_bucket", "attempt").distinct())
         pointed = maybe.select("attempt", "user_bucket").distinct().collect()
         if not pointed:
             return none

@@ -305,7 +305,7 @@ def search_isolation(spark, sf):
 def dedupe_results(spark, sf):
     """First offer of each near-duplicate key among the forty best documents."""
     memories = D.document_memories(spark, sf)
-    hits = _document_hits(spark, sf, memories, 40)
+    hits = cut_lineage(_document_hits(spark, sf, memories, 40))
     return selection.first_per_key(selection.offers(hits, memories, 0)).select("query_id", "id", "n_chars", "key")
 
 
