@@ -34,13 +34,13 @@ from turnstore.llm.words import list_array
 from turnstore.runtime import cut_lineage
 
 # Beyond so many stretches or characters of them a task forgets those that are rare.
-CACHE_STRETCHES, CACHE_CHARS = 250_000, 1 << 23
+CACHE_STRETCHES, CACHE_CHARS = 150_000, 1 << 23
 # Stretches that are encoded at once.
 LEARN_STRETCHES = 1 << 13
 # Characters of one text that are held as stretches at once.
 PIECE_CHARS = 1 << 20
 # Characters of texts that are aligned together.
-SET_CHARS = 1 << 20
+SET_CHARS = 1 << 19
 # Most irregular pairs of the corpus that are sent to every task; more meet the texts in a shuffle.
 SENT_PAIRS = 1 << 20
 
