@@ -44,6 +44,8 @@ SAMPLE_SHARE, SAMPLE_ROWS = 0.05, 2_000
 FREQUENT, MOST_FREQUENT = 3, 1 << 20
 # Holders of a frequent word that are compared with each other at once.
 BLOCK_ROWS = 1_000
+# Most holders of an unmarked word that are joined with each other as rows.
+FEW_HOLDERS = 64
 # Nodes whose ids may be sent to every task.
 BROADCAST_NODES = 500_000
 
@@ -153,13 +155,13 @@ def frequent_shingles(docs: DataFrame, share: float = SAMPLE_SHARE) -> np.ndarra
 
 
 _SKETCHED = StructType([
-    StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("n_rare", LongType()),
+    StructField("doc_id", LongType()), StructField("text_key", LongType()), StructField("n_shingles", LongType()), StructField("n_rare", LongType()),
     StructField("node", LongType()),
     StructField("parity", BinaryType()), StructField("keys", ArrayType(LongType()))])
 
 
 def sketch(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Per row: doc_id, n_shingles, n_rare of them, node (null without shingles), parity sketch, join keys."""
+    """Per row (doc_id, text_key, text): ids, n_shingles, n_rare of them, node (null without shingles), parity sketch, join keys."""
     table = frequent_shingles(docs)
     packed = docs.sparkSession.sparkContext.broadcast(None if table is None else np.packbits(table))
 
@@ -176,11 +178,11 @@ def sketch(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
                 parities.append(sketcher.parity(found) if len(found) else None)
                 keys.append(sketcher.keys(found).view(np.int64) if len(found) else None)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(sizes, pa.int64()),
+                "doc_id": batch.column("doc_id").cast(pa.int64()), "text_key": batch.column("text_key"), "n_shingles": pa.array(sizes, pa.int64()),
                 "n_rare": pa.array(rare, pa.int64()), "node": pa.array(nodes, pa.int64()), "parity": pa.array(parities, pa.binary()),
                 "keys": list_array(keys, pa.int64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SKETCHED)
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, _SKETCHED)
 
 
 def _sizes_allow(similarity: int):
@@ -243,19 +245,25 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: int)
     return both.mapInArrow(verify, "u long, v long")
 
 
-def _frequent_pairs(rows: DataFrame, similarity: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Pairs (u, v) that share a frequent or empty word, by blocks of its holders.
+def _block_pairs(rows: DataFrame, similarity: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs (u, v) that share a word of many holders, by blocks of its holders.
 
-    One side must be almost wholly frequent. A word's holders are cut into blocks; a
-    cell compares the sizes, rare shingles and parity sketches of two blocks and gives
-    out the plausible pairs only.
+    If the word is frequent or empty (a negative key), one side must be almost wholly frequent.
+    A word's holders are cut into blocks; a cell compares the sizes, rare shingles and parity
+    sketches of two blocks and gives out the plausible pairs only, and each pair only in the
+    cells of the least such word that both hold.
     """
-    close = (100 + similarity) * F.col("n_rare") <= (100 - similarity) * F.col("n_shingles")
+    close = (F.col("key") >= 0) | ((100 + similarity) * F.col("n_rare") <= (100 - similarity) * F.col("n_shingles"))
+    rows = rows.withColumn("_close", close)
     counts = rows.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_n"),
-                                     F.max(close).alias("_any")).where("_any").select("key", "_n")
+                                     F.max("_close").alias("_any")).where("_any").select("key", "_n")
     rows = rows.join(counts, "key").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    known = rows.withColumn("_kind", F.col("key") >= 0)
+    words = known.groupBy("node", "_kind").agg(F.collect_set("key").alias("_words"))
+    rows = cut_lineage(known.join(words, ["node", "_kind"]).withColumn(
+        "_words", F.filter("_words", lambda w: w < F.col("key"))).drop("_kind", "doc_id"))
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    left = rows.where(close).select("*", F.col("_own").alias("_bu"), all_blocks.alias("_bv"), F.lit(True).alias("_left"))
+    left = rows.where("_close").select("*", F.col("_own").alias("_bu"), all_blocks.alias("_bv"), F.lit(True).alias("_left"))
     right = rows.select("*", all_blocks.alias("_bu"), F.col("_own").alias("_bv"), F.lit(False).alias("_left"))
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
@@ -264,8 +272,13 @@ def _frequent_pairs(rows: DataFrame, similarity: int, block_rows: int = BLOCK_RO
         low, high = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
         room = (100 - similarity) * np.add.outer(*sizes)
         fits = 100 * low >= similarity * high
-        fits &= (100 + similarity) * np.add.outer(u["n_rare"].to_numpy(), v["n_rare"].to_numpy()) <= room
+        if cell["key"].iloc[0] < 0:
+            fits &= (100 + similarity) * np.add.outer(u["n_rare"].to_numpy(), v["n_rare"].to_numpy()) <= room
         fits &= u["root"].to_numpy()[:, None] != v["root"].to_numpy()[None, :]
+        # If both can be on the left, one of the two orders is enough.
+        fits &= (u["node"].to_numpy()[:, None] < v["node"].to_numpy()[None, :]) | ~v["_close"].to_numpy()[None, :]
+        if fits.any():
+            fits &= ~_share(u["_words"], v["_words"])
         at_u, at_v = np.nonzero(fits)
         near = _near(u, v, at_u, at_v, room, similarity)
         return pd.DataFrame({"u": u["node"].to_numpy()[at_u[near]], "v": v["node"].to_numpy()[at_v[near]]})
@@ -273,6 +286,26 @@ def _frequent_pairs(rows: DataFrame, similarity: int, block_rows: int = BLOCK_RO
     return left.unionByName(right).groupBy("key", "_bu", "_bv").applyInPandas(compare, "u long, v long")
 
 
+def _share(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """Whether two rows have a word in common, for all pairs of rows of two bounded blocks."""
+    sides = [(np.repeat(np.arange(len(x)), x.map(len).to_numpy()), np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64))
+             for x in (left, right)]
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    shared = np.zeros((len(left), len(right)), bool)
+    # Some hundreds of words at a time.
+    for start in range(0, len(both), 512):
+        some = both[start:start + 512]
+        marks = []
+        for (of, words), n in zip(sides, shared.shape):
+            at = np.minimum(np.searchsorted(some, words), len(some) - 1)
+            held = some[at] == words
+            table = np.zeros((n, len(some)), np.float32)
+            table[of[held], at[held]] = 1
+            marks.append(table)
+        shared |= marks[0] @ marks[1].T > 0
+    return shared
+
+
 def _near(u: pd.DataFrame, v: pd.DataFrame, at_u: np.ndarray, at_v: np.ndarray, room: np.ndarray, similarity: int) -> np.ndarray:
     """Whether the Hamming distance of each pair of rows leaves the similarity possible."""
     near = np.zeros(len(at_u), bool)
@@ -298,29 +331,28 @@ def _near(u: pd.DataFrame, v: pd.DataFrame, at_u: np.ndarray, at_v: np.ndarray,
     return near
 
 
-def _across(held: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (u, v) of different components that share a key and could be linked."""
+def _across(held: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: int, few: int = FEW_HOLDERS) -> DataFrame:
+    """Pairs (u, v) of different components that share a key and could be linked.
+
+    Words of up to *few* holders are joined with themselves; all others, marked as frequent
+    or not, go through blocks.
+    """
     placed = held.select("key", "node").join(roots, "node", "left").select(
         "key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_holders")).where(
+        "_a <> _b").select("key", "_holders")
     placed = cut_lineage(placed.join(mixed, "key"))
-    rare = placed.where("key >= 0").join(nodes.select("node", "n_shingles"), "node")
+    by_pairs = (F.col("key") >= 0) & (F.col("_holders") <= few)
+    rare = placed.where(by_pairs).join(nodes.select("node", "n_shingles"), "node")
     one, other = (rare.select("key", "node", "root", "n_shingles").toDF("key", x, f"root_{x}", f"size_{x}") for x in "uv")
     rare = one.join(other, "key").where((F.col("root_u") < F.col("root_v")) & _sizes_allow(similarity))
-    known = _frequent_pairs(placed.where("key < 0").join(nodes, "node"), similarity)
+    known = _block_pairs(placed.where(~by_pairs).drop("_holders").join(nodes, "node"), similarity)
     pairs = rare.select("u", "v").unionByName(known)
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def similarity_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Per row of *docs* (doc_id, text): doc_id, n_shingles, component_id.
-
-    component_id is the smallest doc_id reachable by links. Rows without words (null,
-    empty, white space) are linked with nothing and are their own component; rows with
-    equal texts are one node, whatever their ids; rows without id count but never name
-    a component unless no other row could. Other columns are ignored.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _grouped(docs: DataFrame, similarity: int, few: int) -> DataFrame:
+    """Per row of *docs* (doc_id, text, text_key): these without the text, n_shingles, node and root (null without words), component_id."""
     rows = cut_lineage(sketch(docs, similarity))
     nodes = cut_lineage(rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("n_rare").alias("n_rare"),
@@ -333,26 +365,53 @@ def similarity_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFram
     links = cut_lineage(_links(stars, docs, nodes, similarity))
     roots = components(links)
     # Second pass: holders of a word in different components.
-    across = _across(held, nodes, roots, similarity)
+    across = _across(held, nodes, roots, similarity, few)
     links = links.unionByName(_links(across, docs, nodes, similarity))
     roots = cut_lineage(components(links))
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id")
-    return rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
-        "doc_id", "n_shingles",
+    of_node = named.join(least, "root").select("node", "root", "component_id")
+    return rows.select("doc_id", "text_key", "n_shingles", "node").join(of_node, "node", "left").select(
+        "doc_id", "text_key", "n_shingles", "node", "root",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+
+
+def similarity_groups(docs: DataFrame, similarity: int = SIMILARITY, few: int = FEW_HOLDERS) -> DataFrame:
+    """Per row of *docs* (doc_id, text): doc_id, n_shingles, component_id.
+
+    component_id is the smallest doc_id reachable by links. Rows without words (null,
+    empty, white space) are linked with nothing and are their own component; rows with
+    equal texts are one node, whatever their ids; rows without id count but never name
+    a component unless no other row could. Other columns are ignored.
+    """
+    return _grouped(_texts(docs), similarity, few).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_first(docs: DataFrame, similarity: int = SIMILARITY, few: int = FEW_HOLDERS) -> DataFrame:
     """*docs* with one document of each group, the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document; rows without words or id all stay.
+    A document is an id and a text: of rows that share an id with different texts each is
+    judged by its own text, rows that share both are one, and missing ids come last. Rows
+    without words all stay.
     """
-    found = cut_lineage(similarity_groups(docs, similarity))
-    gone = cut_lineage(found.where("doc_id <> component_id").select("doc_id").distinct())
+    found = cut_lineage(_grouped(_texts(docs), similarity, few).where("node is not null"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = found.groupBy("root").agg(F.min(order).alias("_first")).select("_first.doc_id", "_first.text_key", F.lit(True).alias("_stays"))
+    kept = found.select("doc_id", "text_key").distinct()
+    same = kept["doc_id"].eqNullSafe(first["doc_id"]) & (kept["text_key"] == first["text_key"])
+    gone = cut_lineage(kept.join(first, same, "left_anti")).toDF("_gone_id", "_gone_key")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    names = docs.columns
+    id_, text = (F.col(f"`{c}`") for c in ("doc_id", "text"))
+    key = F.xxhash64(text.cast("string"))
+    rest = docs.join(gone, id_.cast("long").eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_key")), "left_anti").select(*names)
+    if found.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        return rest
+    # Repeated rows are rare: one of each stays.
+    blank = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", "") == ""
+    return rest.where(~blank).dropDuplicates(["doc_id", "text"]).unionByName(rest.where(blank))
