@@ -36,7 +36,7 @@ def main() -> None:
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1"})
     spark.sparkContext.setLogLevel("ERROR")
-    for build in (D.chat_memories, D.document_memories, D.retrieval):
+    for build in (D.chat_memories, D.document_memories, D.retrieval, D.results, D.document_index):
         build(spark, sf)
     seconds = {}
     for name in names:

@@ -40,10 +40,9 @@ def test_ids(spark):
 
 
 def test_dedupe_key_and_lengths(spark):
-    texts = ["Some\tText  here", "some text　here ", "a" * 120 + "b", "a" * 120 + "c", "\x1c x\x85y \x0bz"]
-    keys = values(spark, X.dedupe_key(F.col("x")), texts, "x string")
-    assert keys[0] == keys[1] == "some text here" and keys[2] == keys[3] == "a" * 120
-    assert keys == [" ".join(t.lower().split())[:120] for t in texts]
+    expected = {"Some\tText  here": "some text here", "some text　here ": "some text here", "a" * 120 + "b": "a" * 120,
+                "a" * 120 + "c": "a" * 120, "\x1c x\x85y \x0bz": "x y z", "ÄB\n\nc": "äb c", "\u2003": "", "": ""}
+    assert values(spark, X.dedupe_key(F.col("x")), list(expected), "x string") == list(expected.values())
     assert values(spark, F.length("x"), ["a😀b"], "x string") == [3]
 
 

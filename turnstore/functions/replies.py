@@ -14,6 +14,11 @@ LIST_LINE = r"(?U)^(?:[-*]|\d+[.)]|\[)"
 BULLET = r"(?U)^(?:[-*]|\d+[.)])[\s\x1c-\x1f]*"
 QUOTES_AND_SPACES = ' "'
 
+# What the recalling and the reflecting model are shown.
+OPTION_SEPARATOR = " | "
+RECALL_PROMPT = ("Question: ", "\nAnswer options: ")
+REFLECTION_PROMPT = ("Original question: ", "Answer options: ", "\nRetrieved evidence:\n", "- ")
+
 _STRICT = {"allowSingleQuotes": "false", "allowUnquotedControlChars": "false"}
 
 
@@ -76,22 +81,23 @@ def follow_up_question(reply: Column) -> Column:
     return asked[0]
 
 
-def options_text(options: Column) -> Column:
-    """The first answer options on one line, null without options."""
-    shown = F.array_join(F.slice(options, 1, S.PROMPT_OPTIONS), " | ")
-    return F.when(F.size(options) > 0, shown)
+def options_text(options: Column, most: int | None = S.PROMPT_OPTIONS) -> Column:
+    """The first *most* answer options on one line (None: all), null without options."""
+    shown = options if most is None else F.slice(options, 1, most)
+    return F.when(F.size(options) > 0, F.array_join(shown, OPTION_SEPARATOR))
 
 
-def recall_prompt(query: Column, options: Column) -> Column:
-    shown = F.concat(F.lit("\nAnswer options: "), options_text(options))
-    return F.concat(F.lit("Question: "), query, F.coalesce(shown, F.lit("")))
+def recall_prompt(query: Column, options: Column, most_options: int | None = S.PROMPT_OPTIONS) -> Column:
+    asked, offered = map(F.lit, RECALL_PROMPT)
+    shown = F.concat(offered, options_text(options, most_options))
+    return F.concat(asked, query, F.coalesce(shown, F.lit("")))
 
 
-def reflection_prompt(query: Column, options: Column, evidence: Column) -> Column:
-    """*evidence* is the array of result contents, best first."""
-    shown = F.coalesce(F.concat(F.lit("Answer options: "), options_text(options), F.lit("\n")), F.lit(""))
-    snippets = F.transform(
-        F.slice(evidence, 1, S.REFLECT_ITEMS),
-        lambda c: F.concat(F.lit("- "), F.substring(c, 1, S.REFLECT_CHARS)))
-    return F.concat(F.lit("Original question: "), query, F.lit("\n"), shown,
-                    F.lit("\nRetrieved evidence:\n"), F.array_join(snippets, "\n"))
+def reflection_prompt(query: Column, options: Column, evidence: Column, items: int | None = S.REFLECT_ITEMS,
+                      chars: int | None = S.REFLECT_CHARS, most_options: int | None = S.PROMPT_OPTIONS) -> Column:
+    """*evidence* is the array of result contents, best first: *items* of them, *chars* of each (None: all)."""
+    asked, offered, found, bullet = map(F.lit, REFLECTION_PROMPT)
+    shown = F.coalesce(F.concat(offered, options_text(options, most_options), F.lit("\n")), F.lit(""))
+    snippets = F.transform(evidence if items is None else F.slice(evidence, 1, items),
+                           lambda c: F.concat(bullet, c if chars is None else F.substring(c, 1, chars)))
+    return F.concat(asked, query, F.lit("\n"), shown, found, F.array_join(snippets, "\n"))

@@ -57,17 +57,19 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return (matrix / np.where(norms == 0, 1.0, norms)).astype(np.float32)
 
 
-def embed(text: Column, embedder: Embedder, is_query: bool = False, batch_size: int | None = S.EMBED_BATCH) -> Column:
+def embed(text: Column, embedder: Embedder, is_query: bool = False, batch_size: int | None = S.EMBED_BATCH,
+          skip_nulls: bool = False) -> Column:
     """Unit vectors of *text*; a question carries the retrieval instruction.
 
-    The model gets at most *batch_size* texts at once (None: a whole Arrow batch) and none of
-    the nulls, which have no vector.
+    The model gets at most *batch_size* texts at once (None: a whole Arrow batch). Missing texts
+    are embedded as empty ones; with *skip_nulls* the model does not see them and they have no vector.
     """
 
     @F.arrow_udf(VECTOR)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = embedder()
         for texts in batches:
+            texts = texts if skip_nulls else texts.fill_null("")
             known = texts.drop_null().to_pylist()
             step = batch_size or max(1, len(known))
             parts = [unit_rows(model(known[i:i + step])) for i in range(0, len(known), step)]

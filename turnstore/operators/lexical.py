@@ -22,8 +22,8 @@ _CELLS = 4_000_000
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """Lower-case runs of letters and digits; a missing text has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def tokenised(memories: DataFrame, text: str = "content") -> DataFrame:

@@ -32,7 +32,7 @@ class SearchJob:
         """Add the one vector each question is scored with; needs ``recall``."""
         question = embed(F.col("query"), self.embedder, is_query=True)
         # Without a recall question there is nothing to embed, and the blend is the question alone.
-        recall = embed(F.col("recall"), self.embedder, is_query=True)
+        recall = embed(F.col("recall"), self.embedder, is_query=True, skip_nulls=True)
         return (queries.withColumn("qv", question).withColumn("rv", recall)
                 .withColumn("qvec", blend(F.col("qv"), F.col("rv"), self.settings.recall_weight)).drop("qv", "rv"))
 

@@ -18,6 +18,7 @@ from turnstore import settings as S
 from turnstore.functions import text as X
 from turnstore.functions.vectors import hashed_embedder
 from turnstore.operators import ingest
+from turnstore.operators.postings import LexicalIndex
 from turnstore.operators.scoring import top_hits
 from turnstore.plans.add import with_vectors
 from turnstore.runtime import cut_lineage, prepare, scratch_path
@@ -155,6 +156,18 @@ def document_questions(spark: SparkSession, sf: str, top_k: int = 20) -> DataFra
         F.lit(top_k).alias("top_k"), F.lit(None).cast("array<string>").alias("options"))
 
 
+def document_index(spark: SparkSession, sf: str) -> LexicalIndex:
+    """The stored postings of the documents, added in two parts."""
+    key = (spark.sparkContext.applicationId, sf, "postings")
+    if key not in _stored:
+        made = LexicalIndex(scratch_path(spark, "postings"))
+        items = cut_lineage(document_items(spark, sf).select("user_id", "id", "seq", "content"))
+        for part in range(2):
+            made.add(items.where(F.col("seq") % 2 == part))
+        _stored[key] = made.root
+    return LexicalIndex(_stored[key])
+
+
 # --- embeddings -------------------------------------------------------------------
 
 def vector_memories(spark: SparkSession, sf: str) -> DataFrame:

@@ -384,6 +384,7 @@ lex AS (
 
 ORACLES["bm25_scores"] = _with(DOCS, _bm25("mem")) + (
     "SELECT query_id, id, round(score, 6) AS score, p FROM lex WHERE p <= 20")
+ORACLES["bm25_scan"] = ORACLES["bm25_scores"]
 
 
 def _rrf(weight: float, mem: str = "mem") -> str:
