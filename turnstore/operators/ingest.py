@@ -116,6 +116,13 @@ def first_arrivals(requests: DataFrame) -> DataFrame:
     return requests.withColumn("_n", F.row_number().over(attempts)).where("_n = 1").drop("_n")
 
 
+def first_keys(requests: DataFrame, row: str) -> DataFrame:
+    """(request_id, user_id, *row*) of what :func:`first_arrivals` keeps; only keys and a hash of the messages are shuffled."""
+    keys = requests.select("request_id", "user_id", "arrival", F.xxhash64("messages").alias("_hash"), row)
+    attempts = W.partitionBy("request_id", "user_id").orderBy("arrival", "_hash", row)
+    return keys.withColumn("_n", F.row_number().over(attempts)).where("_n = 1").select("request_id", "user_id", row)
+
+
 def unseen(requests: DataFrame, ledger: DataFrame) -> DataFrame:
     """Requests whose (request_id, user_id) is not in the ledger yet, once each.
 

@@ -56,9 +56,9 @@ class AddJob:
             tables.write_quarantine(self.root, batch, rejected)
         good = checked.where("problem is null").drop("problem", tables.CORRUPT)
         attempts = self.store.attempts(spark)
-        first = ingest.first_arrivals(good.select("request_id", "user_id", "arrival", "messages", "_row")).drop("messages", "arrival")
-        first = cut_lineage(first) if attempts else first
-        fresh = first.join(self.store.stored_requests(first, attempts), ["request_id", "user_id"], "left_anti") if attempts else first
+        fresh = cut_lineage(ingest.first_keys(good, "_row"))
+        if attempts:
+            fresh = fresh.join(self.store.stored_requests(fresh, attempts), ["request_id", "user_id"], "left_anti")
         fresh = good.join(small_side(fresh.select("_row")), "_row", "left_semi").drop("_row")
         read = ingest.extracted(ingest.prepared(fresh), self.extractor, self.max_calls, self.max_facts)
         pinned = cut_lineage(read.drop("messages", "reply", "transcript"))
