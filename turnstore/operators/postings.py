@@ -26,6 +26,8 @@ from turnstore.sources.store import USER_BUCKETS, Store, read_or_empty, user_buc
 
 # Values of ``seq`` in one block.
 BLOCK_TEXTS = 128
+# Text that one task indexes.
+TASK_BYTES = 16 * 1024 * 1024
 # Scores are summed in any order: bounds within so much of each other are equal.
 SLACK = 1e-7
 
@@ -55,23 +57,33 @@ class LexicalIndex:
     block_texts: int = BLOCK_TEXTS
 
     def add(self, memories: DataFrame, text: str = "content") -> None:
-        """Index *memories* (user_id, id, seq and a text); ids must be new. A part that was not finished has no lengths and is not read."""
+        """Index *memories* (user_id, id, seq and a text); ids must be new. A part that was not finished has no lengths and is not read.
+
+        The texts of a block are brought together once, as texts; what is counted of them stays there.
+        """
         part = uuid.uuid4().hex
         bucket = user_bucket(F.col("user_id"), self.buckets)
-        held = memories.select("user_id", "id", "seq", tokens(F.col(text)).alias("_tokens"))
-        rows = cut_lineage(held.select("user_id", "id", "seq", F.size("_tokens").alias("len"), "_tokens"))
-        counted = rows.select("user_id", "id", "seq", "len", F.explode("_tokens").alias("term")).groupBy(
-            "user_id", "id", "seq", "len", "term").agg(F.count("*").cast("int").alias("tf"))
-        blocks = counted.groupBy("user_id", "term", F.expr(f"seq div {self.block_texts}").alias("block")).agg(
+        block = ["user_bucket", "user_id", "block"]
+        held = cut_lineage(memories.select(bucket.alias("user_bucket"), "user_id", F.expr(f"seq div {self.block_texts}").alias("block"),
+                                           "id", "seq", F.col(text).alias("_text")))
+        size = held.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+        # Blocks of a user lie side by side, so a task's postings go to few folders.
+        near = held.repartitionByRange(max(1, -(-size // TASK_BYTES)), *block)
+        rows = near.withColumn("_tokens", tokens(F.col("_text"))).select(*block, "id", "seq", F.size("_tokens").alias("len"), "_tokens")
+        counted = rows.select(*block, "id", "seq", "len", F.explode("_tokens").alias("term")).groupBy(
+            *block, "id", "seq", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+        blocks = counted.groupBy(*block, "term").agg(
             F.count("*").cast("int").alias("size"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"),
-            F.collect_list(F.struct("id", "seq", "tf", "len")).alias("entries")).withColumn("user_bucket", bucket)
-        self._write("postings", part, blocks, POSTINGS, ["user_id", "term", "block"])
-        lengths = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("len").alias("total")).withColumn("user_bucket", bucket)
+            F.collect_list(F.struct("id", "seq", "tf", "len")).alias("entries"))
+        self._write("postings", part, blocks, POSTINGS, ["user_id", "term", "block"], spread=False)
+        lengths = (held.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.size(tokens(F.col("_text")))).alias("total"))
+                   .withColumn("user_bucket", bucket))
         self._write("lengths", part, lengths, LENGTHS, ["user_id"])
 
-    def _write(self, table: str, part: str, rows: DataFrame, schema: T.StructType, order: list[str]) -> None:
-        (rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).hint("rebalance", F.col("user_bucket"))
-         .sortWithinPartitions("user_bucket", *order).write.partitionBy("user_bucket").parquet(f"{self.root}/{table}/part_id={part}"))
+    def _write(self, table: str, part: str, rows: DataFrame, schema: T.StructType, order: list[str], spread: bool = True) -> None:
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+        rows = rows.hint("rebalance", F.col("user_bucket")) if spread else rows
+        rows.sortWithinPartitions("user_bucket", *order).write.partitionBy("user_bucket").parquet(f"{self.root}/{table}/part_id={part}")
 
     def _read(self, spark: SparkSession, table: str, schema: T.StructType, buckets: list[int]) -> DataFrame:
         named = T.StructType([*schema.fields, T.StructField("part_id", T.StringType())])
