@@ -18,7 +18,7 @@ from turnstore.runtime import cut_lineage, small_side
 
 TOKEN = r"[\p{L}\p{N}]+"
 # Cells of one dense count matrix: bounds the memory of a scoring step.
-_CELLS = 4_000_000
+_CELLS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -57,6 +57,10 @@ def _bm25_scorer(k1: float, b: float, cells: int):
         asked = questions.column("terms").combine_chunks()
         coded = asked.flatten().dictionary_encode()
         n_terms, n_questions = len(coded.dictionary), questions.num_rows
+        if n_questions > 1 and n_terms * n_questions > cells:
+            # Too many weights at once: half of the questions hold fewer terms as well.
+            half = n_questions // 2
+            return np.hstack([score(memories, questions.slice(0, half)), score(memories, questions.slice(half))])
         weights = np.zeros((n_terms, n_questions))
         owner = np.repeat(np.arange(n_questions), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
         weights[coded.indices.to_numpy(zero_copy_only=False), owner] = (
@@ -64,18 +68,24 @@ def _bm25_scorer(k1: float, b: float, cells: int):
         mean = questions.column("avg_len")[0].as_py() or 1.0
         out = np.zeros((memories.num_rows, n_questions))
         step = max(1, cells // max(n_terms, 1))
-        held = memories.column("tokens").combine_chunks()
-        for start in range(0, len(held), step):
-            part = held.slice(start, step)
-            lengths = pc.list_value_length(part).to_numpy(zero_copy_only=False)
-            term = pc.index_in(part.flatten(), value_set=coded.dictionary)
-            term = pc.fill_null(term, -1).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(part)), lengths)
-            known = term >= 0
-            flat = np.bincount(row[known] * n_terms + term[known], minlength=len(part) * n_terms)
-            tf = flat.reshape(len(part), n_terms).astype(np.float64)
-            norm = k1 * (1 - b + b * lengths / mean)
-            out[start:start + len(part)] = (tf * (k1 + 1) / (tf + norm[:, None])) @ weights
+        at = 0
+        for held in memories.column("tokens").chunks:
+            for start in range(0, len(held), step):
+                part = held.slice(start, step)
+                lengths = pc.list_value_length(part).to_numpy(zero_copy_only=False)
+                term = pc.index_in(part.flatten(), value_set=coded.dictionary)
+                place = np.repeat(np.arange(len(part)) * n_terms, lengths)
+                if term.null_count:
+                    known = term.is_valid().to_numpy(zero_copy_only=False)
+                    place, term = place[known], term.drop_null()
+                place += term.to_numpy(zero_copy_only=False)
+                tf = np.bincount(place, minlength=len(part) * n_terms).astype(np.float64).reshape(len(part), n_terms)
+                norm = k1 * (1 - b + b * lengths / mean)
+                share = tf + norm[:, None]
+                tf *= k1 + 1
+                tf /= share
+                out[at:at + len(part)] = tf @ weights
+                at += len(part)
         return out
 
     return score
