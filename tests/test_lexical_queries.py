@@ -28,7 +28,7 @@ def _best(lists):
 
 
 # Weight of the lexical ranking (None: it stands alone), and whether it has raw memories only.
-@pytest.mark.parametrize("name, weight, raw", [("rrf_fusion", 1.0, False), ("rrf_fusion_raw_only", 0.5, True)])
+@pytest.mark.parametrize("name, weight, raw", [("rrf_fusion", 1.0, False), ("rrf_fusion_raw_only", 0.5, True), ("bm25_scan", None, False)])
 def test_registered_queries_hold_bounded_blocks(spark, monkeypatch, long_texts, name, weight, raw):
     from turnstore.operators import lexical
     from workloads import derive
