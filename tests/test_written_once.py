@@ -5,9 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from turnstore.operators import postings
+from turnstore.operators import policies, postings
 from turnstore.operators.postings import LexicalIndex
 from workloads import derive as D
+from workloads.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,30 @@ def test_documents_are_stored_once(spark, monkeypatch):
     assert D.document_memories(spark, SF).count() == documents
     path = D._stored[spark.sparkContext.applicationId, SF, "documents"]
     assert spark.read.parquet(f"{path}/memories").count() == documents
+
+
+def _above_the_texts(df):
+    """What a plan does with rows that hold a text already: all that is above its last join."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan
+    return plan[:plan.index("Join")]
+
+
+def test_parents_are_numbered_before_texts_are_joined(spark):
+    a, b, c = (d * 16 for d in "abc")
+    ranked = spark.createDataFrame(
+        [("q", 1, f"{b}-r0"), ("q", 2, f"{c}-f1"), ("q", 3, f"{a}-r2"), ("q", 4, f"{b}-r1"), ("r", 1, f"{c}-r0")],
+        "query_id string, p int, id string")
+    transcripts = spark.createDataFrame([(a, "said a"), (b, "said b")], "digest string, transcript string")
+    found = policies.parent_chunks(ranked, transcripts)
+    # A chunk without a transcript takes no place.
+    rows = sorted(tuple(r) for r in found.select("query_id", "pos", "digest", "content").collect())
+    assert rows == [("q", 0, b, "said b"), ("q", 1, a, "said a")]
+    above = _above_the_texts(found)
+    assert "Window" not in above and "Exchange" not in above
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver data is not here")
+def test_texts_of_parents_are_not_shuffled_by_question(spark):
+    above = _above_the_texts(QUERIES["parent_chunks"](spark, SF))
+    assert "Window" not in above and "Exchange" not in above
